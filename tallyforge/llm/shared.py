@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("class").alias("near"))
         jump = labels.select(F.col("id").alias("to"), F.col("class").alias("next"))
         step = (
-            labels.join(jump, labels["class"] == jump.to, "left")
+            labels.join(jump, labels["class"] == jump["to"], "left")
             .join(near, labels.id == near.a, "left")
             .select("id", F.least("class", "next", "near").alias("new"), F.col("class").alias("was"))
         )
@@ -60,3 +61,40 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         if step.where("new <> was").limit(1).count() == 0:
             return labels
         labels = step.select("id", F.col("new").alias("class"))
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], tag: str, small: int = 8, star_rounds: int = 2) -> DataFrame:
+    """Verified links (a, b) between ids that share a bucket of ``members`` (bucket long, id long).
+
+    Buckets of up to ``small`` ids are compared pair by pair. In a larger one
+    every id is compared with one centre (the smallest or the largest, by the
+    bucket's parity), so work stays linear in its size. Ids that are then in
+    their centre's class are done; the others form the bucket of the next
+    round. After ``star_rounds`` rounds ``refine`` splits what is left into
+    finer buckets, once; after as many rounds again the rest is compared pair
+    by pair. No id is dropped.
+    """
+    links, rounds = None, 0
+    while True:
+        last = rounds >= 2 * star_rounds
+        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo < hi")
+        stats = materialize(stats.select(F.col("bucket").alias("k"), "n", F.when(F.col("bucket") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("centre")), f"{tag}-stats")
+        shared = materialize(members.join(stats, members.bucket == stats.k).select("bucket", "id", "n", "centre"), f"{tag}-shared")
+        few = shared if last else shared.where(F.col("n") <= small)
+        pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
+        many = shared.where((F.col("n") > small) & (F.col("id") != F.col("centre")))
+        if not last:
+            pairs = pairs.unionByName(many.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
+        found = materialize(verify(materialize(pairs.distinct(), f"{tag}-pairs")).select("a", "b"), f"{tag}-links")
+        links = found if links is None else links.unionByName(found)
+        if last or many.limit(1).count() == 0:
+            return links
+        classes = connected_components(links, f"{tag}-classes")
+        mine, theirs = classes.select(F.col("id").alias("m"), F.col("class").alias("mc")), classes.select(F.col("id").alias("c"), F.col("class").alias("cc"))
+        rest = many.join(mine, many.id == mine.m, "left")
+        rest = materialize(rest, f"{tag}-rest").join(theirs, F.col("centre") == F.col("c"), "left")
+        rest = materialize(rest.where(~(F.coalesce("mc", "id") == F.coalesce("cc", "centre"))).select("bucket", "id"), f"{tag}-rest")
+        rounds += 1
+        if rest.limit(1).count() == 0:
+            return links
+        members = materialize(refine(rest), f"{tag}-fine") if rounds == star_rounds else rest
