@@ -122,7 +122,7 @@ def test_suffix_grouping():
 
 
 def norm(line: str) -> str:
-    return re.sub(r"[^a-zäöüïé0-9]+", " ", line.lower()).strip()
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]+", "", line.lower())).strip()
 
 
 @pytest.mark.parametrize("seed", [5, 6])
