@@ -124,7 +124,8 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple
     cut = cut.select("source", "block", F.struct("start", "doc_id", F.array_join(F.slice("words", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("text")).alias("part"))
     whole = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     whole = whole.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "parts")
-    drawn = slots.join(whole, slots.source.eqNullSafe(whole._s) & (slots.block == whole._b))
+    # merge: Spark takes the slots for small, as they are spread from a row per source
+    drawn = slots.hint("merge").join(whole, slots.source.eqNullSafe(whole._s) & (slots.block == whole._b))
     return drawn.select("shard", "slot", "source", "block", "pass", F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
 
 
@@ -136,10 +137,11 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple =
     placed, targets, slots = mix_plan(docs, block_words, weights, share, most, seed)
     times = slots.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("times"))
     parts = doc_blocks(placed, block_words)
-    parts = parts.join(times, parts.source.eqNullSafe(times._s) & (parts.block == times._b))
+    # merge: Spark takes the counts for small, as they are spread from a row per source
+    parts = parts.join(times.hint("merge"), parts.source.eqNullSafe(times._s) & (parts.block == times._b))
     taken = parts.groupBy("doc_id", "source", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("start").alias("_at"), "taken")
     t = targets.select(F.col("source").alias("_ts"), "source_size", "target")
-    out = placed.join(taken, placed.doc_id.eqNullSafe(taken._id) & placed.source.eqNullSafe(taken._s) & (placed.start == taken._at) & (placed["size"] > 0), "left")
+    out = placed.join(taken.hint("merge"), placed.doc_id.eqNullSafe(taken._id) & placed.source.eqNullSafe(taken._s) & (placed.start == taken._at) & (placed["size"] > 0), "left")
     out = out.join(F.broadcast(t), placed.source.eqNullSafe(t._ts))  # a row per source
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source")
