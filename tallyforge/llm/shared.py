@@ -63,37 +63,49 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         labels = step.select("id", F.col("new").alias("class"))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], tag: str, small: int = 8, star_rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) between ids that share a bucket of ``members`` (bucket long, id long).
-
-    Buckets of up to ``small`` ids are compared pair by pair. In a larger one
-    every id is compared with one centre (the smallest or the largest, by the
-    bucket's parity), so work stays linear in its size. Ids that are then in
-    their centre's class are done; the others form the bucket of the next
-    round. After ``star_rounds`` rounds ``refine`` splits what is left into
-    finer buckets, once; after as many rounds again the rest is compared pair
-    by pair. No id is dropped.
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], tag: str, ratio: float, small: int = 16, star_rounds: int = 1) -> DataFrame:
+    """Verified links (a, b) between ids that share a bucket of ``members`` (bucket long, id long, size).
+
+    Pairs whose sizes differ by more than ``ratio`` allows can't be links and are
+    left out. Buckets of up to ``small`` ids are compared pair by pair. In a
+    larger one every id is compared with one centre (the smallest or the
+    largest, by the bucket's parity), so work stays linear in its size. Ids that
+    are then in their centre's class are done; the others go to the next round,
+    where ids of one class are not compared again. After ``star_rounds`` rounds
+    ``refine`` splits what is left into finer buckets; after as many rounds
+    again the rest is compared pair by pair. No id is dropped, but an id that
+    is unlike its centre is not compared with the ids that joined the centre;
+    the pair is met in the other buckets that both share, which have other
+    centres.
     """
+    fits = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b) - 1e-9
     links, rounds = None, 0
+    members = members.select("bucket", "id", F.col("id").alias("class"), "size")
     while True:
         last = rounds >= 2 * star_rounds
-        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo < hi")
-        stats = materialize(stats.select(F.col("bucket").alias("k"), "n", F.when(F.col("bucket") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("centre")), f"{tag}-stats")
-        shared = materialize(members.join(stats, members.bucket == stats.k).select("bucket", "id", "n", "centre"), f"{tag}-shared")
+        low = F.col("bucket") % 2 == 0
+        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("class", "id").alias("lc"), F.max_by("class", "id").alias("hc"), F.min_by("size", "id").alias("ls"), F.max_by("size", "id").alias("hs"), F.min("class").alias("c0"), F.max("class").alias("c1"))
+        stats = stats.where("c0 < c1")  # else all are in one class
+        stats = stats.select(F.col("bucket").alias("k"), "n", F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("centre"), F.when(low, F.col("lc")).otherwise(F.col("hc")).alias("centre_class"), F.when(low, F.col("ls")).otherwise(F.col("hs")).alias("centre_size"))
+        stats = materialize(stats, f"{tag}-stats")
+        shared = materialize(members.join(stats, members.bucket == stats.k).select("bucket", "id", "class", "size", "n", "centre", "centre_class", "centre_size"), f"{tag}-shared")
         few = shared if last else shared.where(F.col("n") <= small)
-        pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-        many = shared.where((F.col("n") > small) & (F.col("id") != F.col("centre")))
+        left, right = few.select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa")), few.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"))
+        pairs = left.join(right, "bucket").where("a < b AND ca <> cb").where(fits("sa", "sb")).select("a", "b")
+        many = shared.where((F.col("n") > small) & (F.col("class") != F.col("centre_class")))
         if not last:
-            pairs = pairs.unionByName(many.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
+            pairs = pairs.unionByName(many.where(fits("size", "centre_size")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
         found = materialize(verify(materialize(pairs.distinct(), f"{tag}-pairs")).select("a", "b"), f"{tag}-links")
         links = found if links is None else links.unionByName(found)
         if last or many.limit(1).count() == 0:
             return links
         classes = connected_components(links, f"{tag}-classes")
         mine, theirs = classes.select(F.col("id").alias("m"), F.col("class").alias("mc")), classes.select(F.col("id").alias("c"), F.col("class").alias("cc"))
-        rest = many.join(mine, many.id == mine.m, "left")
+        # the members of large buckets that are not the centre's by now: what is left to compare among themselves
+        rest = many.select("bucket", "id", "size", "centre").join(mine, F.col("id") == F.col("m"), "left")
         rest = materialize(rest, f"{tag}-rest").join(theirs, F.col("centre") == F.col("c"), "left")
-        rest = materialize(rest.where(~(F.coalesce("mc", "id") == F.coalesce("cc", "centre"))).select("bucket", "id"), f"{tag}-rest")
+        rest = rest.where(F.coalesce("mc", "id") != F.coalesce("cc", "centre")).select("bucket", "id", F.coalesce("mc", "id").alias("class"), "size")
+        rest = materialize(rest, f"{tag}-rest")
         rounds += 1
         if rest.limit(1).count() == 0:
             return links

@@ -182,11 +182,11 @@ def test_star_rounds_lose_no_link(spark, monkeypatch):
     """One bucket of many members with several classes: stars, refining and the rest find them all."""
     from tallyforge.llm import shared
 
-    members = spark.createDataFrame([(b, i) for b in (1, 2) for i in range(40)], "bucket long, id long")
+    members = spark.createDataFrame([(b, i, 1) for b in (1, 2) for i in range(40)], "bucket long, id long, size long")
 
     def verify(pairs):
         return pairs.where("a % 7 = b % 7")
 
-    links = shared.link_buckets(members, verify, lambda rest: rest, "t", small=4, star_rounds=1)
+    links = shared.link_buckets(members, verify, lambda rest: rest, "t", 0.8, small=4)
     got = {r.id: r["class"] for r in shared.connected_components(links, "t").collect()}
     assert got == {i: i % 7 for i in range(40)}
