@@ -105,8 +105,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         ids = marked.select(F.col("doc_id").alias("_id"))
         return docs.join(ids, docs.doc_id.eqNullSafe(ids._id), "left_anti")
     spans = marked.select(F.col("doc_id").alias("_id"), "spans")
-    part = F.regexp_extract_all("text", F.lit("^[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+|[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*"), F.lit(0))
-    lead = F.when(F.col("text").rlike("^[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
+    gap = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"  # separators of a text whose A-Z is as it was
+    part = F.regexp_extract_all("text", F.lit(f"^[{gap}]+|[^{gap}]+[{gap}]*"), F.lit(0))
+    lead = F.when(F.col("text").rlike(f"^[{gap}]"), 1).otherwise(0)
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["k"] - 1))))
     joined = docs.join(spans, docs.doc_id.eqNullSafe(spans._id), "left")
     kept = F.filter(part, lambda p, i: ~F.array_contains(hit, i - lead))
