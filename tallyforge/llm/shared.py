@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_FOLDER: dict[str, str] = {}
@@ -63,7 +63,36 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         labels = step.select("id", F.col("new").alias("class"))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], tag: str, ratio: float, small: int = 16, star_rounds: int = 1) -> DataFrame:
+def rare_item_pairs(crowd: DataFrame, items: Callable[[DataFrame], DataFrame], ratio: float, tag: str, per_edit: int = 1) -> DataFrame:
+    """All pairs (a, b) of ``crowd`` that share a bucket and may be within (1 - ``ratio``) edits of the longer size, and few others.
+
+    ``items`` gives the distinct items (id, item) of ids, of which one edit takes
+    ``per_edit`` away at most. Two ids then have so many items in common that,
+    in one order of all items, the first common one leaves room for these; the
+    join asks that of every item it meets, so it loses no pair. Rare items come
+    first. They are counted within ids that buckets connect, so a passage that a
+    whole crowd shares comes last and makes no pairs.
+    """
+    crowd = materialize(crowd.select("id", "class", "size", "centre"), f"{tag}-crowd")
+    who = crowd.groupBy("id").agg(F.min("class").alias("class"), F.max("size").alias("size"))
+    parts = connected_components(crowd.select(F.col("id").alias("a"), F.col("centre").alias("b")), f"{tag}-parts").select(F.col("id").alias("p"), F.col("class").alias("part"))
+    had = items(who.select("id")).withColumnRenamed("id", "h")
+    rows = who.join(parts, F.col("id") == F.col("p")).join(had, F.col("id") == F.col("h")).select("part", "item", "id", "class", "size")
+    rows = materialize(rows, f"{tag}-items")
+    times = rows.groupBy(F.col("part").alias("tp"), F.col("item").alias("ti")).agg(F.count("*").alias("times"))
+    rows = rows.join(times, (F.col("part") == F.col("tp")) & (F.col("item") == F.col("ti")))
+    mine = Window.partitionBy("id")
+    rows = rows.withColumn("nth", F.row_number().over(mine.orderBy("times", "item"))).withColumn("have", F.count("*").over(mine))
+    lost = per_edit * F.floor((1 / ratio - 1) * F.col("size") + 1e-6)
+    rows = materialize(rows.where((F.col("nth") <= lost + 1) & (F.col("times") > 1)).drop("tp", "ti", "times"), f"{tag}-rare")
+    left, right = (rows.select("part", "item", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in ("class", "size", "have", "nth")]) for s in "ab")
+    common = F.greatest("havea", "haveb") - per_edit * F.floor((1 - ratio) * F.greatest("sizea", "sizeb") + 1e-6)
+    room = F.least(F.col("havea") - F.col("ntha"), F.col("haveb") - F.col("nthb")) + 1
+    fits = F.least("sizea", "sizeb") >= ratio * F.greatest("sizea", "sizeb") - 1e-9
+    return left.join(right, ["part", "item"]).where("a < b AND classa <> classb").where(fits & (room >= common)).select("a", "b")
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], tag: str, ratio: float, small: int = 16, star_rounds: int = 1, items: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Verified links (a, b) between ids that share a bucket of ``members`` (bucket long, id long, size).
 
     Pairs whose sizes differ by more than ``ratio`` allows can't be links and are
@@ -76,7 +105,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     again the rest is compared pair by pair. No id is dropped, but an id that
     is unlike its centre is not compared with the ids that joined the centre;
     the pair is met in the other buckets that both share, which have other
-    centres.
+    centres. Where ``items`` is given, the last round's large buckets go to
+    ``rare_item_pairs`` instead.
     """
     fits = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b) - 1e-9
     links, rounds = None, 0
@@ -89,9 +119,11 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         stats = stats.select(F.col("bucket").alias("k"), "n", F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("centre"), F.when(low, F.col("lc")).otherwise(F.col("hc")).alias("centre_class"), F.when(low, F.col("ls")).otherwise(F.col("hs")).alias("centre_size"))
         stats = materialize(stats, f"{tag}-stats")
         shared = materialize(members.join(stats, members.bucket == stats.k).select("bucket", "id", "class", "size", "n", "centre", "centre_class", "centre_size"), f"{tag}-shared")
-        few = shared if last else shared.where(F.col("n") <= small)
+        few = shared if last and items is None else shared.where(F.col("n") <= small)
         left, right = few.select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa")), few.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"))
         pairs = left.join(right, "bucket").where("a < b AND ca <> cb").where(fits("sa", "sb")).select("a", "b")
+        if last and items is not None:
+            pairs = pairs.unionByName(rare_item_pairs(shared.where(F.col("n") > small), items, ratio, tag))
         many = shared.where((F.col("n") > small) & (F.col("class") != F.col("centre_class")))
         if not last:
             pairs = pairs.unionByName(many.where(fits("size", "centre_size")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
