@@ -190,3 +190,23 @@ def test_star_rounds_lose_no_link(spark, monkeypatch):
     links = shared.link_buckets(members, verify, lambda rest: rest, "t", 0.8, small=4)
     got = {r.id: r["class"] for r in shared.connected_components(links, "t").collect()}
     assert got == {i: i % 7 for i in range(40)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rare_items_lose_no_pair(spark, seed):
+    """Every pair of a crowd within the edits is among the pairs joined on rare words."""
+    from tallyforge.llm import shared
+
+    rng = random.Random(seed)
+    passage = ["p%d" % i for i in range(30)]
+    texts = {}
+    for i in range(40):
+        words = [w if rng.random() > 0.1 else "v%d" % rng.randrange(200) for w in texts[rng.randrange(i)]] if i and rng.random() < 0.6 else passage + ["v%d" % rng.randrange(200) for _ in range(rng.randrange(8, 25))]
+        texts[i] = words
+    crowd = spark.createDataFrame([(1, i, i, len(w), 0) for i, w in texts.items()], "bucket long, id long, class long, size int, centre long")
+    words = spark.createDataFrame([(i, w) for i, ws in texts.items() for w in set(ws)], "id long, item string")
+    got = {(r.a, r.b) for r in shared.rare_item_pairs(crowd, lambda ids: words.join(ids, "id", "left_semi"), 0.8, "t").collect()}
+    number = {w: k for k, w in enumerate(sorted({w for ws in texts.values() for w in ws}))}
+    codes = {i: np.array([number[w] for w in ws], np.int64) for i, ws in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a < b and near_dedup.similar(codes[a], codes[b])}
+    assert want and want <= got
