@@ -4,13 +4,15 @@
    the smallest hash is its anchor, a function of the window alone, so equal
    windows have equal anchors. Only (hash, document, position) is shuffled; a
    sorted stream keeps the anchors that two documents share.
-2. Contexts. Around each shared anchor the bytes that windows with it can reach
-   are cut. Equal contexts fold to one with its smallest document.
+2. Contexts. Around each shared anchor the bytes of the windows that have it are
+   cut: a run, as windows between two of them have it too. Equal contexts fold
+   to one with its smallest document.
 3. Suffix arrays. The distinct contexts of an anchor meet in one task, which
    sorts their suffixes by linear grouping: suffixes are grouped by Lyndon
    prefix, groups are worked off in descending order along previous-smaller
    pointers, and each group's order is then emitted, without renaming. Runs of
-   suffixes that agree on ``LENGTH`` bytes give each window's first document.
+   suffixes that agree on a window give its first document. As each window of
+   an anchor has the anchor's bytes, those are sorted as one symbol.
    Anchors with more than ``CONTEXTS`` contexts are split by window instead.
 4. A document's covered bytes are the union over its contexts.
 """
@@ -31,7 +33,7 @@ LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM  # a window begins at most so many bytes before its anchor
 CONTEXTS = 4096
 #: Contexts that are sorted together, in bytes.
-SORT_BYTES = 1 << 17
+SORT_BYTES = 1 << 13
 _rng = np.random.default_rng(5)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _STEPS = [np.uint64(x | 1) for x in _rng.integers(1, 2**63, 8, dtype=np.uint64)]
@@ -66,7 +68,23 @@ def grouped_suffixes(text: list[int]) -> list[int]:
     prev = [-1] * n
     end = n - 1
     while end >= 0:
-        g = start[order[end]]
+        s = order[end]
+        g = start[s]
+        if g == end:  # most groups are of one suffix, which moves one other at most
+            p = s - 1
+            while p >= 0 and start[p] >= g:
+                p = prev[p]
+            prev[s] = p
+            if p >= 0 and size[start[p]] > 1:
+                b = start[p]
+                size[b] -= 1
+                last = b + size[b]
+                other, here = order[last], place[p]
+                order[here], place[other] = other, here
+                order[last], place[p] = p, last
+                size[last], start[p] = 1, last
+            end -= 1
+            continue
         group = sorted(order[g : end + 1])
         found: dict[int, int] = {}
         for s in group:  # ascending, so pointers within the group are known
@@ -78,8 +96,11 @@ def grouped_suffixes(text: list[int]) -> list[int]:
                 found[p] = found.get(p, 0) + 1
         if found:
             by_count: dict[int, list[int]] = {}
-            for p, k in found.items():
-                by_count.setdefault(k, []).append(p)
+            if max(found.values()) == 1:
+                by_count[1] = list(found)
+            else:
+                for p, k in found.items():
+                    by_count.setdefault(k, []).append(p)
             for k in sorted(by_count, reverse=True):
                 moved: dict[int, int] = {}
                 for p in by_count[k]:
@@ -115,13 +136,13 @@ def grouped_suffixes(text: list[int]) -> list[int]:
     return out
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of every anchor of the texts."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, first byte and size of the windows that have it, its place in these) of every anchor of the texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     h = BYTE[data]  # hashes of 1, 2, 4, 8, 16 and then 24 bytes
     grams = {1: h}
     for i, w in enumerate((1, 2, 4, 8)):
@@ -150,7 +171,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     most = np.maximum(most[: len(h)], most[REACH + 1 - span : REACH + 1 - span + len(h)])
     at = np.flatnonzero(most == h)
     number = np.searchsorted(ends, at, side="right")
-    return number, at - (ends - sizes)[number], h[at].view(np.int64)
+    own = padded[at[:, None] + np.arange(REACH + 1)] == h[at][:, None]
+    before = REACH - own.argmax(1)
+    return number, h[at].view(np.int64), at - before - (ends - sizes)[number], own.sum(1) + LENGTH - 1, before
 
 
 def _blob(column: pa.Array) -> list[bytes]:
@@ -158,17 +181,17 @@ def _blob(column: pa.Array) -> list[bytes]:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, pos) of all documents' anchors."""
+    """(hash, doc_id, lo, size, at) of all documents' anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                number, at, h = anchors(_blob(part.column(1)))
+            for row in range(0, batch.num_rows, 500):
+                part = batch.slice(row, 500)
+                number, h, lo, size, at = anchors(_blob(part.column(1)))
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[number]), pa.array(at.astype(np.int32))], names=["hash", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[number]), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int8)), pa.array(at.astype(np.int8))], names=["hash", "doc_id", "lo", "size", "at"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, pos int")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, lo int, size tinyint, at tinyint")
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
@@ -199,51 +222,53 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep))
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, "hash").sortWithinPartitions("hash", "doc_id").mapInArrow(run, "hash long, doc_id long, pos int")
+    return rows.repartition(partitions, "hash").sortWithinPartitions("hash", "doc_id").mapInArrow(run, "hash long, doc_id long, lo int, size tinyint, at tinyint")
 
 
 def contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(hash, doc_id, lo, context): the bytes around each shared anchor that its windows reach."""
-    per = shared.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("hash", "pos")).alias("at"))
-    joined = docs.select("doc_id", "text").join(per, docs.doc_id == per.d).select("doc_id", "text", "at.hash", "at.pos")
+    """(hash, doc_id, lo, at, context): the bytes of each shared anchor's windows."""
+    per = shared.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("hash", "lo", "size", "at")).alias("found"))
+    joined = docs.select("doc_id", "text").join(per, docs.doc_id == per.d).select("doc_id", "text", "found.hash", "found.lo", "found.size", "found.at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
                 text = part.column(1)[0].as_py().encode()
-                h, at = part.column(2)[0].values, part.column(3)[0].values.to_numpy()
-                lo = np.maximum(at - REACH, 0)
-                cut = [text[a:b] for a, b in zip(lo.tolist(), (at + LENGTH).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([h, pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(at))), pa.array(lo.astype(np.int32)), pa.array(cut, pa.binary())], names=["hash", "doc_id", "lo", "context"])
+                h, lo, size = part.column(2)[0].values, part.column(3)[0].values.to_numpy(), part.column(4)[0].values.to_numpy()
+                cut = [text[a:b] for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([h, pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(lo))), pa.array(lo), part.column(5)[0].values, pa.array(cut, pa.binary())], names=["hash", "doc_id", "lo", "at", "context"])
 
-    return joined.mapInArrow(run, "hash long, doc_id long, lo int, context binary")
+    return joined.mapInArrow(run, "hash long, doc_id long, lo int, at tinyint, context binary")
 
 
-def repeated_starts(parts: list[tuple[bytes, int]]) -> list[int]:
-    """For each (context, document) a bit set of the window starts whose window a smaller document has."""
-    text, begin = [], []
-    for data, _ in parts:
+def repeated_starts(parts: list[tuple[int, int, bytes, int]]) -> list[int]:
+    """For each (hash, anchor's place, context, document) a bit set of the window starts whose window a smaller document has."""
+    text: list[int] = []
+    begin, owner = [], []  # owner: the context of each window's start, else -1
+    symbols: dict[tuple[int, bytes], int] = {}
+    for k, (h, at, data, _) in enumerate(parts):
         begin.append(len(text))
-        text += [b + 2 for b in data]
+        text += [b + 2 for b in data[:at]]
+        text.append(symbols.setdefault((h, data[at : at + GRAM]), 258 + len(symbols)))
+        text += [b + 2 for b in data[at + GRAM :]]
         text.append(1)
+        owner += [k] * (len(data) - LENGTH + 1) + [-1] * (REACH + 1)
     text.append(0)
-    where, owner = bytes(b"".join(d + b"\0" for d, _ in parts)), np.repeat(np.arange(len(parts)), [len(d) + 1 for d, _ in parts]).tolist()
     out, run, window = [0] * len(parts), [], None
 
     def close() -> None:
         if len(run) > 1:
-            first = min(parts[owner[s]][1] for s in run)
+            first = min(parts[owner[s]][3] for s in run)
             for s in run:
                 k = owner[s]
-                if parts[k][1] > first:
+                if parts[k][3] > first:
                     out[k] |= 1 << (s - begin[k])
 
     for s in grouped_suffixes(text)[1:]:
-        k = owner[s]
-        if s + LENGTH > begin[k] + len(parts[k][0]):
+        if owner[s] < 0:
             continue
-        w = where[s : s + LENGTH]
+        w = text[s : s + REACH + 1]
         if w != window:
             close()
             run, window = [], w
@@ -253,52 +278,52 @@ def repeated_starts(parts: list[tuple[bytes, int]]) -> list[int]:
 
 
 def sort_contexts(distinct: DataFrame) -> DataFrame:
-    """Adds ``starts`` (bits of repeated window starts) to (hash, context, first); anchors' contexts meet by hash."""
+    """Adds ``starts`` (bits of repeated window starts) to (hash, at, context, first); anchors' contexts meet by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, bytes, int]] = []
+        group: list[tuple[int, int, bytes, int]] = []
         held = 0
 
         def work() -> pa.RecordBatch:
-            bits = repeated_starts([(c, d) for _, c, d in group])
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.binary()), pa.array(bits, pa.int64())], names=["hash", "context", "starts"])
+            h, at, c, _ = zip(*group, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int8()), pa.array(c, pa.binary()), pa.array(repeated_starts(group), pa.int64())], names=["hash", "at", "context", "starts"])
 
         for batch in batches:
-            for h, c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for h, at, c, d in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if held > SORT_BYTES and group[-1][0] != h:
                     yield work()
                     group, held = [], 0
-                group.append((h, c, d))
+                group.append((h, at, c, d))
                 held += len(c)
         if group:
             yield work()
 
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.repartition(partitions, "hash").sortWithinPartitions("hash").mapInArrow(run, "hash long, context binary, starts long")
+    return distinct.repartition(partitions, "hash").sortWithinPartitions("hash").mapInArrow(run, "hash long, at tinyint, context binary, starts long")
 
 
 def split_contexts(distinct: DataFrame) -> DataFrame:
     """The same for anchors with very many contexts, window by window: equal windows meet by hash and content."""
-    w = distinct.select("hash", "context", "first", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("s"))
+    w = distinct.select("hash", "at", "context", "first", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("s"))
     w = w.withColumn("window", F.substring("context", F.col("s") + 1, F.lit(LENGTH)))
     least = materialize(w.groupBy(F.col("window").alias("w")).agg(F.min("first").alias("least")), "substring-windows")
     hit = w.join(least, w.window == least.w).where("first > least")
-    bits = hit.groupBy("hash", "context").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("starts"))
+    bits = hit.groupBy("hash", "at", "context").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("starts"))
     return bits
 
 
 def covered_contexts(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, starts): window starts, as bits from byte ``lo``, whose window an earlier document has."""
     shared = materialize(shared_anchors(anchor_rows(docs)), "substring-anchors")
-    cut = contexts(docs, shared).withColumn("key", F.xxhash64("hash", "context"))
-    cut = materialize(cut.where(F.octet_length("context") >= LENGTH), "substring-contexts")
-    distinct = materialize(cut.groupBy("hash", "context").agg(F.min("doc_id").alias("first")), "substring-distinct")
+    cut = contexts(docs, shared).withColumn("key", F.xxhash64("hash", "at", "context"))
+    cut = materialize(cut, "substring-contexts")
+    distinct = materialize(cut.groupBy("hash", "at", "context").agg(F.min("doc_id").alias("first")), "substring-distinct")
     many = materialize(distinct.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("n")).where("n > 1"), "substring-counts")
     counted = distinct.join(many, distinct.hash == many.h)
-    sorted_ = sort_contexts(counted.where(F.col("n") <= CONTEXTS).select("hash", "context", "first"))
-    split = split_contexts(counted.where(F.col("n") > CONTEXTS).select("hash", "context", "first"))
-    bits = sorted_.unionByName(split).select(F.xxhash64("hash", "context").alias("k"), "starts")
-    verdict = distinct.select(F.xxhash64("hash", "context").alias("key2"), "first").join(bits, F.col("key2") == F.col("k"), "left")
+    sorted_ = sort_contexts(counted.where(F.col("n") <= CONTEXTS).select("hash", "at", "context", "first"))
+    split = split_contexts(counted.where(F.col("n") > CONTEXTS).select("hash", "at", "context", "first"))
+    bits = sorted_.unionByName(split).select(F.xxhash64("hash", "at", "context").alias("k"), "starts")
+    verdict = distinct.select(F.xxhash64("hash", "at", "context").alias("key2"), "first").join(bits, F.col("key2") == F.col("k"), "left")
     verdict = materialize(verdict.select("key2", "first", F.coalesce("starts", F.lit(0).cast("long")).alias("starts")), "substring-verdicts")
     joined = cut.select("doc_id", "lo", "key", F.octet_length("context").alias("size")).join(verdict, F.col("key") == F.col("key2"))
     full = F.expr(f"shiftleft(1L, size - {LENGTH - 1}) - 1L")
