@@ -207,15 +207,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
         wanted.append(materialize(words, "omh-words"))
         return verify_pairs(pairs, wanted[-1])
 
-    def refine(rest: DataFrame) -> DataFrame:
-        known = rest.join(unique.select(F.col("id").alias("u"), "sketches"), rest.id == F.col("u"))
-        return known.select("id", "class", "size", F.explode(F.transform("sketches", lambda s: F.xxhash64("bucket", s))).alias("bucket"))
-
     def items(ids: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
         return texts.select("id", F.explode(F.array_distinct(word_hashes(F.col("text")))).alias("item"))
 
-    links = link_buckets(members, verify, refine, "omh", SIMILARITY, items=items)
+    links = link_buckets(members, verify, None, "omh", SIMILARITY, items=items)
     classes = connected_components(links, "omh-final").select(F.col("id").alias("c"), "class")
     grouped = own.select("doc_id", "rep").join(classes, F.col("rep") == F.col("c"), "left").select(F.col("doc_id").alias("g"), F.coalesce("class", "rep").alias("class_id")).dropDuplicates(["g"])
     return docs.select("doc_id").join(grouped, F.col("doc_id") == F.col("g"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -71,13 +71,16 @@ def rare_item_pairs(crowd: DataFrame, items: Callable[[DataFrame], DataFrame], r
     in one order of all items, the first common one leaves room for these; the
     join asks that of every item it meets, so it loses no pair. Rare items come
     first. They are counted within ids that buckets connect, so a passage that a
-    whole crowd shares comes last and makes no pairs.
+    whole crowd shares comes last and makes no pairs. Where ``crowd`` has a
+    ``main`` class per bucket, pairs with both ids in it are left out, as they
+    are linked already.
     """
-    crowd = materialize(crowd.select("id", "class", "size", "centre"), f"{tag}-crowd")
-    who = crowd.groupBy("id").agg(F.min("class").alias("class"), F.max("size").alias("size"))
+    out = F.col("class") != F.col("main") if "main" in crowd.columns else F.lit(True)
+    crowd = materialize(crowd.select("id", "class", "size", "centre", out.alias("out")), f"{tag}-crowd")
+    who = crowd.groupBy("id").agg(F.min("class").alias("class"), F.max("size").alias("size"), F.max("out").alias("out"))
     parts = connected_components(crowd.select(F.col("id").alias("a"), F.col("centre").alias("b")), f"{tag}-parts").select(F.col("id").alias("p"), F.col("class").alias("part"))
     had = items(who.select("id")).withColumnRenamed("id", "h")
-    rows = who.join(parts, F.col("id") == F.col("p")).join(had, F.col("id") == F.col("h")).select("part", "item", "id", "class", "size")
+    rows = who.join(parts, F.col("id") == F.col("p")).join(had, F.col("id") == F.col("h")).select("part", "item", "id", "class", "size", "out")
     rows = materialize(rows, f"{tag}-items")
     times = rows.groupBy(F.col("part").alias("tp"), F.col("item").alias("ti")).agg(F.count("*").alias("times"))
     rows = rows.join(times, (F.col("part") == F.col("tp")) & (F.col("item") == F.col("ti")))
@@ -85,60 +88,66 @@ def rare_item_pairs(crowd: DataFrame, items: Callable[[DataFrame], DataFrame], r
     rows = rows.withColumn("nth", F.row_number().over(mine.orderBy("times", "item"))).withColumn("have", F.count("*").over(mine))
     lost = per_edit * F.floor((1 / ratio - 1) * F.col("size") + 1e-6)
     rows = materialize(rows.where((F.col("nth") <= lost + 1) & (F.col("times") > 1)).drop("tp", "ti", "times"), f"{tag}-rare")
-    left, right = (rows.select("part", "item", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in ("class", "size", "have", "nth")]) for s in "ab")
+    left, right = (rows.select("part", "item", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in ("class", "size", "have", "nth", "out")]) for s in "ab")
     common = F.greatest("havea", "haveb") - per_edit * F.floor((1 - ratio) * F.greatest("sizea", "sizeb") + 1e-6)
     room = F.least(F.col("havea") - F.col("ntha"), F.col("haveb") - F.col("nthb")) + 1
     fits = F.least("sizea", "sizeb") >= ratio * F.greatest("sizea", "sizeb") - 1e-9
-    return left.join(right, ["part", "item"]).where("a < b AND classa <> classb").where(fits & (room >= common)).select("a", "b")
+    met = left.where("outa").join(right, ["part", "item"]).where("(a < b OR NOT outb) AND classa <> classb").where(fits & (room >= common))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], tag: str, ratio: float, small: int = 16, star_rounds: int = 1, items: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Verified links (a, b) between ids that share a bucket of ``members`` (bucket long, id long, size).
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None, tag: str, ratio: float, small: int = 16, star_rounds: int = 1, items: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Verified links (a, b) that connect all ids that share a bucket of ``members`` (bucket long, id long, size) and are similar.
 
     Pairs whose sizes differ by more than ``ratio`` allows can't be links and are
     left out. Buckets of up to ``small`` ids are compared pair by pair. In a
     larger one every id is compared with one centre (the smallest or the
-    largest, by the bucket's parity), so work stays linear in its size. Ids that
-    are then in their centre's class are done; the others go to the next round,
-    where ids of one class are not compared again. After ``star_rounds`` rounds
-    ``refine`` splits what is left into finer buckets; after as many rounds
-    again the rest is compared pair by pair. No id is dropped, but an id that
-    is unlike its centre is not compared with the ids that joined the centre;
-    the pair is met in the other buckets that both share, which have other
-    centres. Where ``items`` is given, the last round's large buckets go to
-    ``rare_item_pairs`` instead.
+    largest, by the bucket's parity), so work stays linear in its size. Buckets
+    that are then in one class are done; the others go to the next round whole,
+    with a centre outside their most frequent class. After ``star_rounds``
+    rounds ``refine``, where given, splits what is left into finer buckets, and
+    must keep similar ids together. After as many rounds again the ids outside a
+    bucket's most frequent class are compared with all ids of other classes,
+    those in the most frequent one included, so similarity need not be
+    transitive: pair by pair, or where ``items`` is given by
+    ``rare_item_pairs``.
     """
     fits = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b) - 1e-9
     links, rounds = None, 0
-    members = members.select("bucket", "id", F.col("id").alias("class"), "size")
+    members = members.select("bucket", "id", F.col("id").alias("class"), "size", F.lit(None).cast("long").alias("main"))
     while True:
         last = rounds >= 2 * star_rounds
         low = F.col("bucket") % 2 == 0
-        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("class", "id").alias("lc"), F.max_by("class", "id").alias("hc"), F.min_by("size", "id").alias("ls"), F.max_by("size", "id").alias("hs"), F.min("class").alias("c0"), F.max("class").alias("c1"))
+        new = F.when(F.col("main").isNull() | (F.col("class") != F.col("main")), F.col("id"))
+        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(new).alias("lo"), F.max(new).alias("hi"), F.min_by("class", new).alias("lc"), F.max_by("class", new).alias("hc"), F.min_by("size", new).alias("ls"), F.max_by("size", new).alias("hs"), F.min("class").alias("c0"), F.max("class").alias("c1"))
         stats = stats.where("c0 < c1")  # else all are in one class
         stats = stats.select(F.col("bucket").alias("k"), "n", F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("centre"), F.when(low, F.col("lc")).otherwise(F.col("hc")).alias("centre_class"), F.when(low, F.col("ls")).otherwise(F.col("hs")).alias("centre_size"))
         stats = materialize(stats, f"{tag}-stats")
-        shared = materialize(members.join(stats, members.bucket == stats.k).select("bucket", "id", "class", "size", "n", "centre", "centre_class", "centre_size"), f"{tag}-shared")
-        few = shared if last and items is None else shared.where(F.col("n") <= small)
-        left, right = few.select("bucket", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa")), few.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"))
-        pairs = left.join(right, "bucket").where("a < b AND ca <> cb").where(fits("sa", "sb")).select("a", "b")
-        if last and items is not None:
-            pairs = pairs.unionByName(rare_item_pairs(shared.where(F.col("n") > small), items, ratio, tag))
-        many = shared.where((F.col("n") > small) & (F.col("class") != F.col("centre_class")))
+        shared = materialize(members.join(stats, members.bucket == stats.k).select("bucket", "id", "class", "size", "main", "n", "centre", "centre_class", "centre_size"), f"{tag}-shared")
+        side = lambda rows, s: rows.select("bucket", F.col("id").alias(s), F.col("class").alias("c" + s), F.col("size").alias("s" + s), (F.col("class") != F.col("main")).alias("out" + s))
+        few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
+        pairs = side(few, "a").join(side(few, "b"), "bucket").where("a < b AND ca <> cb").where(fits("sa", "sb")).select("a", "b")
         if not last:
-            pairs = pairs.unionByName(many.where(fits("size", "centre_size")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
+            met = many.where(F.col("class") != F.col("centre_class")).where(fits("size", "centre_size"))
+            pairs = pairs.unionByName(met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
+        elif items is not None:
+            pairs = pairs.unionByName(rare_item_pairs(many, items, ratio, tag))
+        else:
+            met = side(many, "a").where("outa").join(side(many, "b"), "bucket").where("(a < b OR NOT outb) AND ca <> cb").where(fits("sa", "sb"))
+            pairs = pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         found = materialize(verify(materialize(pairs.distinct(), f"{tag}-pairs")).select("a", "b"), f"{tag}-links")
         links = found if links is None else links.unionByName(found)
         if last or many.limit(1).count() == 0:
             return links
-        classes = connected_components(links, f"{tag}-classes")
-        mine, theirs = classes.select(F.col("id").alias("m"), F.col("class").alias("mc")), classes.select(F.col("id").alias("c"), F.col("class").alias("cc"))
-        # the members of large buckets that are not the centre's by now: what is left to compare among themselves
-        rest = many.select("bucket", "id", "size", "centre").join(mine, F.col("id") == F.col("m"), "left")
-        rest = materialize(rest, f"{tag}-rest").join(theirs, F.col("centre") == F.col("c"), "left")
-        rest = rest.where(F.coalesce("mc", "id") != F.coalesce("cc", "centre")).select("bucket", "id", F.coalesce("mc", "id").alias("class"), "size")
-        rest = materialize(rest, f"{tag}-rest")
+        classes = connected_components(links, f"{tag}-classes").select(F.col("id").alias("m"), F.col("class").alias("mc"))
+        rest = many.select("bucket", "id", "size").join(classes, F.col("id") == F.col("m"), "left")
+        rest = materialize(rest.select("bucket", "id", F.coalesce("mc", "id").alias("class"), "size"), f"{tag}-rest")
+        times = rest.groupBy(F.col("bucket").alias("k"), "class").agg(F.count("*").alias("times"))
+        mixed = times.groupBy("k").agg(F.max_by("class", F.struct("times", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+        rest = materialize(rest.join(mixed, rest.bucket == F.col("k")).select("bucket", "id", "class", "size", "main"), f"{tag}-rest")
         rounds += 1
         if rest.limit(1).count() == 0:
             return links
-        members = materialize(refine(rest), f"{tag}-fine") if rounds == star_rounds else rest
+        members = rest
+        if rounds == star_rounds and refine is not None:
+            members = materialize(refine(rest.drop("main")).withColumn("main", F.lit(None).cast("long")), f"{tag}-fine")

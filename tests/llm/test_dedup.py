@@ -210,3 +210,24 @@ def test_rare_items_lose_no_pair(spark, seed):
     codes = {i: np.array([number[w] for w in ws], np.int64) for i, ws in texts.items()}
     want = {(a, b) for a in texts for b in texts if a < b and near_dedup.similar(codes[a], codes[b])}
     assert want and want <= got
+
+
+@pytest.mark.parametrize("by_items", [False, True])
+def test_crowded_bucket_links_left_over_to_joined(spark, by_items):
+    """Similarity that is not transitive: ids unlike the centre meet ids that joined it, in the one bucket they share."""
+    from tallyforge.llm import shared
+
+    ids = [2 * i for i in range(10)] + [100 + 2 * i for i in range(10)]  # two chains of neighbours
+    members = spark.createDataFrame([(2, i, 10) for i in ids], "bucket long, id long, size long")
+
+    def verify(pairs):
+        return pairs.where("b - a <= 6")
+
+    def items(some):  # an id holds ten items, and shares at least eight with ids up to six away
+        from pyspark.sql import functions as F
+
+        return some.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.floor(F.col("id") / 20) * 100 + k)).alias("item"))
+
+    links = shared.link_buckets(members, verify, lambda rest: rest, "t", 0.8, small=4, items=items if by_items else None)
+    got = {r.id: r["class"] for r in shared.connected_components(links, "t").collect()}
+    assert got == {i: 0 if i < 100 else 100 for i in ids}
