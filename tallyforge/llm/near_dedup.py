@@ -1,7 +1,7 @@
 """Near-duplicate documents by Order MinHash.
 
 For each of ``SKETCHES`` hash orders, the ``PICKS`` smallest occurrence-labelled
-shingles of five words are kept in text order; documents that agree on a sketch
+shingles of three words are kept in text order; documents that agree on a sketch
 are candidates. Candidates are verified by a banded alignment of their words:
 similar if the word edit distance is at most a fifth of the longer text. Equal
 word sequences are folded before, so groups of copies cost one document.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, link_buckets, materialize
 
-SHINGLE, PICKS, SKETCHES = 5, 3, 32
+SHINGLE, PICKS, SKETCHES = 3, 2, 40
 SIMILARITY = 0.8
 SEEDS = np.random.default_rng(1729).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -231,3 +231,21 @@ def test_crowded_bucket_links_left_over_to_joined(spark, by_items):
     links = shared.link_buckets(members, verify, lambda rest: rest, "t", 0.8, small=4, items=items if by_items else None)
     got = {r.id: r["class"] for r in shared.connected_components(links, "t").collect()}
     assert got == {i: 0 if i < 100 else 100 for i in ids}
+
+
+@pytest.mark.parametrize("edits", [0.1, 0.15, 0.2])
+def test_sketches_meet_down_to_the_similarity(edits):
+    """Pairs by edit similarity alone: spread substitutions, insertions and deletions up to a fifth of the words."""
+    rng = random.Random(8)
+    met = total = 0
+    for n in (20, 60, 200) * 40:
+        a = [rng.getrandbits(40) for _ in range(n)]
+        b = list(a)
+        for _ in range(int(n * edits)):
+            at, kind = rng.randrange(len(b)), rng.random()
+            b[at : at + (kind < 0.9)] = [rng.getrandbits(40)] if kind < 0.8 or kind >= 0.9 else []
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        if near_dedup.similar(a, b):
+            total += 1
+            met += bool((near_dedup.order_sketches(a) == near_dedup.order_sketches(b)).any())
+    assert total >= 100 and met >= 0.97 * total
