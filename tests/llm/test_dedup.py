@@ -249,3 +249,26 @@ def test_sketches_meet_down_to_the_similarity(edits):
             total += 1
             met += bool((near_dedup.order_sketches(a) == near_dedup.order_sketches(b)).any())
     assert total >= 100 and met >= 0.97 * total
+
+
+def test_lines_meet_by_edit_similarity_alone(spark):
+    """Brute force without a bound on SimHash bits: lines with words replaced, and short lines with typos."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 11)))
+    lines = []
+    for n in (3, 6, 10, 15, 20) * 3:
+        line = [word() for _ in range(n)]
+        lines += [" ".join(line)] + [" ".join(w if i not in gone else word() for i, w in enumerate(line)) for gone in (rng.sample(range(n), max(1, n // 6)) for _ in range(2))]
+    for _ in range(8):
+        line = "".join(rng.choices("abcdefgh ", k=rng.randrange(7, 13))).strip() + "z"
+        at = rng.randrange(1, len(line) - 1)
+        lines += [line, line[:at] + "y" + line[at + 1 :]]
+    lines = [norm(line) for line in lines]
+    links = [(a, b) for a in lines for b in lines if a < b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and word_distance(list(a), list(b)) <= 0.2 * max(len(a), len(b))]
+    group, seen, want = classes(lines, links), set(), set()
+    for i, line in enumerate(lines):
+        if group[line] not in seen:
+            want.add(i)
+            seen.add(group[line])
+    frame = spark.createDataFrame([(i, line, "x") for i, line in enumerate(lines)], DOCS)
+    assert links and {r.doc_id for r in line_dedup.dedup_lines(frame).collect()} == want
