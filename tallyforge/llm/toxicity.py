@@ -203,7 +203,10 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """``docs`` without documents that score 0.5 or more; null and empty texts stay. Clashing column names are kept as they are."""
-    scored = score_documents(docs.withColumnRenamed("toxicity", "toxicity_in"), fit_tagger(docs, labels, train_docs))
-    kept = scored.where("toxicity < 0.5").drop("toxicity")
+    """``docs`` without documents that score 0.5 or more; null and empty texts stay, and all where nothing was learned. Clashing column names are kept as they are."""
+    tagger = fit_tagger(docs, labels, train_docs)
+    if not tagger.scale.any():
+        return docs
+    scored = score_documents(docs.withColumnRenamed("toxicity", "toxicity_in"), tagger)
+    kept = scored.where("toxicity < 0.5 OR text IS NULL OR text = ''").drop("toxicity")
     return kept.withColumnRenamed("toxicity_in", "toxicity")
