@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_FOLDER: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``; where it is unset, one of our own, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
@@ -24,10 +27,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Shuffle files go with the end of the write, as later steps read the table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote, after their last reader."""
+    for t in tables:
+        if t is not None:
+            context = t.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(wanted: str, *tables: DataFrame) -> str:
+    """``wanted``, with as many underscores added as keep it apart from the tables' columns (in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +79,8 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct(), tag + "-links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "id"), tag)
+    table = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "id"), tag)
+    labels = table
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("class").alias("near"))
         jump = labels.select(F.col("id").alias("to"), F.col("class").alias("next"))
@@ -59,95 +91,103 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         )
         step = materialize(step, tag)
         if step.where("new <> was").limit(1).count() == 0:
+            discard(both, step)
+            labels.written_to = table.written_to
             return labels
+        discard(table)
+        table = step
         labels = step.select("id", F.col("new").alias("class"))
 
 
-def rare_item_pairs(crowd: DataFrame, items: Callable[[DataFrame], DataFrame], ratio: float, tag: str, per_edit: int = 1) -> DataFrame:
-    """All pairs (a, b) of ``crowd`` that share a bucket and may be within (1 - ``ratio``) edits of the longer size, and few others.
+def rare_item_pairs(crowd: DataFrame, items: Callable[[DataFrame], DataFrame], ratio: float, tag: str, close: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Pairs (a, b) of ``crowd`` (id, class, size, ...) that may be within (1 - ``ratio``) edits of the longer size: all of different classes, and few others.
 
     ``items`` gives the distinct items (id, item) of ids, of which one edit takes
-    ``per_edit`` away at most. Two ids then have so many items in common that,
-    in one order of all items, the first common one leaves room for these; the
-    join asks that of every item it meets, so it loses no pair. Rare items come
-    first. They are counted within ids that buckets connect, so a passage that a
-    whole crowd shares comes last and makes no pairs. Where ``crowd`` has a
-    ``main`` class per bucket, pairs with both ids in it are left out, as they
-    are linked already.
+    one away at most. Two ids then have so many items in common that, in one
+    order of all items, the first common one leaves room for these; the join
+    asks that of every item it meets, so it loses no pair. Rare items come
+    first, so a passage that a whole crowd shares comes last. ``close`` is a
+    further test on the columns of two rows, by their suffixes. Where ``crowd``
+    has a ``main`` class, pairs with both ids in it are left out, as they are
+    linked already; so are items whose ids are all of one class.
     """
     out = F.col("class") != F.col("main") if "main" in crowd.columns else F.lit(True)
-    crowd = materialize(crowd.select("id", "class", "size", "centre", out.alias("out")), f"{tag}-crowd")
-    who = crowd.groupBy("id").agg(F.min("class").alias("class"), F.max("size").alias("size"), F.max("out").alias("out"))
-    parts = connected_components(crowd.select(F.col("id").alias("a"), F.col("centre").alias("b")), f"{tag}-parts").select(F.col("id").alias("p"), F.col("class").alias("part"))
-    had = items(who.select("id")).withColumnRenamed("id", "h")
-    rows = who.join(parts, F.col("id") == F.col("p")).join(had, F.col("id") == F.col("h")).select("part", "item", "id", "class", "size", "out")
-    rows = materialize(rows, f"{tag}-items")
-    times = rows.groupBy(F.col("part").alias("tp"), F.col("item").alias("ti")).agg(F.count("*").alias("times"))
-    rows = rows.join(times, (F.col("part") == F.col("tp")) & (F.col("item") == F.col("ti")))
+    more = [c for c in crowd.columns if c not in ("id", "class", "size", "main", "bucket", "out", "n", "lo", "hi", "centre")]
+    who = crowd.groupBy("id").agg(F.min("class").alias("class"), F.max("size").alias("size"), F.max(out).alias("out"), *[F.first(c).alias(c) for c in more])
+    who = materialize(who, f"{tag}-crowd")
+    rows = materialize(items(who.select("id")), f"{tag}-items")
+    times = rows.groupBy(F.col("item").alias("ti")).agg(F.count("*").alias("times"))
     mine = Window.partitionBy("id")
-    rows = rows.withColumn("nth", F.row_number().over(mine.orderBy("times", "item"))).withColumn("have", F.count("*").over(mine))
-    lost = per_edit * F.floor((1 / ratio - 1) * F.col("size") + 1e-6)
-    rows = materialize(rows.where((F.col("nth") <= lost + 1) & (F.col("times") > 1)).drop("tp", "ti", "times"), f"{tag}-rare")
-    left, right = (rows.select("part", "item", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in ("class", "size", "have", "nth", "out")]) for s in "ab")
-    common = F.greatest("havea", "haveb") - per_edit * F.floor((1 - ratio) * F.greatest("sizea", "sizeb") + 1e-6)
+    rows2 = rows.join(times, F.col("item") == F.col("ti")).withColumn("nth", F.row_number().over(mine.orderBy("times", "item"))).withColumn("have", F.count("*").over(mine))
+    slim = rows2.join(who.select(F.col("id").alias("w"), "size", "class", "out"), F.col("id") == F.col("w"))
+    lost = F.floor((1 / ratio - 1) * F.col("size") + 1e-6)
+    first = materialize(slim.where((F.col("nth") <= lost + 1) & (F.col("times") > 1)).select("item", "id", "class", "size", "have", "nth", "out"), f"{tag}-rare")
+    mixed = first.groupBy(F.col("item").alias("mi")).agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.max("out").alias("any")).where("c0 < c1 AND any").select("mi")
+    kept = first.join(mixed, F.col("item") == F.col("mi"), "left_semi").join(who.select(F.col("id").alias("w"), *more), F.col("id") == F.col("w")).drop("w")
+    kept = materialize(kept, f"{tag}-mixed")
+    left, right = (kept.select("item", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in kept.columns if c not in ("item", "id")]) for s in "ab")
+    common = F.greatest("havea", "haveb") - F.floor((1 - ratio) * F.greatest("sizea", "sizeb") + 1e-6)
     room = F.least(F.col("havea") - F.col("ntha"), F.col("haveb") - F.col("nthb")) + 1
     fits = F.least("sizea", "sizeb") >= ratio * F.greatest("sizea", "sizeb") - 1e-9
-    met = left.where("outa").join(right, ["part", "item"]).where("(a < b OR NOT outb) AND classa <> classb").where(fits & (room >= common))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None, tag: str, ratio: float, small: int = 16, star_rounds: int = 1, items: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Verified links (a, b) that connect all ids that share a bucket of ``members`` (bucket long, id long, size) and are similar.
-
-    Pairs whose sizes differ by more than ``ratio`` allows can't be links and are
-    left out. Buckets of up to ``small`` ids are compared pair by pair. In a
-    larger one every id is compared with one centre (the smallest or the
-    largest, by the bucket's parity), so work stays linear in its size. Buckets
-    that are then in one class are done; the others go to the next round whole,
-    with a centre outside their most frequent class. After ``star_rounds``
-    rounds ``refine``, where given, splits what is left into finer buckets, and
-    must keep similar ids together. After as many rounds again the ids outside a
-    bucket's most frequent class are compared with all ids of other classes,
-    those in the most frequent one included, so similarity need not be
-    transitive: pair by pair, or where ``items`` is given by
-    ``rare_item_pairs``.
+    met = left.where("outa").join(right, "item").where("(a < b OR NOT outb) AND classa <> classb").where(fits & (room >= common))
+    if close is not None:
+        met = met.where(close("a", "b"))
+    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-met")
+    discard(who, rows, first, kept)
+    return pairs
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None, tag: str, ratio: float, small: int = 16, items: Callable[[DataFrame], DataFrame] | None = None, close: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Verified links (a, b) that connect all ids that share a bucket of ``members`` (bucket long, id long, size, ...) and are similar.
+
+    Pairs whose sizes differ by more than ``ratio`` allows, or that ``close``
+    (a test on the columns of two rows, by their suffixes) turns down, can't be
+    links and are left out. Buckets of up to ``small`` ids are compared pair by
+    pair. In a larger one every id is compared with its smallest and largest id,
+    so work stays linear in its size. Buckets that are then in one class are
+    done. Of the others the ids outside the most frequent class are compared
+    with all ids of other classes, those in the most frequent one included, so
+    similarity need not be transitive: pair by pair, or where ``items`` is given
+    by ``rare_item_pairs``. ``refine``, where given, may split them before into
+    finer buckets, and must keep similar ids together.
     """
-    fits = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b) - 1e-9
-    links, rounds = None, 0
-    members = members.select("bucket", "id", F.col("id").alias("class"), "size", F.lit(None).cast("long").alias("main"))
-    while True:
-        last = rounds >= 2 * star_rounds
-        low = F.col("bucket") % 2 == 0
-        new = F.when(F.col("main").isNull() | (F.col("class") != F.col("main")), F.col("id"))
-        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(new).alias("lo"), F.max(new).alias("hi"), F.min_by("class", new).alias("lc"), F.max_by("class", new).alias("hc"), F.min_by("size", new).alias("ls"), F.max_by("size", new).alias("hs"), F.min("class").alias("c0"), F.max("class").alias("c1"))
-        stats = stats.where("c0 < c1")  # else all are in one class
-        stats = stats.select(F.col("bucket").alias("k"), "n", F.when(low, F.col("lo")).otherwise(F.col("hi")).alias("centre"), F.when(low, F.col("lc")).otherwise(F.col("hc")).alias("centre_class"), F.when(low, F.col("ls")).otherwise(F.col("hs")).alias("centre_size"))
-        stats = materialize(stats, f"{tag}-stats")
-        shared = materialize(members.join(stats, members.bucket == stats.k).select("bucket", "id", "class", "size", "main", "n", "centre", "centre_class", "centre_size"), f"{tag}-shared")
-        side = lambda rows, s: rows.select("bucket", F.col("id").alias(s), F.col("class").alias("c" + s), F.col("size").alias("s" + s), (F.col("class") != F.col("main")).alias("out" + s))
-        few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
-        pairs = side(few, "a").join(side(few, "b"), "bucket").where("a < b AND ca <> cb").where(fits("sa", "sb")).select("a", "b")
-        if not last:
-            met = many.where(F.col("class") != F.col("centre_class")).where(fits("size", "centre_size"))
-            pairs = pairs.unionByName(met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
-        elif items is not None:
-            pairs = pairs.unionByName(rare_item_pairs(many, items, ratio, tag))
-        else:
-            met = side(many, "a").where("outa").join(side(many, "b"), "bucket").where("(a < b OR NOT outb) AND ca <> cb").where(fits("sa", "sb"))
-            pairs = pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        found = materialize(verify(materialize(pairs.distinct(), f"{tag}-pairs")).select("a", "b"), f"{tag}-links")
-        links = found if links is None else links.unionByName(found)
-        if last or many.limit(1).count() == 0:
-            return links
-        classes = connected_components(links, f"{tag}-classes").select(F.col("id").alias("m"), F.col("class").alias("mc"))
-        rest = many.select("bucket", "id", "size").join(classes, F.col("id") == F.col("m"), "left")
-        rest = materialize(rest.select("bucket", "id", F.coalesce("mc", "id").alias("class"), "size"), f"{tag}-rest")
-        times = rest.groupBy(F.col("bucket").alias("k"), "class").agg(F.count("*").alias("times"))
-        mixed = times.groupBy("k").agg(F.max_by("class", F.struct("times", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-        rest = materialize(rest.join(mixed, rest.bucket == F.col("k")).select("bucket", "id", "class", "size", "main"), f"{tag}-rest")
-        rounds += 1
-        if rest.limit(1).count() == 0:
-            return links
-        members = rest
-        if rounds == star_rounds and refine is not None:
-            members = materialize(refine(rest.drop("main")).withColumn("main", F.lit(None).cast("long")), f"{tag}-fine")
+    def fits(a: str, b: str) -> Column:
+        out = F.least("size" + a, "size" + b) >= ratio * F.greatest("size" + a, "size" + b) - 1e-9
+        return out if close is None else out & close(a, b)
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("bucket", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in rows.columns if c not in ("bucket", "id", "n", "lo", "hi")])
+
+    stats = members.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = materialize(members.join(stats, F.col("bucket") == F.col("k")).drop("k"), f"{tag}-shared")
+    few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
+    pairs = side(few, "a").join(side(few, "b"), "bucket").where("a < b").where(fits("a", "b")).select("a", "b")
+    stars = many.select("id", F.explode(F.array("lo", "hi")).alias("centre")).where("id <> centre")
+    pairs = materialize(pairs.unionByName(stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))).distinct(), f"{tag}-pairs")
+    links = materialize(verify(pairs).select("a", "b"), f"{tag}-links")
+    discard(pairs)
+    if many.limit(1).count() == 0:
+        discard(shared)
+        return links
+    classes = connected_components(links, f"{tag}-classes")
+    known = classes.select(F.col("id").alias("m"), F.col("class").alias("mc"))
+    rest = many.drop("n", "lo", "hi").join(known, F.col("id") == F.col("m"), "left").withColumn("class", F.coalesce("mc", "id")).drop("m", "mc")
+    rest = materialize(rest, f"{tag}-rest")
+    times = rest.groupBy(F.col("bucket").alias("k"), "class").agg(F.count("*").alias("times"))
+    mixed = times.groupBy("k").agg(F.max_by("class", F.struct("times", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    crowd = materialize(rest.join(mixed, rest.bucket == F.col("k")).drop("k", "kinds"), f"{tag}-crowd")
+    discard(shared, classes, rest)
+    if crowd.limit(1).count() == 0:
+        discard(crowd)
+        return links
+    if refine is not None:
+        crowd = refine(crowd)
+    if items is not None:
+        pairs = rare_item_pairs(crowd, items, ratio, tag, close)
+    else:
+        out = crowd.withColumn("out", F.col("class") != F.col("main"))
+        met = side(out, "a").where("outa").join(side(out, "b"), "bucket").where("(a < b OR NOT outb) AND classa <> classb").where(fits("a", "b"))
+        pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-pairs")
+    more = materialize(verify(pairs).select("a", "b"), f"{tag}-links")
+    discard(pairs)
+    return links.unionByName(more)
