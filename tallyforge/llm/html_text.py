@@ -1,16 +1,20 @@
 """HTML extraction: a linear-chain CRF labels DOM leaf blocks as main text or not.
 
 A page is read into leaf blocks: runs of text between block-level tags, each
-with its open ancestors (tag, class, id, role). Features are the ancestors and
-coarse properties of the text; Viterbi decodes the page. The model is trained
-on pages whose own markup labels them: blocks under ``article`` or ``main``
-are main text unless an inner element marks them as something else.
+with its open ancestors (tag, class, id, role). Features are these tags and
+names, properties of the text (size, ending, share of links) and of the blocks
+before and after; Viterbi decodes the page. The model is trained on pages whose
+own markup labels them: blocks under ``article`` or ``main`` are main text
+unless an inner element marks them as something else. No feature holds that
+verdict, and each page is learned a second time with these two elements hidden,
+so that pages without them are read by their other cues.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 from zlib import crc32
 
@@ -33,7 +37,9 @@ IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 # Tags and name parts that mark what is not main text.
 ASIDE_TAGS = set("nav footer aside form header dialog menu figcaption".split()) | SILENT
 ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|comments?|disqus|reply|replies|respond|menu|nav\w*|footer|header|masthead|cookies?|consent|notice|newsletter|subscribe|share|social|related|breadcrumbs?|pagination|popup|modal|login|signup|widget)(?:$|[\s_-])", re.I)
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies|respond|related)(?:$|[\s_-])", re.I)
 ARTICLE_TAGS = {"article", "main"}
+LABELLING, LABELLED_LAST = {f"a:{t}" for t in ARTICLE_TAGS}, {f"t:{t}" for t in ARTICLE_TAGS}
 HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -42,24 +48,58 @@ SPACE = re.compile(r"\s+")
 RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 
 
-def leaf_blocks(html: str) -> list[tuple[str, list[tuple[str, str, bool]]]]:
-    """(text, open ancestors) of each leaf block in page order; an ancestor is (tag, names, hidden)."""
-    blocks, stack, parts, at, n = [], [], [], 0, len(html)
+@dataclass
+class Block:
+    text: str
+    said: str  # what the markup says: main, aside or none
+    up: tuple[str, ...]  # distinct features of the open ancestors, shared by blocks that have the same
+    last: str
+    depth: int
+    linked: int  # characters inside links
+
+
+def leaf_blocks(html: str) -> list[Block]:
+    """The leaf blocks in page order. An open element costs the same at any depth, so deep pages stay linear."""
+    blocks: list[Block] = []
+    stack: list[tuple[str, str, list[str]]] = []  # tag, what the markup says inside, features
+    active: dict[str, int] = {}
+    parts: list[str] = []
+    state = {"linked": 0, "links": 0, "up": ()}
+    at, n = 0, len(html)
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                blocks.append((text, [s for s in stack if s[0] not in INLINE]))
+                if state["up"] is None:
+                    state["up"] = tuple(active)
+                outer = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
+                blocks.append(Block(text, stack[-1][1] if stack else "none", state["up"], outer, len(stack), state["linked"]))
             parts.clear()
+        state["linked"] = 0
+
+    def close(k: int) -> None:
+        for tag, _, features in stack[k:]:
+            state["links"] -= tag == "a"
+            for f in features:
+                active[f] -= 1
+                if not active[f]:
+                    del active[f]
+                    state["up"] = None
+        del stack[k:]
+
+    def add(text: str) -> None:
+        parts.append(text)
+        if state["links"]:
+            state["linked"] += len(text)
 
     while at < n:
         m = TOKEN.search(html, at)
         if not m:
-            parts.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            parts.append(html[at : m.start()])
+            add(html[at : m.start()])
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
@@ -71,7 +111,7 @@ def leaf_blocks(html: str) -> list[tuple[str, list[tuple[str, str, bool]]]]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if tag in RAW_END:
@@ -81,51 +121,73 @@ def leaf_blocks(html: str) -> list[tuple[str, list[tuple[str, str, bool]]]]:
         if tag in IMPLIED_END:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in IMPLIED_END[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in INLINE | {"p", "div", "article", "main", "section"}:
             continue
         names = " ".join(a or b or c for a, b, c in NAME.findall(m[3])) if m[3] else ""
-        stack.append((tag, names, bool(m[3]) and bool(HIDDEN.search(m[3]))))
+        hidden = bool(m[3]) and bool(HIDDEN.search(m[3]))
+        features = [] if tag in INLINE else [f"a:{tag}", *(f"v:{v.lower()}" for v in names.split()), *(["h:"] if hidden else [])]
+        for f in features:
+            if f not in active:
+                state["up"] = None
+            active[f] = active.get(f, 0) + 1
+        state["links"] += tag == "a"
+        stack.append((tag, marked(stack[-1][1] if stack else "none", tag, names, hidden), features))
     flush()
     return blocks
 
 
-def marked(ancestors: list[tuple[str, str, bool]]) -> str:
-    """"main", "aside" or "none": what the innermost telling ancestor says; an aside outside an article does not count against it."""
-    said = "none"
-    for tag, names, hidden in ancestors:
-        if tag in ARTICLE_TAGS:
-            said = "main"
-        elif hidden or tag in SILENT or (tag in ASIDE_TAGS and not (tag == "header" and said == "main")) or (names and ASIDE_NAMES.search(names)):
-            return "aside"
-    return said
-
+def marked(outside: str, tag: str, names: str, hidden: bool) -> str:
+    """What the markup says inside an element, given what it says outside of it.
 
-def block_features(text: str, ancestors: list[tuple[str, str, bool]], place: float) -> list[int]:
-    words = text.count(" ") + 1
-    last = ancestors[-1][0] if ancestors else ""
-    said = [f"m:{marked(ancestors)}", f"t:{last}", f"n:{min(words.bit_length(), 8)}", f"e:{text[-1] in '.!?…:;'}", f"c:{'©' in text}", f"d:{min(len(ancestors), 8)}", f"w:{int(place * 8)}"]
-    said += [f"a:{t}" for t in {t for t, _, _ in ancestors}] + [f"v:{v.lower()}" for _, names, _ in ancestors for v in names.split()]
-    return [crc32(s.encode()) % BUCKETS for s in said] + [BUCKETS]
-
-
-def page_features(blocks: list) -> list[list[int]]:
-    return [block_features(text, up, i / len(blocks)) for i, (text, up) in enumerate(blocks)]
+    "main", "none", "aside", or "beside": an element that only its name marks,
+    such as a wrapper named for the sidebar that it also holds, in which an
+    article still counts.
+    """
+    if outside == "aside" or tag in ("html", "body"):
+        return outside
+    if hidden or tag in SILENT or (tag in ASIDE_TAGS and not (tag == "header" and outside == "main")):
+        return "aside"
+    if names and ASIDE_NAMES.search(names):
+        return "aside" if outside == "main" or tag in ARTICLE_TAGS or READERS.search(names) else "beside"
+    return "main" if tag in ARTICLE_TAGS else outside
+
+
+def own_features(b: Block) -> list[str]:
+    words = b.text.count(" ") + 1
+    return [f"t:{b.last}", f"n:{min(words.bit_length(), 8)}", f"e:{b.text[-1] in '.!?…:;'}", f"c:{'©' in b.text}", f"l:{min(4 * b.linked // max(len(b.text), 1), 4)}"]
+
+
+def page_features(blocks: list[Block], hide: bool = False) -> list[list[int]]:
+    """Feature buckets of each block; ``hide`` leaves out the elements that label training pages."""
+    own = [own_features(b) for b in blocks]
+    out, known = [], {}
+    for i, b in enumerate(blocks):
+        if b.up not in known:
+            known[b.up] = [crc32(f.encode()) % BUCKETS for f in b.up if not (hide and f in LABELLING)]
+        said = own[i] + [f"d:{min(b.depth, 8)}", f"w:{i * 8 // len(blocks)}"]
+        said += [f"<{f}" for f in own[i - 1]] if i else ["<"]
+        said += [f">{f}" for f in own[i + 1]] if i + 1 < len(blocks) else [">"]
+        if hide:
+            said = [f for f in said if f[1:] not in LABELLED_LAST and f not in LABELLED_LAST]
+        out.append(known[b.up] + [crc32(f.encode()) % BUCKETS for f in said] + [BUCKETS])
+    return out
 
 
 def train(pages: list[str]) -> crf.Model:
     token, feature, labels, starts = [], [], [], [0]
     for html in pages:
         blocks = leaf_blocks(html or "")
-        said = [marked(up) for _, up in blocks]
-        if "main" in said:  # pages without such markup teach nothing
-            for f, s in zip(page_features(blocks), said, strict=True):
+        if not any(b.said == "main" for b in blocks):
+            continue  # pages without such markup teach nothing
+        for hide in (False, True):
+            for f, b in zip(page_features(blocks, hide), blocks, strict=True):
                 feature += f
                 token += [len(labels)] * len(f)
-                labels.append(s == "main")
+                labels.append(b.said == "main")
             starts.append(len(labels))
     return crf.fit(np.array(token, np.int64), np.array(feature, np.int64), np.array(labels, np.int64), np.array(starts), BUCKETS + 1)
 
@@ -133,17 +195,14 @@ def train(pages: list[str]) -> crf.Model:
 def extract(model: crf.Model, pages: list[str]) -> list[str]:
     """Main text of each page: its main blocks in order, joined by one line feed."""
     read = [leaf_blocks(h or "") for h in pages]
-    token, feature, starts, n = [], [], [0], 0
+    emission: list[float] = []
+    starts = [0]
     for blocks in read:
-        for f in page_features(blocks):
-            feature += f
-            token += [n] * len(f)
-            n += 1
-        starts.append(n)
-    starts = np.array(starts)
-    e = crf.emissions(model.weights, np.array(token, np.int64), np.array(feature, np.int64), n)
+        emission += [float(model.weights[f].sum()) for f in page_features(blocks)]
+        starts.append(len(emission))
+    e, starts = np.array(emission, float), np.array(starts)
     y = model.viterbi(e, crf.Chains(starts)) if len(e) else np.zeros(0, bool)
-    return ["\n".join(t for (t, _), keep in zip(blocks, y[a:b], strict=True) if keep) for blocks, a, b in zip(read, starts[:-1], starts[1:], strict=True)]
+    return ["\n".join(b.text for b, keep in zip(blocks, y[a:b_], strict=True) if keep) for blocks, a, b_ in zip(read, starts[:-1], starts[1:], strict=True)]
 
 
 def fit_extractor(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> crf.Model:
