@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .shared import free_name
 
 #: At most so many labelled documents are learned from, the first by hash of their id.
 TRAIN_DOCS = 4000
@@ -28,6 +29,24 @@ BUCKETS = 1 << 16
 CHAIN = 128
 WORD = re.compile(r"[^\W_]+")
 SPAN_AT = 0.5
+#: One in so many of the chains without a toxic token is learned from.
+CLEAN_CHAINS = 4
+#: Texts are tagged together up to about so many characters, so that memory does not grow with a batch.
+SLICE_CHARS = 1 << 19
+
+
+def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """Runs of ``texts`` of at most ``most`` characters; a longer text is a run of its own."""
+    run: list[str] = []
+    held = 0
+    for t in texts:
+        if run and held + len(t) > most:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
 
 
 def token_features(word: str) -> tuple[list[int], int, int]:
@@ -118,8 +137,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Tagger:
         tokens = [w.lower() for w in WORD.findall(text)]
         for lo in range(0, len(tokens), CHAIN):
             part = tokens[lo : lo + CHAIN]
-            if not (t and words.intersection(part)) and len(starts) % 4:
-                starts.append(starts[-1])  # chains without a toxic token are learned from one in four
+            if not (t and words.intersection(part)) and len(starts) % CLEAN_CHAINS:
+                starts.append(starts[-1])  # one in CLEAN_CHAINS is kept
                 continue
             known = [memo[w] if w in memo else memo.setdefault(w, token_features(w)) for w in part]
             for i, (own, _, _) in enumerate(known):
@@ -129,7 +148,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Tagger:
                 labels.append(bool(t) and part[i] in words)
             starts.append(len(labels))
     model = crf.fit(np.array(token, np.int64), np.array(feature, np.int64), np.array(labels, np.int64), np.array(starts), BUCKETS + 1)
-    tagger = Tagger(model, np.zeros(3))
+    tagger = Tagger(model, np.array([0.0, 0.0, -1.0]))  # without evidence, below a half
     if len(texts):
         x = np.column_stack([tagger.document_features(*tagger.marginals(texts)), np.ones(len(texts))])
         w = np.zeros(3)
@@ -149,7 +168,8 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
 
     Only labels pick the sample; their texts, a bounded number, are gathered.
     Null labels, ids and texts are left out; an empty sample gives a tagger
-    whose scores are all 0.5.
+    whose scores are all the same, below 0.5. Ties in the order of the sample
+    are settled by id and label; rows that repeat a document count each.
     """
     pick = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_docs)
@@ -157,16 +177,16 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
     return train(list(rows["text"]), rows["toxic"].to_numpy(dtype=float))
 
 
-def score_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """``docs`` plus ``toxicity`` double: whole texts; null and empty texts get the score of no tokens."""
+def score_documents(docs: DataFrame, tagger: Tagger, name: str = "toxicity") -> DataFrame:
+    """``docs`` plus ``name`` double: whole texts; null and empty texts get the score of no tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)  # a fixed number of weights
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.scores([t or "" for t in texts]))
+            yield pd.Series(np.concatenate([shared.value.scores(part) for part in slices([t or "" for t in texts])] or [np.zeros(0)]))
 
-    return docs.withColumn("toxicity", score(F.col("text")))
+    return docs.withColumn(name, score(F.col("text")))
 
 
 def toxic_spans(docs: DataFrame, tagger: Tagger, at: float = SPAN_AT) -> DataFrame:
@@ -189,9 +209,11 @@ def toxic_spans(docs: DataFrame, tagger: Tagger, at: float = SPAN_AT) -> DataFra
     @F.pandas_udf("array<struct<lo:int,hi:int>>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            texts = [t or "" for t in texts]
-            p, starts = shared.value.marginals(texts)
-            yield pd.Series([spans(t, p[a:b]) for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True)])
+            out: list[list[dict[str, int]]] = []
+            for part in slices([t or "" for t in texts]):
+                p, starts = shared.value.marginals(part)
+                out += [spans(t, p[a:b]) for t, a, b in zip(part, starts[:-1], starts[1:], strict=True)]
+            yield pd.Series(out, dtype=object)
 
     return docs.select("doc_id", tag(F.col("text")).alias("spans"))
 
@@ -203,10 +225,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """``docs`` without documents that score 0.5 or more; null and empty texts stay, and all where nothing was learned. Clashing column names are kept as they are."""
-    tagger = fit_tagger(docs, labels, train_docs)
-    if not tagger.scale.any():
-        return docs
-    scored = score_documents(docs.withColumnRenamed("toxicity", "toxicity_in"), tagger)
-    kept = scored.where("toxicity < 0.5 OR text IS NULL OR text = ''").drop("toxicity")
-    return kept.withColumnRenamed("toxicity_in", "toxicity")
+    """``docs`` without documents that score 0.5 or more; null and empty texts stay, and all where nothing was learned. Columns pass through, whatever their names."""
+    name = free_name("toxicity", docs)
+    kept = score_documents(docs, fit_tagger(docs, labels, train_docs), name)
+    return kept.where((F.col(name) < 0.5) | F.col("text").isNull() | (F.col("text") == "")).drop(name)
