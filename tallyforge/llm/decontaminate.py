@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_name, materialize
 
 WIDTH = 10
 #: The benchmark's windows are broadcast up to this many; beyond, Spark joins by a shuffle.
@@ -100,18 +100,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     rows that share a doc_id, null included, share its verdict. Columns of
     ``docs`` pass through; a benchmark without words changes nothing.
     """
-    marked = contamination(docs, benchmark, width)
+    marked = contamination(docs.select("doc_id", "text"), benchmark, width)
+    i, sp = free_name("_id", docs), free_name("_spans", docs)
     if remove == "documents":
-        ids = marked.select(F.col("doc_id").alias("_id"))
-        return docs.join(ids, docs.doc_id.eqNullSafe(ids._id), "left_anti")
-    spans = marked.select(F.col("doc_id").alias("_id"), "spans")
+        ids = marked.select(F.col("doc_id").alias(i))
+        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(i)), "left_anti")
+    spans = marked.select(F.col("doc_id").alias(i), F.col("spans").alias(sp))
     gap = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"  # separators of a text whose A-Z is as it was
     part = F.regexp_extract_all("text", F.lit(f"^[{gap}]+|[^{gap}]+[{gap}]*"), F.lit(0))
     lead = F.when(F.col("text").rlike(f"^[{gap}]"), 1).otherwise(0)
-    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["k"] - 1))))
-    joined = docs.join(spans, docs.doc_id.eqNullSafe(spans._id), "left")
-    kept = F.filter(part, lambda p, i: ~F.array_contains(hit, i - lead))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))).select(docs.columns)
+    hit = F.array_distinct(F.flatten(F.transform(sp, lambda s: F.sequence(s["pos"], s["pos"] + s["k"] - 1))))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(i)), "left")
+    kept = F.filter(part, lambda p, k: ~F.array_contains(hit, k - lead))
+    return joined.withColumn("text", F.when(F.col(sp).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -40,6 +40,7 @@ def permuted(x: Column, n: Column, *seed: Column | str) -> Column:
             right = F.pmod(right + F.pmod(F.xxhash64(left, F.lit(2 * r + 1), *seed), high), high)
         return right * wide + left
 
+    wide, high = F.greatest(wide, F.lit(1)), F.greatest(high, F.lit(1))  # of nothing there is nothing to permute
     first = F.transform(F.array(x), rounds)[0]
     return F.aggregate(F.sequence(F.lit(1), F.lit(48)), first, lambda v, _: F.when(v < n, v).otherwise(rounds(v)))
 
