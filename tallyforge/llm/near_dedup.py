@@ -1,8 +1,9 @@
 """Near-duplicate documents by Order MinHash.
 
 For each of ``SKETCHES`` hash orders, the ``PICKS`` smallest occurrence-labelled
-shingles of three words are kept in text order; documents that agree on a sketch
-are candidates. Candidates are verified by a banded alignment of their words:
+shingles of five words are kept in text order; documents that agree on a sketch
+are candidates. A bit map of each text's words turns down candidates that differ
+in too many; the others are verified by a banded alignment of their words:
 similar if the word edit distance is at most a fifth of the longer text. Equal
 word sequences are folded before, so groups of copies cost one document.
 """
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, link_buckets, materialize
+from .shared import connected_components, discard, free_name, link_buckets, materialize
 
-SHINGLE, PICKS, SKETCHES = 3, 2, 40
+SHINGLE, PICKS, SKETCHES = 5, 2, 64
 SIMILARITY = 0.8
+#: Longs in the bit map of a text's words.
+MAP = 8
 SEEDS = np.random.default_rng(1729).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -145,22 +148,40 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield flat[lo:hi]
 
 
+def word_map(words: np.ndarray) -> np.ndarray:
+    """A bit for each distinct word, by hash: an edit changes two at most."""
+    bits = np.zeros(64 * MAP, np.uint8)
+    bits[words.view(np.uint64) % np.uint64(64 * MAP)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n, sketches) of documents with words and an id; h1 and h2 hash the word sequence."""
+    """(doc_id, h1, h2, n, sketches, b0, b1, ...) of documents with words and an id; h1 and h2 hash the word sequence, b is the bit map."""
     words = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))
     words = words.select("doc_id", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.size("words").alias("n"), "words")
+    names = ["doc_id", "h1", "h2", "n", "sketches", *MAPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.compute.greater(batch.column("n"), 0))
             if not batch.num_rows:
                 continue
-            batch = batch.filter(pa.compute.greater(batch.column("n"), 0))
-            made = [order_sketches(w).view(np.int64) for w in _lists(batch.column("words"))]
-            flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))
+            made = [(order_sketches(w).view(np.int64), word_map(w)) for w in _lists(batch.column("words"))]
+            flat = pa.array(np.concatenate([m[0] for m in made]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * SKETCHES, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "h1", "h2", "n")] + [lists], names=["doc_id", "h1", "h2", "n", "sketches"])
+            maps = np.stack([m[1] for m in made])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:4]] + [lists] + [pa.array(maps[:, k].copy()) for k in range(MAP)], names=names)
+
+    return words.mapInArrow(run, "doc_id long, h1 long, h2 long, n int, sketches array<long>, " + ", ".join(f"{b} long" for b in MAPS))
 
-    return words.mapInArrow(run, "doc_id long, h1 long, h2 long, n int, sketches array<long>")
+
+MAPS = [f"b{k}" for k in range(MAP)]
+
+
+def close(a: str, b: str) -> Column:
+    """Whether the bit maps allow the similarity: no pair within the edits is turned down."""
+    apart = sum((F.bit_count(F.col(m + a).bitwiseXOR(F.col(m + b))) for m in MAPS[1:]), F.bit_count(F.col(MAPS[0] + a).bitwiseXOR(F.col(MAPS[0] + b))))
+    return apart <= 2 * F.floor(F.lit(1 - SIMILARITY) * F.greatest("size" + a, "size" + b) + 1e-9)
 
 
 def verify_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -192,32 +213,46 @@ def near_classes(docs: DataFrame) -> DataFrame:
     doc_id are one document. An empty table gives no rows; other columns are
     ignored. Groups are the connected classes of verified pairs.
     """
-    slim = materialize(sketch_documents(docs), "omh-sketches")
-    reps = materialize(slim.groupBy(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn")).agg(F.min("doc_id").alias("rep")), "omh-reps")
-    copies = slim.join(reps, (slim.h1 == reps.r1) & (slim.h2 == reps.r2) & (slim.n == reps.rn)).select("doc_id", "rep", "n", "sketches")
-    own = materialize(copies, "omh-own")
-    unique = own.where("doc_id = rep").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketches").dropDuplicates(["id"])
+    slim = materialize(sketch_documents(docs.select("doc_id", "text")), "omh-sketches")
+    reps = slim.groupBy(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn")).agg(F.min("doc_id").alias("rep"))
+    own = materialize(slim.select("doc_id", "h1", "h2", "n").join(reps, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("n") == F.col("rn"))).select("doc_id", "rep"), "omh-own")
+    first = own.where("doc_id = rep").select(F.col("rep").alias("id")).distinct()
+    unique = slim.join(first, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    unique = materialize(unique.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketches", *MAPS), "omh-unique")
+    discard(slim)
     members = unique.select("id", "size", F.explode("sketches").alias("bucket"))
-    wanted: list[DataFrame] = []
+    maps = unique.select("id", "size", *MAPS)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sides = [maps.select(F.col("id").alias("i" + s), *[F.col(c).alias(c + s) for c in ("size", *MAPS)]) for s in "ab"]
+        fits = F.least("sizea", "sizeb") >= F.lit(SIMILARITY) * F.greatest("sizea", "sizeb") - 1e-9
+        left = pairs.join(sides[0], F.col("a") == F.col("ia")).join(sides[1], (F.col("b") == F.col("ib")) & fits & close("a", "b")).select("a", "b")
+        left = materialize(left, "omh-left")
+        ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         words = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"))
         words = words.dropDuplicates(["id"]).select("id", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("kinds"), "words")
-        wanted.append(materialize(words, "omh-words"))
-        return verify_pairs(pairs, wanted[-1])
+        words = materialize(words, "omh-words")
+        found = materialize(verify_pairs(left, words), "omh-found")
+        discard(left, words)
+        return found
 
     def items(ids: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
         return texts.select("id", F.explode(F.array_distinct(word_hashes(F.col("text")))).alias("item"))
 
-    links = link_buckets(members, verify, None, "omh", SIMILARITY, items=items)
-    classes = connected_components(links, "omh-final").select(F.col("id").alias("c"), "class")
-    grouped = own.select("doc_id", "rep").join(classes, F.col("rep") == F.col("c"), "left").select(F.col("doc_id").alias("g"), F.coalesce("class", "rep").alias("class_id")).dropDuplicates(["g"])
+    def with_maps(crowd: DataFrame) -> DataFrame:
+        return crowd.join(maps.drop("size").withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m")
+
+    links = link_buckets(members, verify, with_maps, "omh", SIMILARITY, items=items, item_close=close)
+    classes = connected_components(links, "omh-final")
+    discard(unique)
+    known = classes.select(F.col("id").alias("c"), "class")
+    grouped = own.join(known, F.col("rep") == F.col("c"), "left").select(F.col("doc_id").alias("g"), F.coalesce("class", "rep").alias("class_id")).dropDuplicates(["g"])
     return docs.select("doc_id").join(grouped, F.col("doc_id") == F.col("g"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the smallest doc_id."""
-    classes = near_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(classes, docs.doc_id == classes._gone, "left_anti")
+    """``docs`` with one document of each near-duplicate group: that of the smallest doc_id. Its columns pass through, whatever their names."""
+    gone = free_name("_gone", docs)
+    classes = near_classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(classes, F.col("doc_id") == F.col(gone), "left_anti")

@@ -137,31 +137,33 @@ def rare_item_pairs(crowd: DataFrame, items: Callable[[DataFrame], DataFrame], r
     return pairs
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None, tag: str, ratio: float, small: int = 16, items: Callable[[DataFrame], DataFrame] | None = None, close: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None, tag: str, ratio: float, small: int = 16, items: Callable[[DataFrame], DataFrame] | None = None, close: Callable[[str, str], Column] | None = None, item_close: Callable[[str, str], Column] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Verified links (a, b) that connect all ids that share a bucket of ``members`` (bucket long, id long, size, ...) and are similar.
 
-    Pairs whose sizes differ by more than ``ratio`` allows, or that ``close``
-    (a test on the columns of two rows, by their suffixes) turns down, can't be
-    links and are left out. Buckets of up to ``small`` ids are compared pair by
-    pair. In a larger one every id is compared with its smallest and largest id,
-    so work stays linear in its size. Buckets that are then in one class are
-    done. Of the others the ids outside the most frequent class are compared
-    with all ids of other classes, those in the most frequent one included, so
-    similarity need not be transitive: pair by pair, or where ``items`` is given
-    by ``rare_item_pairs``. ``refine``, where given, may split them before into
-    finer buckets, and must keep similar ids together.
+    Buckets of up to ``small`` ids are compared pair by pair. In a larger one every
+    id is compared with its smallest and largest id, so work stays linear in its
+    size. Buckets that are then in one class are done. Of the others the ids
+    outside the most frequent class are compared with all ids of other classes,
+    those in the most frequent one included, so similarity need not be
+    transitive: pair by pair, or where ``items`` is given by ``rare_item_pairs``
+    with ``item_close``. Where members have a size, pairs whose sizes differ by
+    more than ``ratio`` allows can't be links and are left out; in crowded
+    buckets so are those that ``close`` turns down, a test on the columns of two
+    rows, by their suffixes, to which ``refine`` may add. ``prepare`` gets the
+    rows of buckets with two ids or more before pairs are verified.
     """
-    def fits(a: str, b: str) -> Column:
-        out = F.least("size" + a, "size" + b) >= ratio * F.greatest("size" + a, "size" + b) - 1e-9
-        return out if close is None else out & close(a, b)
+    sized = "size" in members.columns
+    fits = F.least("sizea", "sizeb") >= ratio * F.greatest("sizea", "sizeb") - 1e-9 if sized else F.lit(True)
 
     def side(rows: DataFrame, s: str) -> DataFrame:
         return rows.select("bucket", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in rows.columns if c not in ("bucket", "id", "n", "lo", "hi")])
 
     stats = members.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     shared = materialize(members.join(stats, F.col("bucket") == F.col("k")).drop("k"), f"{tag}-shared")
+    if prepare is not None:
+        prepare(shared)
     few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
-    pairs = side(few, "a").join(side(few, "b"), "bucket").where("a < b").where(fits("a", "b")).select("a", "b")
+    pairs = side(few, "a").join(side(few, "b"), "bucket").where("a < b").where(fits).select("a", "b")
     stars = many.select("id", F.explode(F.array("lo", "hi")).alias("centre")).where("id <> centre")
     pairs = materialize(pairs.unionByName(stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))).distinct(), f"{tag}-pairs")
     links = materialize(verify(pairs).select("a", "b"), f"{tag}-links")
@@ -186,7 +188,9 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         pairs = rare_item_pairs(crowd, items, ratio, tag, close)
     else:
         out = crowd.withColumn("out", F.col("class") != F.col("main"))
-        met = side(out, "a").where("outa").join(side(out, "b"), "bucket").where("(a < b OR NOT outb) AND classa <> classb").where(fits("a", "b"))
+        met = side(out, "a").where("outa").join(side(out, "b"), "bucket").where("(a < b OR NOT outb) AND classa <> classb").where(fits)
+        if close is not None:
+            met = met.where(close("a", "b"))
         pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-pairs")
     more = materialize(verify(pairs).select("a", "b"), f"{tag}-links")
     discard(pairs)
