@@ -22,7 +22,7 @@ from .shared import connected_components, discard, free_name, link_buckets, mate
 SHINGLE, PICKS, SKETCHES = 5, 2, 64
 SIMILARITY = 0.8
 #: Longs in the bit map of a text's words.
-MAP = 8
+MAP = 16
 SEEDS = np.random.default_rng(1729).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -39,6 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def occurrence(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each value."""
+    n = len(values)
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    fresh = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    nth = np.empty(n, np.uint64)
+    nth[order] = (np.arange(n) - np.repeat(fresh, np.diff(np.r_[fresh, n]))).astype(np.uint64)
+    return nth
+
+
 def order_sketches(words: np.ndarray) -> np.ndarray:
     """One hash per hash order; a text of fewer words than a shingle is one shingle."""
     w = words.view(np.uint64)
@@ -46,11 +57,7 @@ def order_sketches(words: np.ndarray) -> np.ndarray:
     grams = np.zeros(n, np.uint64)
     for j in range(min(SHINGLE, len(w))):
         grams = mix(grams * M1 + w[j : j + n])
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    fresh = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    nth = np.empty(n, np.uint64)
-    nth[order] = (np.arange(n) - np.repeat(fresh, np.diff(np.r_[fresh, n]))).astype(np.uint64)
+    nth = occurrence(grams)
     labelled = mix(grams + nth * M1)
     out = np.empty(SKETCHES, np.uint64)
     step = max(1, (1 << 20) // n)
@@ -149,9 +156,10 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def word_map(words: np.ndarray) -> np.ndarray:
-    """A bit for each distinct word, by hash: an edit changes two at most."""
+    """A bit for each occurrence-labelled word, by hash: an edit changes two at most."""
+    w = words.view(np.uint64)
     bits = np.zeros(64 * MAP, np.uint8)
-    bits[words.view(np.uint64) % np.uint64(64 * MAP)] = 1
+    bits[mix(w + occurrence(w) * M1) % np.uint64(64 * MAP)] = 1
     return np.packbits(bits).view(np.int64)
 
 
