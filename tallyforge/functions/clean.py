@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Markers of a missing cell, tokens of true and false, PII patterns.
@@ -13,8 +13,8 @@ TRUE = ["1", "true", "yes", "y", "t"]
 FALSE = ["0", "false", "no", "n", "f"]
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 EMAIL_IN_TEXT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-CARD_IN_TEXT = r"\b(?:\d[ -]?){13,16}\b"
-PHONE_IN_TEXT = r"\+?\d[\d\s().-]{7,}\d"
+PHONE_IN_TEXT = r"\b(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})\b"
+CARD_IN_TEXT = r"\b(?:\d[ -]*?){13,19}\b"
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd-MMM-yyyy", "dd/MM/yyyy"]
 
 
@@ -76,9 +76,9 @@ def collapse_spaces(c: Column) -> Column:
 
 
 def mask_text(c: Column) -> Column:
-    """Emails, then cards, then phones of free text become [email], [card], [phone]."""
+    """Emails, then phones, then cards of free text become [email], [phone], [card]."""
     c = F.regexp_replace(c, EMAIL_IN_TEXT, "[email]")
-    return F.regexp_replace(F.regexp_replace(c, CARD_IN_TEXT, "[card]"), PHONE_IN_TEXT, "[phone]")
+    return F.regexp_replace(F.regexp_replace(c, PHONE_IN_TEXT, "[phone]"), CARD_IN_TEXT, "[card]")
 
 
 def mask_email(c: Column) -> Column:
@@ -89,6 +89,30 @@ def mask_phone(c: Column) -> Column:
     return F.concat(F.lit("***-***-"), F.right(F.regexp_replace(c, r"\D", ""), F.lit(4)))
 
 
+def mask_ipv4(c: Column) -> Column:
+    return F.regexp_replace(c, r"^(\d{1,3}\.\d{1,3}\.\d{1,3})\.\d{1,3}$", "$1.*")
+
+
+#: Header suffix, suffix of the base unit, factor.
+UNITS = [("_oz", "_g", 28.3495), ("_lb", "_g", 453.592), ("_kg", "_g", 1000.0), ("_floz", "_l", 0.0295735), ("_ml", "_l", 0.001)]
+
+
+def base_units(df: DataFrame) -> DataFrame:
+    """Adds a column in grams or litres for each whose name ends in another unit; text that is no number becomes null."""
+    for c in df.columns:
+        for suffix, base, factor in UNITS:
+            if c.lower().endswith(suffix):
+                df = df.withColumn(c[: -len(suffix)] + base, F.col(c).try_cast("double") * factor)
+                break
+    return df
+
+
+def stabilized(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``<column>_log``: log1p, sign-preserving for negative values; on the others both forms agree, so a series needs no look at its least value."""
+    c = F.col(column)
+    return df.withColumn(f"{column}_log", F.signum(c) * F.log1p(F.abs(c)))
+
+
 def salted_hash(c: Column, salt: str) -> Column:
     return F.sha2(F.concat(c.cast("string"), F.lit(salt)), 256)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,46 @@ def marketing(df: DataFrame, m: dict, order: list[str], keys: tuple[str, ...] =
 
 
 def minimal_events(df: DataFrame, m: dict) -> DataFrame:
-    """event_id, value (1.0 where there is none), timestamp, entity_id (the event where there is none)."""
+    """event_id, value, timestamp, entity_id (the event where there is none); a missing value is 0, and 1 per event where no value column is mapped."""
+    named = m.get("value") in df.columns
     event = pick(df, m["event_id"])
-    return df.select(event.alias("event_id"), F.coalesce(pick(df, m.get("value"), "double"), F.lit(1.0)).alias("value"), pick(df, m["timestamp"], "timestamp").alias("timestamp"), F.coalesce(pick(df, m.get("entity_id")), event).alias("entity_id"))
+    return df.select(event.alias("event_id"), F.coalesce(pick(df, m.get("value"), "double") if named else F.lit(1.0), F.lit(0.0)).alias("value"), pick(df, m["timestamp"], "timestamp").alias("timestamp"), F.coalesce(pick(df, m.get("entity_id")), event).alias("entity_id"))
+
+
+# What counts as a positive or a negative target.
+TRUTHY = ["1", "true", "yes", "y", "t"]
+FALSY = ["0", "false", "no", "n", "f"]
+
+
+def generic(df: DataFrame, m: dict) -> DataFrame:
+    """id, timestamp, amount, email, phone, channel, target of any table; a target of a truthy or falsy word is 1 or 0, others stay as text."""
+    target = pick(df, m.get("target"))
+    word = F.lower(F.trim(target))
+    return df.select(
+        clean.missing_to_null(pick(df, m.get("id"))).alias("id"), pick(df, m.get("timestamp"), "timestamp").alias("timestamp"), F.regexp_replace(pick(df, m.get("amount")), r"[^0-9.\-]", "").try_cast("double").alias("amount"),
+        clean.clean_email(pick(df, m.get("email"))).alias("email"), clean.clean_phone(pick(df, m.get("phone"))).alias("phone"), F.lower(F.trim(pick(df, m.get("channel")))).alias("channel"),
+        F.when(word.isin(TRUTHY), "1").when(word.isin(FALSY), "0").otherwise(target).alias("target"),
+    )
+
+
+def file_health(df: DataFrame, required: list[str], key: str, date: str | None = None) -> DataFrame:
+    """(column, present, null_rate) of required columns with the table's rows, duplicate keys and date range, from one aggregate."""
+    have = [c for c in required if c in df.columns]
+    one = df.agg(F.count("*").alias("rows"), (F.count(key) - F.count_distinct(key)).alias("duplicate_keys"), (F.min(date) if date else F.lit(None).cast("timestamp")).alias("first_date"), (F.max(date) if date else F.lit(None).cast("timestamp")).alias("last_date"), *[F.avg(F.col(c).isNull().cast("double")).alias(f"_n_{c}") for c in have])
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), (F.col(f"_n_{c}") if c in have else F.lit(None).cast("double")).alias("null_rate")) for c in required]
+    return one.select("rows", "duplicate_keys", "first_date", "last_date", F.explode(F.array(*cells)).alias("c")).select("c.*", "rows", "duplicate_keys", "first_date", "last_date")
+
+
+def align_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The training columns in their order: a missing one is 0, others go."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(0).alias(c) for c in columns])
+
+
+# Names that tell the outcome.
+LEAKING = ["label", "target", "outcome", "refund", "chargeback", "settled", ".*_next"]
+
+
+def allowed_columns(columns: list[str], allow: list[str] | None = None, deny: list[str] | None = None) -> list[str]:
+    """Columns that no deny pattern names in full, or that an allow pattern does; outcome names are always denied unless allowed."""
+    match = lambda c, patterns: any(re.fullmatch(p, c, re.I) for p in patterns)
+    return [c for c in columns if match(c, allow or []) or not match(c, [*(deny or []), *LEAKING])]

@@ -24,7 +24,7 @@ def decision_curve(df: DataFrame, y: str, p: str, gain: float = 100, cost: float
     one = df.agg(F.sum(F.col(y)).alias("pos"), *[F.count_if(hit(t)).alias(f"v{i}") for i, t in enumerate(at)], *[F.count_if(hit(t) & (F.col(y) == 1)).alias(f"t{i}") for i, t in enumerate(at)])
     rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"v{i}").alias("volume"), F.col(f"t{i}").alias("tp"), F.col("pos").alias("pos")) for i, t in enumerate(at)])
     r = one.select(F.explode(rows).alias("r")).select("r.*")
-    return r.select("threshold", "volume", F.coalesce(F.try_divide("tp", "volume"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", "pos"), F.lit(0.0)).alias("recall"), (gain * F.col("tp") + cost * (F.col("volume") - F.col("tp"))).cast("double").alias("expected_profit"))
+    return r.select("threshold", "volume", F.try_divide("tp", "volume").alias("precision"), F.try_divide("tp", "pos").alias("recall"), (gain * F.col("tp") + cost * (F.col("volume") - F.col("tp"))).cast("double").alias("expected_profit"))
 
 
 def conformal_threshold(df: DataFrame, p_true: Column, alpha: float = 0.1, by: str | None = None) -> DataFrame:
@@ -34,13 +34,59 @@ def conformal_threshold(df: DataFrame, p_true: Column, alpha: float = 0.1, by: s
 
 
 def reliability_bins(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
-    """(bin, conf, acc, n) by equal-frequency edges; a value on an inner edge counts in both bins."""
-    edges = df.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
+    """(bin, center, conf, acc, n) of the predicted class's probability by equal-frequency edges; a value on an inner edge counts in both bins, an empty bin has n 0."""
+    scored = df.select(F.greatest(F.col(p), 1 - F.col(p)).alias("q"), ((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("double").alias("right"))
+    edges = scored.agg(F.percentile("q", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
     spans = edges.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(F.col("e")[i].alias("lo"), F.col("e")[i + 1].alias("hi")))).alias("bin", "span"))
     spans = spans.select("bin", "span.lo", "span.hi")
-    inside = (F.col(p) >= F.col("lo")) & (F.col(p) < F.col("hi") + 1e-12)
-    return df.join(F.broadcast(spans), inside).groupBy("bin").agg(F.avg(p).alias("conf"), F.avg(F.col(y).cast("double")).alias("acc"), F.count("*").alias("n"))
+    inside = (F.col("q") >= F.col("lo")) & (F.col("q") < F.col("hi") + 1e-12)
+    found = scored.join(F.broadcast(spans), inside).groupBy(F.col("bin").alias("_b")).agg(F.avg("q").alias("conf"), F.avg("right").alias("acc"), F.count("*").alias("n"))
+    return spans.join(found, F.col("bin") == F.col("_b"), "left").select("bin", ((F.col("lo") + F.col("hi")) / 2).alias("center"), "conf", "acc", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n")).alias("ece"))
+
+
+def prediction_sets(df: DataFrame, probabilities: dict[str, Column], threshold: float, most: int = 2) -> DataFrame:
+    """Adds ``labels``, the classes with 1 - p of at most ``threshold``, most probable first and at most ``most``, and ``abstained`` for none."""
+    cells = F.array(*[F.struct((-p).alias("order"), F.lit(c).alias("label")) for c, p in probabilities.items()])
+    inside = F.filter(cells, lambda s: 1 + s["order"] <= threshold)
+    labels = F.transform(F.slice(F.array_sort(inside), 1, most), lambda s: s["label"])
+    return df.withColumn("labels", labels).withColumn("abstained", F.size("labels") == 0)
+
+
+def set_metrics(sets: DataFrame, y: str, by: str | None = None) -> DataFrame:
+    """coverage, avg_set_size and abstention_rate of prediction sets, for all rows or per segment."""
+    made = [F.count("*").alias("n"), F.avg(F.array_contains("labels", F.col(y)).cast("double")).alias("coverage"), F.avg(F.size("labels")).alias("avg_set_size"), F.avg(F.col("abstained").cast("double")).alias("abstention_rate")]
+    return sets.groupBy(F.col(by).alias("segment")).agg(*made) if by else sets.agg(*made)
+
+
+def paired_means(df: DataFrame, before: str, after: str) -> DataFrame:
+    """n, mean_diff, t, its 95 % interval (normal), Cohen's d and the change of variance of two scores of each row; null where there is no spread."""
+    d = F.col(after) - F.col(before)
+    one = df.where(d.isNotNull()).agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"), (F.var_samp(after) - F.var_samp(before)).alias("variance_change"))
+    half = 1.96 * F.col("sd") / F.sqrt("n")
+    return one.select("n", "mean_diff", F.try_divide(F.col("mean_diff"), F.col("sd") / F.sqrt("n")).alias("t"), (F.col("mean_diff") - half).alias("ci_low"), (F.col("mean_diff") + half).alias("ci_high"), F.try_divide("mean_diff", "sd").alias("cohen_d"), "variance_change")
+
+
+def paired_rates(df: DataFrame, before: Column, after: Column) -> DataFrame:
+    """Rates of two flags of each row, their difference, and the z of the pooled test; null where the pooled rate is 0 or 1."""
+    one = df.agg(F.count("*").alias("n"), F.avg(before.cast("double")).alias("rate_before"), F.avg(after.cast("double")).alias("rate_after"))
+    pooled = (F.col("rate_before") + F.col("rate_after")) / 2
+    return one.withColumn("difference", F.col("rate_after") - F.col("rate_before")).withColumn("z", F.try_divide(F.col("difference"), F.sqrt(pooled * (1 - pooled) * 2 / F.col("n"))))
+
+
+def shift_summary(df: DataFrame, before: str, after: str, risky: float = 0.7) -> DataFrame:
+    """(which, p25, p50, p75, high_share) of a score before and after."""
+    part = lambda name, c: F.struct(F.lit(name).alias("which"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg((F.col(c) > risky).cast("double")).alias("high_share"))
+    one = df.agg(part("before", before).alias("b"), part("after", after).alias("a"))
+    r = one.select(F.explode(F.array("b", "a")).alias("r")).select("r.*")
+    return r.select("which", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "high_share")
+
+
+def change_correlation(df: DataFrame, changes: dict[str, Column], effect: Column) -> DataFrame:
+    """(feature, correlation) of each feature's change with the prediction's, nulls as 0; features that do not vary are left out."""
+    one = df.agg(*[F.try_divide(F.covar_pop(F.coalesce(c, F.lit(0.0)), effect), F.nullif(F.stddev_pop(F.coalesce(c, F.lit(0.0))) * F.stddev_pop(effect), F.lit(0.0))).alias(f"_{i}") for i, c in enumerate(changes.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(f"_{i}").alias("correlation")) for i, name in enumerate(changes)])
+    return one.select(F.explode(rows).alias("r")).select("r.*").where("correlation is not null and not isnan(correlation)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.clean import whole_days
@@ -60,3 +60,47 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     s = filled.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     out = filled.crossJoin(F.broadcast(s))
     return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))), F.lit(0.0)) for c in columns}).select(df.columns)
+
+
+def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``<column>__is_missing``, 1 for null."""
+    return df.withColumns({f"{c}__is_missing": F.col(c).isNull().cast("int") for c in columns})
+
+
+def binary_target(c: Column, positive: str | None = None) -> Column:
+    """1 for the positive label, or for a number above 0; null counts as 0."""
+    return F.coalesce((c.cast("string") == positive) if positive is not None else (c.try_cast("double") > 0), F.lit(False)).cast("int")
+
+
+def label_codes(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Adds ``<column>_code``: labels numbered from 0 as they first appear by ``order``, which tells rows apart; null is a label of its own."""
+    first = df.groupBy(F.col(column).alias("_v")).agg(F.min(F.struct(*order)).alias("_at"))
+    codes = first.select("_v", (F.row_number().over(Window.orderBy("_at")) - 1).alias(f"{column}_code"))  # a row per label
+    return df.join(codes, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
+
+
+def encoding_plan(df: DataFrame, columns: list[str], one_hot: int = 80) -> DataFrame:
+    """(column, values, plan): one-hot up to ``one_hot`` values (null is one), hashing beyond, ignore for none; one aggregate."""
+    made = [F.struct(F.lit(c).alias("column"), (F.count_distinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0))).alias("values")).alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = df.agg(*made).select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("r")).select("r.*")
+    return rows.withColumn("plan", F.when(F.col("values") == 0, "ignore").when(F.col("values") <= one_hot, "onehot").otherwise("hash"))
+
+
+def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Adds ``__oh__<column>_<value>`` for each value of the fit; other values and null are 0 in all."""
+    return df.withColumns({f"__oh__{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values})
+
+
+def fitted_values(df: DataFrame, column: str, most: int = 80) -> list[str]:
+    """The values of a fit in order, refused beyond ``most``, so that what comes to the driver is bounded."""
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values: hash it")
+    return sorted(found)
+
+
+def safe_bundle(df: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
+    """Medians for missing numbers, "-1" for missing texts; one aggregate fits it."""
+    mid = df.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in numbers])
+    out = df.crossJoin(F.broadcast(mid))  # one row
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in numbers} | {c: F.coalesce(F.col(c), F.lit("-1")) for c in texts}).select(df.columns)

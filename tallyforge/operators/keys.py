@@ -36,18 +36,25 @@ def newest(df: DataFrame, groups: list[str], order: list[Column], n: int = 5) ->
 
 
 def hashed_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``split``: a key is always on the same side."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(test_share * 10_000), "test").otherwise("train"))
+    """Adds ``split``: a key is always on the same side; a null key is in training."""
+    return df.withColumn("split", F.when(draw(key, seed) % 10_000 < int(test_share * 10_000), "test").otherwise("train"))
+
+
+def draw(key: str, seed: int) -> Column:
+    """A number below 2^32 that the key and the seed fix, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
 
 
 def stratified_quota(df: DataFrame, stratum: str, key: str, rows: int, seed: int = 42) -> DataFrame:
-    """At most about ``rows`` rows with the strata's shares kept; a sampling operator."""
+    """About ``rows`` rows with the strata's shares kept, those of the lowest draws; a sampling operator."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"))
-    quota = sizes.crossJoin(total).select(F.col(stratum).alias("_s"), F.round(F.col("_n") / F.col("_total") * rows).cast("long").alias("_quota"))
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    ranked = df.withColumn("_rank", F.row_number().over(w))
-    return ranked.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).where("_rank <= _quota").select(df.columns)
+    quota = sizes.crossJoin(total).select(F.col(stratum).alias("_s"), "_n", F.round(F.col("_n") / F.col("_total") * rows).cast("long").alias("_quota"))
+    # the draws of the rows that can be among the first are low, so few rows of a stratum meet to be ranked
+    near = df.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_draw", draw(key, seed))
+    near = near.where(F.col("_draw") <= F.lit(2.0**32) * (2 * F.col("_quota") + 100) / F.col("_n"))
+    w = Window.partitionBy(stratum).orderBy("_draw", key)
+    return near.withColumn("_rank", F.row_number().over(w)).where("_rank <= _quota").select(df.columns)
 
 
 def nearest(df: DataFrame, time: str, at: list[float]) -> DataFrame:

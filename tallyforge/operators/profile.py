@@ -49,7 +49,28 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def pii_scan(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, email, phone, ipv4): shares of cells that look so, from one aggregate."""
-    looks = {"email": r"[^@\s]+@[^@\s]+\.[^@\s]+", "phone": r"\+?\d[\d\s().-]{8,}\d", "ipv4": r"\b\d{1,3}(\.\d{1,3}){3}\b"}
+    """(column, email, phone, ipv4): shares of non-null cells that are so as a whole, from one aggregate."""
+    looks = {"email": r"^[^@\s]+@[^@\s]+\.[^@\s]{2,}$", "phone": r"^\+?[\d\-\s().]{7,}$", "ipv4": r"^(?:\d{1,3}\.){3}\d{1,3}$"}  # fixed values
     one = df.agg(*[F.avg(F.col(c).rlike(p).cast("double")).alias(f"{c}_{k}") for c in columns for k, p in looks.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{k}").alias(k) for k in looks]) for c in columns])).alias("r")).select("r.*")
+
+
+# Labels that mean yes.
+POSITIVE = ["1", "true", "yes", "y", "t", "purchase", "purchased", "won", "success", "churn", "fraud", "refund", "returned"]
+
+
+def positive_label(df: DataFrame, column: str) -> DataFrame:
+    """(label, rows): the label that counts as positive: 1, then true, then another positive word (the first by name), else the rarest, by text on a tie."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).agg(F.count("*").alias("rows"))
+    word = F.lower(F.trim("label"))
+    rank = F.when(word == "1", 0).when(word == "true", 1).when(word.isin(POSITIVE), 2).otherwise(3)
+    best = F.min_by(F.struct("label", "rows"), F.struct(rank, F.when(rank == 3, F.col("rows")).otherwise(F.lit(0)), "label"))
+    return counts.agg(best.alias("r")).select("r.*").where("label is not null")
+
+
+def task_type(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, labels, task): classification for 0/1 columns and for few labels (at most a tenth of the rows, 2 to 20), else regression; one aggregate."""
+    made = [F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("labels"), F.count(c).alias("n"), F.min(F.col(c).cast("string").isin("0", "1", "0.0", "1.0", "true", "false")).alias("flag")).alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = df.agg(*made).select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("r")).select("r.*")
+    most = F.least(F.lit(20), F.greatest(F.lit(2), F.floor(F.col("n") * 0.1)))
+    return rows.select("column", "labels", F.when(F.coalesce("flag", F.lit(True)) | (F.col("labels") <= most), "classification").otherwise("regression").alias("task"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def differences(df: DataFrame, key: str, ts: str, y: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(ts)
+def differences(df: DataFrame, key: str, ts: str | list[str], y: str) -> DataFrame:
+    """Adds ``diff`` to the row before of the same key; first rows go."""
+    ts = [ts] if isinstance(ts, str) else ts
+    w = Window.partitionBy(key).orderBy(*ts)
     return df.withColumn("diff", F.col(y) - F.lag(y).over(w)).where("diff IS NOT NULL")
 
 
@@ -39,3 +41,32 @@ def regular_days(series: DataFrame, key: str) -> DataFrame:
 def naive_forecast(series: DataFrame, key: str, steps: int = 7) -> DataFrame:
     last = series.groupBy(key).agg(F.max("day").alias("last"), F.max_by("y", "day").alias("forecast"))
     return last.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.date_add(F.col("last"), i))).alias("day"), "forecast")
+
+
+def autocorrelation(series: DataFrame, key: str, ts: str, y: str, lags: int = 20) -> DataFrame:
+    """(key, lag, acf) of the differenced series, for lags up to a quarter of its length; null for a constant one."""
+    d = differences(series, key, ts, y)
+    every = Window.partitionBy(key)
+    w = every.orderBy(ts)
+    centred = d.withColumn("_c", F.col("diff") - F.avg("diff").over(every)).withColumn("_n", F.count("*").over(every))
+    sums = centred.select(key, "_n", (F.col("_c") * F.col("_c")).alias("_0"), *[(F.col("_c") * F.lag("_c", k).over(w)).alias(f"_{k}") for k in range(1, lags + 1)])
+    one = sums.groupBy(key).agg(F.max("_n").alias("_n"), *[F.coalesce(F.sum(f"_{k}"), F.lit(0.0)).alias(f"_{k}") for k in range(lags + 1)])
+    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_{k}"), F.col("_0")).alias("acf")) for k in range(1, lags + 1)])
+    return one.select(key, "_n", F.explode(cells).alias("r")).where(F.col("r.lag") <= F.floor(F.col("_n") / 4)).select(key, "r.*")
+
+
+# The longest gap in days of a frequency, its letter, and its season's length.
+FREQUENCIES = [(0.5, "H", 24), (4, "D", 7), (15, "W", 52), (60, "M", 12), (200, "Q", 4)]
+
+
+def frequency(series: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, gap_days, freq, season_length, seasonal): the commonest gap (the shorter on a tie) and whether three seasons fit."""
+    w = Window.partitionBy(key).orderBy(ts)
+    gaps = series.select(key, ((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lag(ts).over(w).cast("timestamp"))) / 86400).alias("gap"))
+    counts = gaps.groupBy(key, "gap").agg(F.count("*").alias("n"))
+    one = counts.groupBy(key).agg(F.min_by("gap", F.when(F.col("gap").isNotNull(), F.struct(-F.col("n"), F.col("gap")))).alias("gap_days"), F.sum("n").alias("n"))
+    freq, season = F.when(F.col("gap_days").isNull(), None), F.when(F.col("gap_days").isNull(), 0)
+    for most, letter, length in FREQUENCIES:
+        freq, season = freq.when(F.col("gap_days") <= most, letter), season.when(F.col("gap_days") <= most, length)
+    one = one.select(key, "gap_days", "n", freq.otherwise("Y").alias("freq"), season.otherwise(1).alias("season_length"))
+    return one.select(key, "gap_days", F.when(F.col("gap_days").isNotNull(), F.col("freq")).alias("freq"), "season_length", ((F.col("season_length") > 0) & (F.col("n") >= 3 * F.col("season_length"))).alias("seasonal"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import clean
@@ -58,7 +58,7 @@ def p8(t):
     return canonical.marketing(raw, {"campaign_id": "event_id", "customer_id": "user_id", "channel": "event_type", "sent_date": "ts", "opened": "yes", "cost": "value"}, ["ts"])
 
 
-@query("p11_minimal_events", "SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(value, 1.0) AS value, ts AS timestamp, CAST(user_id AS VARCHAR) AS entity_id FROM events")
+@query("p11_minimal_events", "SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(value, 0.0) AS value, ts AS timestamp, CAST(user_id AS VARCHAR) AS entity_id FROM events")
 def p11(t):
     return canonical.minimal_events(t("events"), {"event_id": "event_id", "value": "value", "timestamp": "ts", "entity_id": "user_id"})
 
@@ -83,16 +83,17 @@ def k4(t):
     return profile.duplicate_rows(t("lineitem").select("l_orderkey", "l_linenumber"))
 
 
-@query("k7_margin_join", f"SELECT a.customer_id, total_spent, m.margin FROM ({AGG}) a LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS c, round(sum(l_extendedprice * (1 - l_discount)), 2) AS margin FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey) m ON a.customer_id = m.c")
+@query("k7_margin_join", f"SELECT a.customer_id, total_spent, m.margin FROM ({AGG}) a LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS c, round(avg(l_extendedprice * (1 - l_discount)), 6) AS margin FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey) m ON a.customer_id = m.c")
 def k7(t):
-    lines = t("lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("m"))
-    margin = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").cast("string").alias("customer_id")).agg(F.round(F.sum("m"), 2).alias("margin"))
+    lines = t("lineitem").select("l_orderkey", "l_extendedprice", "l_discount").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    margin = kpi.mean_margin(lines, "o_custkey", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return _agg(t).join(margin, "customer_id", "left").select("customer_id", "total_spent", "margin")
 
 
-@query("k8_referrals", f"SELECT customer_id, coalesce(n, 0) AS referral_score FROM ({AGG}) LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS u, count(*) AS n FROM events GROUP BY user_id) ON customer_id = u")
+@query("k8_referrals", f"SELECT customer_id, coalesce(n, 0) AS referrals, coalesce(n, 0) / (visits + 1) AS referral_score FROM ({AGG}) LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS u, count(*) AS n FROM events GROUP BY user_id) ON customer_id = u")
 def k8(t):
-    return kpi.referral_counts(_agg(t), t("events").select(F.col("user_id").cast("string").alias("code")), "code").select("customer_id", "referral_score")
+    agg = kpi.referral_counts(_agg(t), t("events").select(F.col("user_id").cast("string").alias("code")), "code")
+    return agg.select("customer_id", "referrals", kpi.kpi("referral_score", AS_OF).alias("referral_score"))
 
 
 @query("k9_canonical_join", "SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
@@ -117,12 +118,15 @@ def k12(t):
     return keys.newest(t("events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], [F.desc("ts"), F.asc("event_id")]).drop("ts")
 
 
-@query("k15_split")
+DRAW = "CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) AS BIGINT)"
+
+
+@query("k15_split", f"SELECT o_orderkey, o_orderstatus, CASE WHEN {DRAW} % 10000 < 2000 THEN 'test' ELSE 'train' END AS split FROM orders")
 def k15(t):
     return keys.hashed_split(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
 
 
-@query("k14_stratified_quota")
+@query("k14_stratified_quota", f"SELECT o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {DRAW}, o_orderkey) AS r, round(count(*) OVER (PARTITION BY o_orderstatus) / (SELECT count(*) FROM orders) * 500) AS q FROM orders) WHERE r <= q")
 def k14(t):
     return keys.stratified_quota(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 500)
 
@@ -154,12 +158,14 @@ def t17(t):
     return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("t19_mask_text")
+@query("t19_mask_text", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'),
+'\b(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})\b', '[phone]', 'g'), '\b(?:\d[ -]*?){13,19}\b', '[card]', 'g') AS text FROM documents""")
 def t19(t):
     return t("documents").select("doc_id", clean.mask_text(F.col("text")).alias("text"))
 
 
-@query("t20_pii_scan")
+@query("t20_pii_scan", " UNION ALL ".join(rf"""SELECT '{c}' AS "column", avg(CASE WHEN regexp_full_match({c}, '[^@\s]+@[^@\s]+\.[^@\s]{{2,}}') THEN 1.0 ELSE 0 END) AS email, avg(CASE WHEN regexp_full_match({c}, '\+?[\d\-\s().]{{7,}}') THEN 1.0 ELSE 0 END) AS phone,
+avg(CASE WHEN regexp_full_match({c}, '(?:\d{{1,3}}\.){{3}}\d{{1,3}}') THEN 1.0 ELSE 0 END) AS ipv4 FROM documents WHERE {c} IS NOT NULL""" for c in ("text", "source")))
 def t20(t):
     return profile.pii_scan(t("documents"), ["text", "source"])
 
@@ -169,7 +175,8 @@ def t22(t):
     return t("customer").select("c_custkey", clean.salted_hash(F.col("c_name"), "pepper").alias("c_name_hashed"))
 
 
-@query("t22_keyed_hash")
+@query("t22_keyed_hash", """WITH k AS (SELECT rpad('key', 64, chr(0)) AS key), p AS (SELECT unhex(string_agg(printf('%02x', xor(ascii(key[i]), 54)), '' ORDER BY i)) AS ip, unhex(string_agg(printf('%02x', xor(ascii(key[i]), 92)), '' ORDER BY i)) AS op FROM k, range(1, 65) r(i))
+SELECT c_custkey, sha256(op || unhex(sha256(ip || encode(c_name)))) AS c_name_hashed FROM customer, p""")
 def t22k(t):
     return t("customer").select("c_custkey", clean.keyed_hash(F.col("c_name"), b"key").alias("c_name_hashed"))
 
@@ -207,36 +214,71 @@ def a18(t):
     return _agg(t)
 
 
-@query("a19_kpis", f"SELECT customer_id, total_spent AS clv, total_spent / visits AS aov, visits / days_active AS purchase_frequency, CASE WHEN idle > 60 THEN 1 ELSE 0 END AS churn, idle AS recency, visits * ln(1 + total_spent) AS loyalty_score, visits / greatest(idle, 1) AS engagement_score, CASE WHEN visits > 1 THEN 1 ELSE 0 END AS repeat_purchase_rate FROM ({AGG})")
+LIFETIME = "CAST(floor((epoch(last_activity) - epoch(first_activity)) / 86400) AS BIGINT)"
+
+
+@query("a19_kpis", f"""SELECT customer_id, total_spent / visits * (visits / days_active) * (days_active / 30) AS clv, total_spent / visits AS revenue_per_customer, total_spent / visits AS aov, visits / days_active AS purchase_frequency, CASE WHEN idle > 60 THEN 1 ELSE 0 END AS churn,
+{LIFETIME} AS customer_lifetime, idle AS recency, visits / days_active * 0.6 + 0.4 / greatest(idle, 1) AS loyalty_score, visits / days_active AS engagement_score, CASE WHEN visits > 1 THEN 1 ELSE 0 END AS repeat_purchase_rate,
+CASE WHEN idle > 90 THEN 1 ELSE 0 END AS inactivity_risk_score, CASE WHEN total_spent > 500 THEN 1 ELSE 0 END AS vip_flag, total_spent / visits + 2 * days_active AS custom FROM ({AGG})""")
 def a19(t):
-    return _agg(t).select("customer_id", *[kpi.kpi(k, AS_OF).alias(k) for k in ("clv", "aov", "purchase_frequency", "churn", "recency", "loyalty_score", "engagement_score", "repeat_purchase_rate")])
+    agg = _agg(t)
+    named = ("clv", "revenue_per_customer", "aov", "purchase_frequency", "churn", "customer_lifetime", "recency", "loyalty_score", "engagement_score", "repeat_purchase_rate", "inactivity_risk_score", "vip_flag")
+    return agg.select("customer_id", *[kpi.kpi(k, AS_OF).alias(k) for k in named], kpi.kpi("total_spent / visits + 2 * days_active", AS_OF, columns=agg.columns).alias("custom"))
+
+
+@query("a19_profit", f"SELECT a.customer_id, total_spent * m.margin AS profit_per_customer FROM ({AGG}) a LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS c, round(avg(l_discount), 6) AS margin FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey) m ON a.customer_id = m.c")
+def a19p(t):
+    lines = t("lineitem").select("l_orderkey", "l_discount").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    agg = _agg(t).join(kpi.mean_margin(lines, "o_custkey", F.col("l_discount")), "customer_id", "left")
+    return agg.select("customer_id", kpi.kpi("profit_per_customer", AS_OF).alias("profit_per_customer"))
+
+
+FLAGS = f"""WITH a AS (SELECT *, total_spent / visits * (visits / days_active) * (days_active / 30) AS clv FROM ({AGG})), e AS (SELECT min(clv) AS c0, max(clv) AS c1, min(idle) AS r0, max(idle) AS r1 FROM a)
+SELECT customer_id, total_spent, clv, idle AS recency, CASE WHEN total_spent > 250000 THEN 1 ELSE 0 END AS is_vip, CASE WHEN idle > 90 THEN 1 ELSE 0 END AS is_at_risk,
+coalesce(0.7 * ((clv - c0) / nullif(c1 - c0, 0)) + 0.3 * (1 - (idle - r0) / nullif(r1 - r0, 0)), 0) AS upsell_score FROM a, e"""
 
 
-@query("a20_flags", f"""WITH a AS ({AGG}), e AS (SELECT min(total_spent) AS c0, max(total_spent) AS c1, min(idle) AS r0, max(idle) AS r1, quantile_cont(total_spent, .9) AS v FROM a)
-SELECT customer_id, total_spent AS clv, idle AS recency, CASE WHEN total_spent >= v THEN 1 ELSE 0 END AS vip_flag, CASE WHEN idle > 90 THEN 1 ELSE 0 END AS at_risk,
-0.7 * coalesce((total_spent - c0) / nullif(c1 - c0, 0), 0) + 0.3 * (1 - coalesce((idle - r0) / nullif(r1 - r0, 0), 0)) AS upsell_score FROM a, e""")
+@query("a20_flags", FLAGS)
 def a20(t):
-    return kpi.customer_flags(_agg(t), AS_OF)
+    return kpi.customer_flags(_agg(t), AS_OF, 250_000)
 
 
-AB = "SELECT l_returnflag AS variant, count(*) AS users, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS conversions FROM lineitem GROUP BY 1"
+@query("a21_customer_summary", f"SELECT count(*) AS total_customers, count(*) FILTER (WHERE is_vip = 1) AS vip_count, count(*) FILTER (WHERE is_at_risk = 1) AS at_risk_customers, count(*) FILTER (WHERE upsell_score > 0.7) AS high_upsell_score, round(avg(clv), 2) AS average_clv, round(avg(recency), 2) AS average_recency FROM ({FLAGS})")
+def a21(t):
+    return kpi.customer_summary(kpi.customer_flags(_agg(t), AS_OF, 250_000))
+
+
+AB = "SELECT l_returnflag AS variant, count(*) AS total_users, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS conversions FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1"
+CHI = """s AS (SELECT sum(total_users) AS n, sum(conversions) AS c, count(*) AS k FROM t),
+x AS (SELECT sum(power(conversions - total_users * c / n, 2) / (total_users * c / n) + power(conversions - total_users * c / n, 2) / (total_users * (n - c) / n)) AS chi2, max(k) - 1 AS df FROM t, s)"""
 
 
 def _ab(t) -> DataFrame:
     return kpi.ab_table(t("lineitem"), "l_returnflag", F.col("l_linestatus") == "F")
 
 
-@query("a22_ab_table", f"SELECT variant, users, conversions, conversions / users AS rate, coalesce((conversions / users - min(conversions / users) OVER ()) / nullif(min(conversions / users) OVER (), 0), 0) AS lift FROM ({AB})")
+@query("a22_ab_table", f"SELECT variant, total_users, conversions, conversions / total_users AS conversion_rate FROM ({AB})")
 def a22(t):
     return _ab(t)
 
 
-@query("a22_ab_chi_square", f"""WITH t AS ({AB}), s AS (SELECT sum(users) AS n, sum(conversions) AS c, count(*) AS k FROM t)
-SELECT sum(power(conversions - users * c / n, 2) / (users * c / n) + power(conversions - users * c / n, 2) / (users * (n - c) / n)) AS chi2, max(k) - 1 AS df FROM t, s""")
+@query("a22_ab_chi_square", f"WITH t AS ({AB}), {CHI} SELECT chi2, df FROM x")
 def a22c(t):
     return kpi.ab_chi_square(_ab(t))
 
 
+@query("a22_ab_test", f"""WITH t AS ({AB}), {CHI}, b AS (SELECT max(conversions / total_users) AS best, min(conversions / total_users) AS low FROM t)
+SELECT (SELECT min(variant) FROM t, b WHERE conversions / total_users = best) AS winner, best - low AS lift, chi2, df, exp(-chi2 / 2) AS p_value FROM x, b""")
+def a22t(t):
+    return kpi.ab_test(_ab(t))
+
+
+@query("a22_ab_two_variants", """WITH t AS (SELECT l_linestatus AS variant, count(*) AS u, CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS c FROM lineitem GROUP BY 1), s AS (SELECT sum(u) AS n, sum(c) AS k FROM t)
+SELECT sum(power(greatest(abs(c - u * k / n) - least(0.5, abs(c - u * k / n)), 0), 2) * (1 / (u * k / n) + 1 / (u * (n - k) / n))) AS chi2, CAST(1 AS BIGINT) AS df FROM t, s""")
+def a22y(t):
+    return kpi.ab_chi_square(kpi.ab_table(t("lineitem"), "l_linestatus", F.col("l_quantity") > 25))
+
+
 @query("a23_crosstab", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS F, count(*) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
 def a23(t):
     return t("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
@@ -257,7 +299,7 @@ def a28(t):
 def a29(t):
     o = t("orders").select("o_totalprice")
     ends = o.agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
-    place = F.floor((F.col("o_totalprice") - F.col("a")) / (F.col("b") - F.col("a")) * 20)
+    place = F.coalesce(F.floor(F.try_divide(F.col("o_totalprice") - F.col("a"), F.col("b") - F.col("a")) * 20), F.lit(0))  # a constant column is one bin
     return o.crossJoin(F.broadcast(ends)).groupBy(F.least(place, F.lit(19)).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -268,8 +310,7 @@ def a32(t):
 
 @query("w1_difference", "SELECT o_custkey, o_orderkey, d AS diff FROM (SELECT o_custkey, o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS d FROM orders) WHERE d IS NOT NULL")
 def w1(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t("orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") - F.lag("o_totalprice").over(w)).alias("diff")).where("diff IS NOT NULL")
+    return series.differences(t("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", "o_orderkey", "diff")
 
 
 DAILY = "SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS y FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2"
@@ -295,7 +336,8 @@ def w7(t):
     return features.capped(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
 
 
-@query("w5_quantile_bins")
+@query("w5_quantile_bins", f"""WITH q AS (SELECT quantile_cont(o_totalprice, [{', '.join(str(i / 10) for i in range(11))}]) AS e FROM orders)
+SELECT o_orderkey, o_totalprice, CAST(len(list_filter(e[2:10], lambda x: x < o_totalprice)) AS INTEGER) AS bin FROM orders, q""")
 def w5(t):
     o = t("orders").select("o_orderkey", "o_totalprice")
     return o.withColumn("bin", features.bin_by_edges(F.col("o_totalprice"), features.quantile_edges(o, "o_totalprice")))
@@ -328,13 +370,16 @@ def e2(t):
     return evaluate.losses(_scored(t), "y", "p")
 
 
-@query("e3_reliability", f"""WITH s AS ({SCORED}), q AS (SELECT quantile_cont(p, [{', '.join(str(i / 10) for i in range(11))}]) AS e FROM s), b AS (SELECT i AS bin, e[i + 1] AS lo, e[i + 2] AS hi FROM q, range(10) r(i))
-SELECT CAST(bin AS INTEGER) AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM s JOIN b ON p >= lo AND p < hi + 1e-12 GROUP BY 1""")
+RELIABILITY = f"""WITH s AS (SELECT greatest(p, 1 - p) AS q, CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END AS r FROM ({SCORED})), e AS (SELECT quantile_cont(q, [{', '.join(str(i / 10) for i in range(11))}]) AS e FROM s), b AS (SELECT i AS bin, e[i + 1] AS lo, e[i + 2] AS hi FROM e, range(10) r(i))
+SELECT CAST(bin AS INTEGER) AS bin, (min(lo) + min(hi)) / 2 AS center, avg(q) AS conf, avg(r) AS acc, count(q) AS n FROM b LEFT JOIN s ON q >= lo AND q < hi + 1e-12 GROUP BY 1"""
+
+
+@query("e3_reliability", RELIABILITY)
 def e3(t):
     return evaluate.reliability_bins(_scored(t), "y", "p")
 
 
-@query("e4_calibration_error")
+@query("e4_calibration_error", f"SELECT sum(n * abs(acc - conf)) / sum(n) AS ece FROM ({RELIABILITY})")
 def e4(t):
     return evaluate.calibration_error(evaluate.reliability_bins(_scored(t), "y", "p"))
 
@@ -344,8 +389,8 @@ def e5(t):
     return evaluate.conformal_threshold(_scored(t), F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")), 0.1, "y")
 
 
-@query("e7_decision_curve", f"""SELECT v.t AS threshold, count(*) FILTER (WHERE p >= v.t) AS volume, coalesce(count(*) FILTER (WHERE p >= v.t AND y = 1) / nullif(count(*) FILTER (WHERE p >= v.t), 0), 0) AS precision,
-coalesce(count(*) FILTER (WHERE p >= v.t AND y = 1) / nullif(sum(y), 0), 0) AS recall, CAST(100 * count(*) FILTER (WHERE p >= v.t AND y = 1) - 10 * count(*) FILTER (WHERE p >= v.t AND y = 0) AS DOUBLE) AS expected_profit
+@query("e7_decision_curve", f"""SELECT v.t AS threshold, count(*) FILTER (WHERE p >= v.t) AS volume, count(*) FILTER (WHERE p >= v.t AND y = 1) / nullif(count(*) FILTER (WHERE p >= v.t), 0) AS precision,
+count(*) FILTER (WHERE p >= v.t AND y = 1) / nullif(sum(y), 0) AS recall, CAST(100 * count(*) FILTER (WHERE p >= v.t AND y = 1) - 10 * count(*) FILTER (WHERE p >= v.t AND y = 0) AS DOUBLE) AS expected_profit
 FROM ({SCORED}), (SELECT CAST(i AS DOUBLE) / 10 AS t FROM range(1, 10) r(i)) v GROUP BY v.t""")
 def e7(t):
     return evaluate.decision_curve(_scored(t), "y", "p")
@@ -372,7 +417,10 @@ def y1(t):
     return series.daily(t("events"), "user_id", "ts", "value").withColumn("day", F.col("day").cast("string"))
 
 
-@query("y2_regular_days")
+@query("y2_regular_days", f"""WITH d AS ({DAILY}), x AS (SELECT user_id, CAST(unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1), f AS (SELECT x.user_id, x.day, y FROM x LEFT JOIN d ON x.user_id = d.user_id AND x.day = d.day),
+g AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN day END IGNORE NULLS) OVER b AS pd, last_value(y IGNORE NULLS) OVER b AS py, first_value(CASE WHEN y IS NOT NULL THEN day END IGNORE NULLS) OVER a AS nd, first_value(y IGNORE NULLS) OVER a AS ny FROM f
+WINDOW b AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT user_id, day, coalesce(y, py + (day - pd) / (nd - pd) * (ny - py)) AS y FROM g""")
 def y2(t):
     return series.regular_days(series.daily(t("events"), "user_id", "ts", "value"), "user_id")
 
@@ -392,7 +440,7 @@ def r2(t):
     return stream_events.weekly(t("events"), "ts", "value")
 
 
-@query("s9_storage_types")
+@query("s9_storage_types", """SELECT column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN CASE WHEN (SELECT greatest(max(o_orderkey), max(o_custkey)) FROM orders) < 2147483648 THEN 'Integer' ELSE 'BigInteger' END WHEN column_type = 'DOUBLE' THEN 'Float' ELSE 'Text' END AS storage_type FROM (DESCRIBE orders)""")
 def s9(t):
     return tables.storage_types(t("orders"))
 

@@ -56,11 +56,15 @@ def preview(df: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     return df.orderBy(*keys).limit(n).withColumns(out) if out else df.orderBy(*keys).limit(n)
 
 
+# Parts of a name that mark a code, kept as text.
+CODE_WORDS = ["ean", "upc", "gtin", "sku", "barcode", "code"]
+
+
 def storage_types(df: DataFrame) -> DataFrame:
     """(column, storage_type): integers by their range, code-like names as text; one aggregate."""
     ints = [c for c, kind in df.dtypes if kind in ("int", "bigint", "smallint", "tinyint")]
     fixed = {"double": "Float", "float": "Float", "string": "Text"}
     wide = {c: F.when((F.min(c) >= -(2**31)) & (F.max(c) < 2**31), "Integer").otherwise("BigInteger") for c in ints}
-    coded = [c for c in df.columns if any(w in c.lower() for w in ("sku", "barcode", "zip", "postal"))]
+    coded = [c for c in df.columns if any(w in c.lower() for w in CODE_WORDS)]
     one = df.agg(*[(F.first(F.lit("Text")) if c in coded else wide[c] if c in wide else F.first(F.lit(fixed.get(k, "Text")))).alias(c) for c, k in df.dtypes])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("Text")).alias("storage_type")) for c in df.columns])).alias("r")).select("r.*")

@@ -61,7 +61,9 @@ def test_features(spark):
 
 def test_reliability_bins_count_inner_edges_twice(spark):
     df = spark.createDataFrame([(i % 2, i / 100) for i in range(101)], "y int, p double")
-    assert evaluate.reliability_bins(df, "y", "p").agg(F.sum("n")).first()[0] == 101 + 9
+    assert evaluate.reliability_bins(df, "y", "p").agg(F.sum("n")).first()[0] == 101 + 18  # p and 1 - p are equally sure, so two rows lie on each inner edge
+    flat = evaluate.reliability_bins(df.withColumn("p", F.lit(1.0)), "y", "p").collect()
+    assert len(flat) == 10 and {r.conf for r in flat} == {1.0}
 
 
 def test_what_if_inverse(spark):
