@@ -185,7 +185,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     if refine is not None:
         crowd = refine(crowd)
     if items is not None:
-        pairs = rare_item_pairs(crowd, items, ratio, tag, close)
+        pairs = rare_item_pairs(crowd, items, ratio, tag, item_close)
     else:
         out = crowd.withColumn("out", F.col("class") != F.col("main"))
         met = side(out, "a").where("outa").join(side(out, "b"), "bucket").where("(a < b OR NOT outb) AND classa <> classb").where(fits)
