@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, non_nulls, nulls, null_rate, distinct, min, max, mean, p25, p50, p75) of numeric columns from one aggregate."""
+    """(column, non_nulls, nulls, null_rate, min, max, mean, p25, p50, p75) of numeric columns from one aggregate."""
     made = []
     for c in columns:
         v = F.col(c).cast("double")
@@ -26,7 +26,7 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def health(df: DataFrame, key: str, date: str, amount: str, as_of: str) -> DataFrame:
-    """(severity, field, message, count) of what is wrong, most severe first; checks without a finding are left out."""
+    """(severity, field, message, count) of what is wrong, checks without a finding are left out; rows come in no order."""
     at = F.lit(as_of).cast("timestamp")
     checks = [
         ("error", key, "missing", F.col(key).isNull()), ("error", date, "missing", F.col(date).isNull()),
