@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM  # a window begins at most so many bytes before its anchor
@@ -315,20 +315,30 @@ def split_contexts(distinct: DataFrame) -> DataFrame:
 def covered_contexts(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, starts): window starts, as bits from byte ``lo``, whose window an earlier document has."""
     shared = materialize(shared_anchors(anchor_rows(docs)), "substring-anchors")
-    cut = contexts(docs, shared).withColumn("key", F.xxhash64("hash", "at", "context"))
-    cut = materialize(cut, "substring-contexts")
-    distinct = materialize(cut.groupBy("hash", "at", "context").agg(F.min("doc_id").alias("first")), "substring-distinct")
+    content = ("hash", "at", "context")
+    # Two hashes stand for a context in the last join, as one of 64 bits collides at 10^11 rows.
+    key, check = F.xxhash64(*content), F.xxhash64(F.lit(1), *content)
+    cut = materialize(contexts(docs, shared), "substring-contexts")
+    discard(shared)
+    distinct = cut.groupBy(*content).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    distinct = materialize(distinct, "substring-distinct")
     many = materialize(distinct.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("n")).where("n > 1"), "substring-counts")
     counted = distinct.join(many, distinct.hash == many.h)
-    sorted_ = sort_contexts(counted.where(F.col("n") <= CONTEXTS).select("hash", "at", "context", "first"))
-    split = split_contexts(counted.where(F.col("n") > CONTEXTS).select("hash", "at", "context", "first"))
-    bits = sorted_.unionByName(split).select(F.xxhash64("hash", "at", "context").alias("k"), "starts")
-    verdict = distinct.select(F.xxhash64("hash", "at", "context").alias("key2"), "first").join(bits, F.col("key2") == F.col("k"), "left")
-    verdict = materialize(verdict.select("key2", "first", F.coalesce("starts", F.lit(0).cast("long")).alias("starts")), "substring-verdicts")
-    joined = cut.select("doc_id", "lo", "key", F.octet_length("context").alias("size")).join(verdict, F.col("key") == F.col("key2"))
+    sorted_ = sort_contexts(counted.where(F.col("n") <= CONTEXTS).select(*content, "first"))
+    split = split_contexts(counted.where(F.col("n") > CONTEXTS).select(*content, "first"))
+    bits = materialize(sorted_.unionByName(split).where("starts <> 0").select(key.alias("k"), check.alias("c"), "starts"), "substring-bits")
+    discard(many)
+    verdict = distinct.select(key.alias("key2"), check.alias("check2"), "first", "rows")
+    verdict = verdict.join(bits, (F.col("key2") == bits.k) & (F.col("check2") == bits.c), "left").where("rows > 1 or starts is not null")
+    verdict = materialize(verdict.select("key2", "check2", "first", F.coalesce("starts", F.lit(0).cast("long")).alias("starts")), "substring-verdicts")
+    discard(distinct, bits)
+    joined = cut.select("doc_id", "lo", key.alias("key"), check.alias("check"), F.octet_length("context").alias("size"))
+    joined = joined.join(verdict, (F.col("key") == F.col("key2")) & (F.col("check") == F.col("check2")))
     full = F.expr(f"shiftleft(1L, size - {LENGTH - 1}) - 1L")
     joined = joined.select("doc_id", "lo", F.when(F.col("doc_id") > F.col("first"), full).otherwise(F.col("starts")).alias("starts"))
-    return joined.where("starts <> 0")
+    found = materialize(joined.where("starts <> 0"), "substring-covered")
+    discard(cut, verdict)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
