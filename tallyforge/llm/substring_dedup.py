@@ -32,6 +32,11 @@ from .shared import discard, materialize
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM  # a window begins at most so many bytes before its anchor
 CONTEXTS = 4096
+#: Windows are told apart by how many bytes before their anchor they start, in cells of so many places.
+CELL = 9
+COMMON = LENGTH - CELL + 1  # bytes that all windows of a cell share
+#: Texts whose anchors are found at once, in bytes; a longer text goes alone.
+SLICE_BYTES = 1 << 16
 #: Contexts that are sorted together, in bytes.
 SORT_BYTES = 1 << 13
 _rng = np.random.default_rng(5)
@@ -136,13 +141,17 @@ def grouped_suffixes(text: list[int]) -> list[int]:
     return out
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hash, first byte and size of the windows that have it, its place in these) of every anchor of the texts."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text number, hash, first byte and size of the windows that have it, its place in these, cells) of every anchor of the texts.
+
+    ``cells`` packs three hashes of 7 bits, of the bytes that a third of the
+    anchor's windows have in common each; 0 where it has no such bytes.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
     if n < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     h = BYTE[data]  # hashes of 1, 2, 4, 8, 16 and then 24 bytes
     grams = {1: h}
     for i, w in enumerate((1, 2, 4, 8)):
@@ -171,9 +180,27 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     most = np.maximum(most[: len(h)], most[REACH + 1 - span : REACH + 1 - span + len(h)])
     at = np.flatnonzero(most == h)
     number = np.searchsorted(ends, at, side="right")
-    own = padded[at[:, None] + np.arange(REACH + 1)] == h[at][:, None]
-    before = REACH - own.argmax(1)
-    return number, h[at].view(np.int64), at - before - (ends - sizes)[number], own.sum(1) + LENGTH - 1, before
+    # The windows that have an anchor are neighbours: a run of equal values within its REACH + 1 places.
+    change = padded[1:] != padded[:-1]
+    first = np.r_[0, np.flatnonzero(change) + 1]
+    last = np.r_[first[1:], len(padded)]
+    run = np.r_[0, np.cumsum(change)][at]
+    off = np.flatnonzero(padded[first[run]] != h[at])
+    while len(off):
+        run[off] += 1
+        off = off[padded[first[run[off]]] != h[at[off]]]
+    lo = np.maximum(first[run], at) - REACH
+    size = np.minimum(last[run], at + REACH + 1) - REACH - lo + LENGTH - 1
+    # Windows that start ``e`` to ``e + CELL - 1`` bytes before the anchor share the bytes that all of them have.
+    cells = np.zeros(len(at), np.int64)
+    for e in range(0, REACH + 1, CELL):
+        p = at - e
+        there = (p >= lo) & (p + COMMON <= lo + size)
+        p = np.where(there, p, 0)
+        mixed = (grams[16][p] * _STEPS[5] + grams[16][np.minimum(p + 16, n - 16)]) * _STEPS[6] + grams[16][np.minimum(p + COMMON - 16, n - 16)]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _STEPS[7]
+        cells = cells << 7 | np.where(there, (mixed >> np.uint64(40)) % np.uint64(127) + np.uint64(1), np.uint64(0)).astype(np.int64)
+    return number, h[at].view(np.int64), lo - (ends - sizes)[number], size, at - lo, cells
 
 
 def _blob(column: pa.Array) -> list[bytes]:
@@ -181,21 +208,43 @@ def _blob(column: pa.Array) -> list[bytes]:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, lo, size, at) of all documents' anchors."""
+    """(hash, doc_id, place) of all documents' anchors; ``place`` packs lo (31 bits), size (7), at (5) and cells (21)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(0, batch.num_rows, 500):
-                part = batch.slice(row, 500)
-                number, h, lo, size, at = anchors(_blob(part.column(1)))
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[number]), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int8)), pa.array(at.astype(np.int8))], names=["hash", "doc_id", "lo", "size", "at"])
+            texts = _blob(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            slices = np.cumsum([len(t) for t in texts]) // SLICE_BYTES
+            cuts = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                number, h, lo, size, at, cells = anchors(texts[a:b])
+                place = ((lo << 7 | size) << 5 | at) << 21 | cells
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a:b][number]), pa.array(place)], names=["hash", "doc_id", "place"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, place long")
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, lo int, size tinyint, at tinyint")
+
+def with_partner(group: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which rows agree in one of their three cells with another row of their group; all that share a window do."""
+    keep = np.zeros(len(group), bool)
+    for shift in (0, 7, 14):
+        cell = cells >> shift & 127
+        key = group * 128 + cell
+        keep |= (cell > 0) & (np.bincount(key)[key] > 1)
+    return keep
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
-    """Rows whose hash occurs in two documents, from a stream sorted by (hash, doc_id); holds one document's rows at most."""
+    """(hash, doc_id, lo, size, at) whose hash occurs in two documents, from a stream sorted by hash.
+
+    Holds one document's rows of a hash at most. Where a hash's rows lie in one
+    batch, those without a partner in any cell are left out, as no other has a window of theirs.
+    """
+
+    def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        place = batch.column(2).to_numpy()
+        parts = [(place >> 33).astype(np.int32), (place >> 26 & 127).astype(np.int8), (place >> 21 & 31).astype(np.int8)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, parts)], names=["hash", "doc_id", "lo", "size", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the hash at the end, so far all of one document
@@ -206,11 +255,15 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cut = np.flatnonzero(h[1:] != h[:-1]) + 1
             lo, hi = np.r_[0, cut], np.r_[cut, len(h)]
-            many = d[lo] != d[hi - 1]
+            many = np.minimum.reduceat(d, lo) != np.maximum.reduceat(d, lo)
             keep = np.repeat(many, hi - lo)
+            inner = np.flatnonzero(keep[hi[0] : lo[-1]]) + hi[0]  # rows of whole groups
+            if len(inner):
+                group = np.repeat(np.cumsum(many), hi - lo)[inner]
+                keep[inner] = with_partner(group - group[0], batch.column(2).to_numpy()[inner])
             if last is not None and h[0] == last[0]:  # the first run goes on from the batch before
                 if known or many[0] or d[0] != last[1]:
-                    yield from held
+                    yield from map(unpacked, held)
                     held, known = [], True
                     keep[: hi[0]] = True
                 many[0] = known
@@ -219,10 +272,10 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             if not known:
                 held.append(batch.slice(int(lo[-1])))
             last = (h[-1], d[-1])
-            yield batch.filter(pa.array(keep))
+            yield unpacked(batch.filter(pa.array(keep)))
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, "hash").sortWithinPartitions("hash", "doc_id").mapInArrow(run, "hash long, doc_id long, lo int, size tinyint, at tinyint")
+    return rows.repartition(partitions, "hash").sortWithinPartitions("hash").mapInArrow(run, "hash long, doc_id long, lo int, size tinyint, at tinyint")
 
 
 def contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -277,6 +330,19 @@ def repeated_starts(parts: list[tuple[int, int, bytes, int]]) -> list[int]:
     return out
 
 
+def sharing(parts: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
+    """The contexts of one anchor that have a cell's bytes in common with another; the rest can share no window."""
+    found: dict[tuple[int, bytes], int] = {}
+    keep = [False] * len(parts)
+    for k, (_, at, data, _) in enumerate(parts):
+        for e in range(0, REACH + 1, CELL):
+            if at >= e and at - e + COMMON <= len(data):
+                first = found.setdefault((e, data[at - e : at - e + COMMON]), k)
+                if first != k:
+                    keep[k] = keep[first] = True
+    return [x for x, y in zip(parts, keep, strict=True) if y]
+
+
 def sort_contexts(distinct: DataFrame) -> DataFrame:
     """Adds ``starts`` (bits of repeated window starts) to (hash, at, context, first); anchors' contexts meet by hash."""
 
@@ -285,18 +351,23 @@ def sort_contexts(distinct: DataFrame) -> DataFrame:
         held = 0
 
         def work() -> pa.RecordBatch:
-            h, at, c, _ = zip(*group, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int8()), pa.array(c, pa.binary()), pa.array(repeated_starts(group), pa.int64())], names=["hash", "at", "context", "starts"])
+            h, at, c, _ = zip(*group, strict=True) if group else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int8()), pa.array(c, pa.binary()), pa.array(repeated_starts(group) if group else [], pa.int64())], names=["hash", "at", "context", "starts"])
 
+        same: list[tuple[int, int, bytes, int]] = []  # contexts of one anchor
         for batch in batches:
-            for h, at, c, d in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                if held > SORT_BYTES and group[-1][0] != h:
-                    yield work()
-                    group, held = [], 0
-                group.append((h, at, c, d))
-                held += len(c)
-        if group:
-            yield work()
+            for row in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if same and same[-1][0] != row[0]:
+                    kept = sharing(same)
+                    group += kept
+                    held += sum(len(x[2]) for x in kept)
+                    same = []
+                    if held > SORT_BYTES:
+                        yield work()
+                        group, held = [], 0
+                same.append(row)
+        group += sharing(same)
+        yield work()
 
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return distinct.repartition(partitions, "hash").sortWithinPartitions("hash").mapInArrow(run, "hash long, at tinyint, context binary, starts long")
