@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, free_name, link_buckets, materialize
 
-SHINGLE, PICKS, SKETCHES = 5, 2, 64
+SHINGLE, PICKS, SKETCHES = 5, 2, 96
 SIMILARITY = 0.8
 #: Longs in the bit map of a text's words.
 MAP = 16
