@@ -30,13 +30,10 @@ SHINGLE = 4
 PERCENT = 85
 #: Counters of the table that orders items; each task has one.
 CELLS = 1 << 18
-#: Longs in a set's bit map.
-MAP = 16
 #: Sets of one bucket, and words of one class, that a task compares with each other; more are cut into blocks, each compared with each.
 BUCKET_SETS, CLASS_WORDS = 16_384, 3_000_000
-MAPS = [f"b{k}" for k in range(MAP)]
-#: Words whose hashes a worker remembers.
-MEMORY = 1 << 20
+#: Bytes of texts that are hashed together; powers that are kept for places in a word.
+SLICE, PLACES = 1 << 20, 1 << 12
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -47,30 +44,65 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Item sets of texts (UTF-8); words are runs without ASCII white space, A-Z in lower case."""
+    """Item sets of texts; words are runs of UTF-8 bytes without ASCII white space, A-Z in lower case.
+
+    Many texts are hashed at once: a word's hash is the sum of its bytes' random
+    numbers, each times an odd number to the power of its place in the word.
+    """
 
     def __init__(self) -> None:
-        from xxhash import xxh64_intdigest
-
-        self.hash, self.known = xxh64_intdigest, {}
-
-    def items(self, text: bytes | None) -> np.ndarray:
-        """Distinct hashes of the shingles, sorted; a text of fewer words is one shingle, none has no words."""
-        words = (text or b"").lower().split()
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.hash(w)
-        w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if not len(w):
-            return w
-        size = min(SHINGLE, len(w))
-        n = len(w) - size + 1
-        grams = np.full(n, size, np.uint64)
+        rng = np.random.default_rng(20_011)
+        self.byte = rng.integers(1, 2**64, 256, dtype=np.uint64)
+        self.byte[65:91] = self.byte[97:123]
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.byte[self.blank] = 0
+        with np.errstate(over="ignore"):
+            self.power = np.multiply.accumulate(np.full(PLACES, M1 | np.uint64(1), np.uint64))
+
+    def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The distinct shingles' hashes of each text, sorted; a text of fewer words is one shingle, one without words, and null, has none."""
+        column = column.cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        null = np.asarray(column.is_null())
+        lo = 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, side="right")) - 1)
+            yield from self._slice(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], null[lo:hi])
+            lo = hi
+
+    def _slice(self, text: np.ndarray, at: np.ndarray, null: np.ndarray) -> Iterator[np.ndarray]:
+        blank = self.blank[text]
+        begins = np.r_[True, blank[:-1]][: len(text)]
+        begins[at[:-1][at[:-1] < len(text)]] = True
+        starts = np.flatnonzero(begins & ~blank)
+        own = np.searchsorted(at, starts, side="right") - 1  # the text a word is in; empty texts have none
+        hashes = np.zeros(0, np.uint64)
+        if len(starts):
+            run = text[starts[0] :]
+            place = np.arange(len(run)) - np.repeat(starts - starts[0], np.diff(np.r_[starts, len(text)]))
+            hashes = mix(np.add.reduceat(self.byte[run] * self.power[place & (PLACES - 1)], starts - starts[0]))
+        first = np.searchsorted(own, np.arange(len(null) + 1))
+        grams = self._grams(hashes, SHINGLE)
+        for i in range(len(null)):
+            lo, hi = first[i], first[i + 1]
+            if null[i] or lo == hi:
+                yield np.zeros(0, np.uint64)
+            elif hi - lo < SHINGLE:
+                yield self._grams(hashes[lo:hi], int(hi - lo))
+            else:
+                g = np.sort(grams[lo : hi - SHINGLE + 1])
+                yield g[np.r_[True, g[1:] != g[:-1]]]
+
+    @staticmethod
+    def _grams(words: np.ndarray, size: int) -> np.ndarray:
+        n = max(len(words) - size + 1, 0)
+        g = np.full(n, size, np.uint64)
         for j in range(size):
-            grams = mix(grams * M1 + w[j : j + n])
-        return np.unique(grams)
+            g = (g ^ (g >> np.uint64(29))) * M1 + words[j : j + n] * M2
+        return mix(g)
 
 
 def in_order(items: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -79,10 +111,12 @@ def in_order(items: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique(keys)
 
 
-def bit_map(items: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * MAP, np.uint8)
-    bits[(mix(items) % np.uint64(64 * MAP)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+def bit_map(keys: np.ndarray) -> np.ndarray:
+    """Bits of a set's items, in a map of at least twice as many bits as items."""
+    size = 1 << max(6, int(2 * len(keys) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(keys) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def overlap(a, b):
@@ -94,10 +128,6 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n, h1, h2) of every row: set size and two hashes of the set; and rows with (cell, hits), a task's counts of items by counter."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -109,8 +139,7 @@ def digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             id_type = batch.column("doc_id").type
             n, h1, h2 = [], [], []
-            for text in _texts(batch):
-                items = shingler.items(text)
+            for items in shingler.sets(batch.column("text")):
                 waiting.append((items & np.uint64(CELLS - 1)).astype(np.int32))
                 many += len(items)
                 if many > 1_000_000:
@@ -142,52 +171,75 @@ def count_levels(table: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(id, n, prefix, b0, b1, ...): a set's first items and its bit map, of rows with words and an id."""
-    names = ["id", "n", "prefix", *MAPS]
+    """(id, n, prefix, map): a set's first items and its bit map, of rows with words and an id."""
+    names = ["id", "n", "prefix", "map"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             rows, sizes, lists, maps = [], [], [], []
-            for i, text in enumerate(_texts(batch)):
-                items = shingler.items(text)
+            for i, items in enumerate(shingler.sets(batch.column("text"))):
                 if len(items):
                     keys = in_order(items, levels)
                     rows.append(i)
                     sizes.append(len(keys))
                     lists.append(keys[: prefix_length(len(keys))].view(np.int64))
-                    maps.append(bit_map(keys))
+                    maps.append(bit_map(keys).tobytes())
             if rows:
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
-                maps = np.stack(maps)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(sizes, pa.int64()), flat, *[pa.array(maps[:, k].copy()) for k in range(MAP)]], names=names)
-
-    form = "id long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in MAPS)
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, form)
-
-
-def alike(sizes: np.ndarray, maps: np.ndarray, size: int, bits: np.ndarray) -> np.ndarray:
-    """Which sets may be linked to one: by sizes, and because two maps differ in at most as many bits as the sets in items."""
-    fit = (100 * np.minimum(sizes, size) >= PERCENT * np.maximum(sizes, size)).nonzero()[0]
-    apart = np.bitwise_count((maps[fit] ^ bits).view(np.uint64)).sum(1, dtype=np.int64)
-    return fit[apart <= sizes[fit] + size - 2 * overlap(sizes[fit], size)]
-
-
-def bucket_links(ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of ids that connect all sets of a bucket that may be alike, directly or over others."""
-    if len(ids) == 2:
-        return [(ids[0], ids[1])] if len(alike(sizes[:1], maps[:1], sizes[1], maps[1])) else []
-    out, left = [], np.arange(len(ids))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            found = alike(sizes[left], maps[left], sizes[x], maps[x])
-            if len(found):
-                out += [(ids[x], ids[y]) for y in left[found]]
-                queue += left[found].tolist()
-                left = np.delete(left, found)
-    return out
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(sizes, pa.int64()), flat, pa.array(maps, pa.binary())], names=names)
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, n long, prefix array<long>, map binary")
+
+
+def folded(maps: np.ndarray, longs: int) -> np.ndarray:
+    """Maps (a row each) halved to ``longs`` longs: two maps still differ in at most as many bits as their sets in items."""
+    while maps.shape[1] > longs:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+class Bucket:
+    """Sets that share an item: ids, sizes and bit maps, of which some may be alike."""
+
+    def __init__(self, ids: list[int], sizes: np.ndarray, maps: list[bytes]) -> None:
+        self.ids, self.sizes = ids, sizes
+        self.longs = np.array([len(m) // 8 for m in maps])
+        self.row = np.zeros(len(ids), np.int64)
+        self.maps = {}
+        for longs in set(self.longs.tolist()):
+            mine = np.flatnonzero(self.longs == longs)
+            self.row[mine] = np.arange(len(mine))
+            self.maps[longs] = np.frombuffer(b"".join([maps[i] for i in mine]), np.uint64).reshape(len(mine), longs)
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those ``others`` that may be linked to ``x``: by sizes, and because two maps differ in at most as many bits as the sets in items."""
+        n = self.sizes[x]
+        sizes = self.sizes[others]
+        others = others[(100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n))]
+        out = []
+        for longs in set(self.longs[others].tolist()):
+            some = others[self.longs[others] == longs]
+            shared = min(longs, int(self.longs[x]))
+            mine = folded(self.maps[int(self.longs[x])][self.row[x]][None], shared)
+            apart = np.bitwise_count(folded(self.maps[longs][self.row[some]], shared) ^ mine).sum(1, dtype=np.int64)
+            out.append(some[apart <= self.sizes[some] + n - 2 * overlap(self.sizes[some], n)])
+        return np.concatenate(out) if out else others[:0]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs of ids that connect all sets that may be alike, directly or over others."""
+        out, left = [], np.arange(len(self.ids))
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                found = self.alike(x, left)
+                if len(found):
+                    out += [(self.ids[x], self.ids[y]) for y in found.tolist()]
+                    queue += found.tolist()
+                    left = left[~np.isin(left, found)]
+        return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -229,24 +281,21 @@ def candidate_links(sketches: DataFrame) -> DataFrame:
     item = Window.partitionBy("item")
     met = members.withColumn("m", F.count("*").over(item)).withColumn("list", F.bit_xor(F.xxhash64("id")).over(item)).where("m > 1")
     shared = materialize(met.groupBy(F.xxhash64("list", "m").alias("bucket"), "id").agg(F.max("m").alias("m")), "ngram-shared")
-    slim = sketches.select(F.col("id").alias("s"), "n", *MAPS)
+    slim = sketches.select(F.col("id").alias("s"), "n", "map")
     rows = in_blocks(shared.join(slim, F.col("id") == F.col("s")).drop("s"), "bucket", F.ceil(F.col("m") / BUCKET_SETS), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         for table in _runs(batches, ["bucket", "x", "y"]):
             if table.num_rows > 1:
-                ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
-                maps = np.stack([table.column(b).to_numpy() for b in MAPS], axis=1)
-                order = np.argsort(ids, kind="stable")
-                found.update(bucket_links(ids[order], sizes[order], maps[order]))
+                found.update(Bucket(table.column("id").to_pylist(), table.column("n").to_numpy(), table.column("map").to_pylist()).links())
             if len(found) > 200_000:
                 yield _pairs(found)
                 found = set()
         if found:
             yield _pairs(found)
 
-    links = rows.select("bucket", "x", "y", "id", "n", *MAPS).mapInArrow(run, "a long, b long")
+    links = rows.select("bucket", "x", "y", "id", "n", "map").mapInArrow(run, "a long, b long")
     links = materialize(links.distinct(), "ngram-candidates")
     discard(shared)
     return links
@@ -380,14 +429,9 @@ def verified_links(docs: DataFrame, classes: DataFrame, levels: np.ndarray) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
 
-        def small() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 64):
-                    yield batch.slice(lo, 64)
-
         def as_sets() -> Iterator[pa.RecordBatch]:
-            for batch in small():
-                made = [in_order(shingler.items(t), levels) for t in _texts(batch)]
+            for batch in batches:
+                made = [in_order(items, levels) for items in shingler.sets(batch.column("text"))]
                 flat = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int64()), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("class", "x", "y", "id")], flat], names=["class", "x", "y", "id", "keys"])
 

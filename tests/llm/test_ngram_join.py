@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tallyforge.llm import ngram_join as nj
 
@@ -74,6 +75,29 @@ def test_components_with_blocks_of_few_sets(spark, monkeypatch):
     check(spark, [*rows, (5, rows[11][1]), (5, rows[11][1]), (7, "x y z")])
 
 
+def test_sets_are_the_shingles():
+    """Counts and overlaps of hashed sets, over slices and nulls, in an array that starts later."""
+    rows = ["x", *[t for _, t in texts(300, 3)], "long " * 9000, "a" * 70_000, "", None, "\n", "A b\tc  d e", "a B c\x0bd E"]
+    column = pa.array(rows).slice(1)
+    got = list(nj.Shingler().sets(column))
+    assert [len(g) for g in got] == [len(shingles(t)) for t in rows[1:]]
+    assert np.array_equal(got[-1], got[-2])
+    for i in range(0, 280, 7):
+        assert len(np.intersect1d(got[i], got[i + 1])) == len(shingles(rows[i + 1]) & shingles(rows[i + 2]))
+
+
+def test_maps_turn_down_no_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 40, 300, 3000):
+        base = rng.integers(1, 2**58, n).astype(np.uint64)
+        sets = [np.unique(np.r_[rng.choice(base, max(1, n - k), replace=False), rng.integers(1, 2**58, k).astype(np.uint64)]) for k in (0, 0, n // 30, n // 20, n // 12, n // 2)]
+        bucket = nj.Bucket(list(range(len(sets))), np.array([len(s) for s in sets]), [nj.bit_map(s).tobytes() for s in sets])
+        for x in range(len(sets)):
+            k = np.array([len(np.intersect1d(sets[x], s)) for s in sets])
+            linked = {y for y in range(len(sets)) if 100 * k[y] >= 85 * (len(sets[x]) + len(sets[y]) - k[y])}
+            assert linked <= set(bucket.alike(x, np.arange(len(sets))).tolist())
+
+
 def test_empty_table(spark):
     assert nj.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
