@@ -10,6 +10,39 @@ def confusion(df: DataFrame, y: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("y"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def class_report(df: DataFrame, y: str, predicted: str, positive: object = 1) -> DataFrame:
+    """(rows, accuracy, precision, recall, f1, conversion_rate): classes weighted by their rows, a class never predicted has precision 0; the last is the ``positive`` class's hits among its predictions, in percent, 0 without any.
+
+    It comes from the confusion counts, a row per pair of classes.
+    """
+    counts = confusion(df.where(F.col(y).isNotNull() & F.col(predicted).isNotNull()), y, predicted)
+    cells = counts.select("n", F.col("y").cast("string").alias("y"), F.col("predicted").cast("string").alias("p"), ((F.col("y") == positive) & (F.col("predicted") == positive)).alias("won"), (F.col("predicted") == positive).alias("called"))
+    side = lambda c: F.struct(F.col(c).alias("label"), F.when(F.lit(c == "y"), F.col("n")).otherwise(0).alias("real"), F.when(F.lit(c == "p"), F.col("n")).otherwise(0).alias("guessed"), F.when((F.col("y") == F.col("p")) & F.lit(c == "y"), F.col("n")).otherwise(0).alias("hit"))
+    each = cells.select(F.explode(F.array(side("y"), side("p"))).alias("r")).select("r.*").groupBy("label").agg(F.sum("real").alias("real"), F.sum("guessed").alias("guessed"), F.sum("hit").alias("hit"))
+    precision, recall = F.coalesce(F.try_divide("hit", "guessed"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "real"), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    mean = lambda c: F.try_divide(F.sum(F.col("real") * c), F.sum("real"))
+    one = each.agg(F.coalesce(F.sum("real"), F.lit(0)).alias("rows"), F.try_divide(F.sum("hit"), F.sum("real")).alias("accuracy"), mean(precision).alias("precision"), mean(recall).alias("recall"), mean(f1).alias("f1"))
+    won = cells.agg((100 * F.coalesce(F.try_divide(F.sum(F.when(F.col("won"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("called"), F.col("n")).otherwise(0))), F.lit(0.0))).alias("conversion_rate"))
+    return one.crossJoin(F.broadcast(won))  # one row each
+
+
+def class_losses(df: DataFrame, y: str, probabilities: str, classes: list, clip: float = 1e-15) -> DataFrame:
+    """(rows, log_loss, brier) of an array of probabilities by class: the Brier score is the mean over rows and classes."""
+    place = F.array_position(F.array(*[F.lit(c).cast("string") for c in classes]), F.col(y).cast("string")).cast("int")
+    p = F.get(probabilities, place - 1)
+    spread = F.aggregate(F.transform(probabilities, lambda v, i: (v - F.when(i == place - 1, 1.0).otherwise(0.0)) ** 2), F.lit(0.0), lambda a, v: a + v)
+    rows = df.where(place > 0)
+    return rows.agg(F.count("*").alias("rows"), F.avg(-F.log(F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip)))).alias("log_loss"), F.avg(spread / len(classes)).alias("brier"))
+
+
+def regression_report(df: DataFrame, y: str, predicted: str) -> DataFrame:
+    """(rows, mae, mse, rmse, r2) of rows with both; r2 is null where the target does not vary."""
+    off = F.col(predicted) - F.col(y)
+    one = df.where(F.col(y).isNotNull() & F.col(predicted).isNotNull()).agg(F.count("*").alias("rows"), F.avg(F.abs(off)).alias("mae"), F.avg(off * off).alias("mse"), F.var_pop(F.col(y).cast("double")).alias("_v"))
+    return one.select("rows", "mae", "mse", F.sqrt("mse").alias("rmse"), (1 - F.try_divide("mse", "_v")).alias("r2"))
+
+
 def losses(df: DataFrame, y: str, p: str, clip: float = 1e-15) -> DataFrame:
     """accuracy, log loss and Brier score of a binary probability."""
     q = F.least(F.greatest(F.col(p), F.lit(clip)), F.lit(1 - clip))
