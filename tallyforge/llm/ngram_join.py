@@ -112,8 +112,8 @@ def in_order(items: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def bit_map(keys: np.ndarray) -> np.ndarray:
-    """Bits of a set's items, in a map of at least twice as many bits as items."""
-    size = 1 << max(6, int(2 * len(keys) - 1).bit_length())
+    """Bits of a set's items, in a map of at least as many bits as items."""
+    size = 1 << max(6, (len(keys) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(mix(keys) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -272,15 +272,17 @@ def in_blocks(rows: DataFrame, key: str, blocks: Column, part: str) -> DataFrame
     return out.repartition(key, "x", "y").sortWithinPartitions(key, "x", "y")
 
 
-def candidate_links(sketches: DataFrame) -> DataFrame:
-    """(a, b): sets that share a first item and may be alike, as many as connect all of them.
+def candidate_links(sketches: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b): sets that share a first item and may be alike, as many as connect all of them; of equal sets only the ``first`` (rep) count.
 
-    Items with one and the same list of sets count once.
+    Items with one and the same list of sets count once. Copies go once lists
+    are known, as rows of two numbers, so that sketches are not shuffled for it.
     """
     members = sketches.select("id", F.explode("prefix").alias("item"))
-    item = Window.partitionBy("item")
+    item, bucket = Window.partitionBy("item"), Window.partitionBy("bucket")
     met = members.withColumn("m", F.count("*").over(item)).withColumn("list", F.bit_xor(F.xxhash64("id")).over(item)).where("m > 1")
-    shared = materialize(met.groupBy(F.xxhash64("list", "m").alias("bucket"), "id").agg(F.max("m").alias("m")), "ngram-shared")
+    met = met.select(F.xxhash64("list", "m").alias("bucket"), "id").distinct().join(first, F.col("id") == F.col("rep"), "left_semi")
+    shared = materialize(met.withColumn("m", F.count("*").over(bucket)).where("m > 1"), "ngram-shared")
     slim = sketches.select(F.col("id").alias("s"), "n", "map")
     rows = in_blocks(shared.join(slim, F.col("id") == F.col("s")).drop("s"), "bucket", F.ceil(F.col("m") / BUCKET_SETS), "id")
 
@@ -463,9 +465,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     reps = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     own = materialize(known.join(reps.select(F.col("n").alias("rn"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), "rep"), (F.col("n") == F.col("rn")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).select("doc_id", "n", "rep"), "ngram-own")
     first = own.where("doc_id = rep").select("rep").distinct()
-    sketches = prefixes(docs, levels)
-    sketches = materialize(sketches.join(first, F.col("id") == F.col("rep"), "left_semi"), "ngram-sketches")
-    candidates = candidate_links(sketches)
+    sketches = materialize(prefixes(docs, levels), "ngram-sketches")
+    candidates = candidate_links(sketches, first)
     groups = connected_components(candidates, "ngram-groups")
     sizes = sketches.groupBy(F.col("id").alias("s")).agg(F.max("n").alias("n"))
     classes = materialize(groups.join(sizes, F.col("id") == F.col("s")).select("id", "class", "n"), "ngram-classes")
