@@ -54,18 +54,47 @@ def minimal_events(df: DataFrame, m: dict) -> DataFrame:
 
 
 # What counts as a positive or a negative target.
-TRUTHY = ["1", "true", "yes", "y", "t"]
-FALSY = ["0", "false", "no", "n", "f"]
-
-
-def generic(df: DataFrame, m: dict) -> DataFrame:
-    """id, timestamp, amount, email, phone, channel, target of any table; a target of a truthy or falsy word is 1 or 0, others stay as text."""
-    target = pick(df, m.get("target"))
+TRUTHY = ["1", "true", "t", "yes", "y", "success", "converted", "purchase", "purchased", "responded", "clicked", "open", "opened"]
+FALSY = ["0", "false", "f", "no", "n", "fail", "failed", "did_not_convert", "did not convert", "not_clicked", "not opened", "churned=0"]
+
+# Names that a canonical column goes by, the first one leads.
+GENERIC_NAMES = {
+    "id": ["id", "record_id", "uuid", "row_id", "user_id", "customer_id", "order_id", "lead_id", "account_id"],
+    "timestamp": ["timestamp", "ts", "time", "event_time", "date", "datetime", "created_at", "updated_at", "order_date", "sent_at"],
+    "amount": ["amount", "revenue", "price", "value", "total", "charge", "cost", "net", "gross", "amt", "order_amount"],
+    "email": ["email", "email_address", "e-mail"],
+    "phone": ["phone", "phone_number", "mobile", "cell", "tel"],
+    "channel": ["channel", "utm_source", "source", "utm_medium", "medium", "campaign", "utm_campaign"],
+    "target": ["target", "label", "converted", "purchase", "purchased", "response", "responded", "clicked", "opened", "churned", "y", "outcome"],
+}
+
+
+def generic_mapping(columns: list[str], given: dict | None = None) -> dict[str, str | None]:
+    """The source of each canonical column: the given one, else the first name that a column has in any case, else with blanks and underscores left out."""
+    bare = lambda c: c.lower().replace("_", "").replace(" ", "")
+    exact, loose = {c.lower(): c for c in columns}, {bare(c): c for c in columns}
+    out = {}
+    for name, known in GENERIC_NAMES.items():
+        found = next((exact[k] for k in known if k in exact), None) or next((loose[bare(k)] for k in known if bare(k) in loose), None)
+        out[name] = (given or {}).get(name) or found
+    return out
+
+
+def generic(df: DataFrame, m: dict | None = None) -> DataFrame:
+    """id, timestamp, amount, email, phone, channel, target of any table, by ``generic_mapping`` where ``m`` doesn't say.
+
+    A target of a truthy or falsy word is 1 or 0, others stay as text. Where no
+    column is mapped to id, or it holds nothing but nulls, rows are numbered
+    (unique, not consecutive); that asks the table for one non-null id first.
+    """
+    m = generic_mapping(df.columns, m)
+    target = pick(df, m["target"])
     word = F.lower(F.trim(target))
+    number = m["id"] is None or df.where(F.col(m["id"]).isNotNull()).limit(1).count() == 0
     return df.select(
-        clean.missing_to_null(pick(df, m.get("id"))).alias("id"), pick(df, m.get("timestamp"), "timestamp").alias("timestamp"), F.regexp_replace(pick(df, m.get("amount")), r"[^0-9.\-]", "").try_cast("double").alias("amount"),
-        clean.clean_email(pick(df, m.get("email"))).alias("email"), clean.clean_phone(pick(df, m.get("phone"))).alias("phone"), F.lower(F.trim(pick(df, m.get("channel")))).alias("channel"),
-        F.when(word.isin(TRUTHY), "1").when(word.isin(FALSY), "0").otherwise(target).alias("target"),
+        (F.monotonically_increasing_id().cast("string") if number else clean.missing_to_null(pick(df, m["id"]))).alias("id"), pick(df, m["timestamp"], "timestamp").alias("timestamp"),
+        F.regexp_replace(pick(df, m["amount"]), r"[^0-9.\-]", "").try_cast("double").alias("amount"), clean.clean_email(pick(df, m["email"])).alias("email"), clean.clean_phone(pick(df, m["phone"])).alias("phone"),
+        F.lower(F.trim(pick(df, m["channel"]))).alias("channel"), F.when(word.isin(TRUTHY), "1").when(word.isin(FALSY), "0").otherwise(target).alias("target"),
     )
 
 

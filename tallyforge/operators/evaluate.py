@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .select import exact_quantiles
+
 
 def confusion(df: DataFrame, y: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("y"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
@@ -95,27 +100,142 @@ def set_metrics(sets: DataFrame, y: str, by: str | None = None) -> DataFrame:
     return sets.groupBy(F.col(by).alias("segment")).agg(*made) if by else sets.agg(*made)
 
 
-def paired_means(df: DataFrame, before: str, after: str) -> DataFrame:
-    """n, mean_diff, t, its 95 % interval (normal), Cohen's d and the change of variance of two scores of each row; null where there is no spread."""
+def _log_gamma_ratio(v: float) -> float:
+    return math.lgamma((v + 1) / 2) - math.lgamma(v / 2)
+
+
+def student_tail(t: float, v: float) -> float:
+    """Two-sided tail of Student's t with v degrees of freedom: the incomplete beta function by its continued fraction."""
+    x, a, b = v / (v + t * t), v / 2, 0.5
+    if t == 0:
+        return 1.0
+    front = math.exp(_log_gamma_ratio(v) - math.log(math.pi) / 2 + a * math.log(x) + b * math.log1p(-x)) if x < 1 else 0.0
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    total = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + step * d), 1 + step / c
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    part = front * total / a
+    return min(max(1 - part if flip else part, 0.0), 1.0)
+
+
+def student_quantile(tail: float, v: float) -> float:
+    """The t whose two-sided tail is ``tail``, by halving."""
+    lo, hi = 0.0, 1.0
+    while student_tail(hi, v) > tail:
+        lo, hi = hi, 2 * hi
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if student_tail(mid, v) > tail else (lo, mid)
+    return (lo + hi) / 2
+
+
+def fisher_exact(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided p of a table of four counts: the tables with these margins that are not likelier."""
+    rows, column, n = a + b, a + c, a + b + c + d
+    k = np.arange(max(0, rows + column - n), min(rows, column) + 1)
+    log = np.vectorize(math.lgamma, otypes=[float])
+    choose = lambda m, j: math.lgamma(m + 1) - log(j + 1) - log(m - j + 1)
+    p = np.exp(choose(rows, k) + choose(n - rows, column - k) - choose(n, np.array([column]))[0])
+    return float(min(p[p <= p[k == a][0] * (1 + 1e-7)].sum(), 1.0))
+
+
+def _risk(change: float) -> str:
+    return "higher_risk" if change > 0 else "lower_risk" if change < 0 else "similar_risk"
+
+
+def _finite(c: str) -> Column:
+    v = F.col(c).cast("double")
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+
+
+def paired_means(df: DataFrame, before: str, after: str, level: float = 0.95, unit_value: float = 20.0) -> DataFrame:
+    """One row that compares two predictions of each row by their means.
+
+    Means, percent change (0 for a mean of 0), the paired t test and its
+    interval by Student's t, the effect size (the change over the root of the
+    mean of both variances), the change of the deviations (all of the
+    population), risk_assessment by its sign, and the revenue of the rounded
+    means' change at ``unit_value`` a unit. Missing and infinite predictions
+    count as 0. One aggregate; the tails are computed from its one row. Without
+    spread, or with one row, t, p and the interval are null.
+    """
+    a, b = _finite(before), _finite(after)
+    d = b - a
+    r = df.agg(F.count("*").alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.avg(d).alias("md"), F.stddev_samp(d).alias("sd")).first()
+    form = "rows long, original_mean double, modified_mean double, percent_change double, t_statistic double, p_value double, is_significant boolean, ci_low double, ci_high double, effect_size double, variance_change double, risk_assessment string, estimated_revenue_impact double"
+    if not r.n:
+        return df.sparkSession.createDataFrame([], form)
+    error = (r.sd or 0.0) / math.sqrt(r.n)
+    t = r.md / error if error > 0 else None
+    p = student_tail(t, r.n - 1) if t is not None else None
+    half = student_quantile(1 - level, r.n - 1) * error if t is not None else None
+    pooled = math.sqrt((r.sa**2 + r.sb**2) / 2)
+    change = round(r.sb - r.sa, 4)
+    ma, mb = round(r.ma, 4), round(r.mb, 4)
+    row = (r.n, ma, mb, round((r.mb - r.ma) / r.ma * 100, 2) if r.ma else 0.0, t, p, None if p is None else p < 1 - level, None if half is None else r.md - half, None if half is None else r.md + half, round((r.mb - r.ma) / pooled, 4) if pooled else 0.0, change, _risk(change), round((mb - ma) * r.n * unit_value, 2))
+    return df.sparkSession.createDataFrame([row], form)
+
+
+def paired_rates(df: DataFrame, before: str, after: str, cut: float = 0.5, level: float = 0.95) -> DataFrame:
+    """One row that compares the shares of predictions of at least ``cut``: rates, percent change, and the p of the pooled z test, or of Fisher's exact test where a count is below five; the change of the predictions' deviations and its sign. Missing and infinite predictions count as 0."""
+    a, b = _finite(before), _finite(after)
+    r = df.agg(F.count("*").alias("n"), F.count_if(a >= cut).alias("ca"), F.count_if(b >= cut).alias("cb"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb")).first()
+    form = "rows long, original_rate double, modified_rate double, percent_change double, test string, p_value double, is_significant boolean, variance_change double, risk_assessment string"
+    if not r.n:
+        return df.sparkSession.createDataFrame([], form)
+    ra, rb = r.ca / r.n, r.cb / r.n
+    if min(r.ca, r.cb, r.n - r.ca, r.n - r.cb) >= 5:
+        pool = (r.ca + r.cb) / (2 * r.n)
+        test, p = "z-test", math.erfc(abs(rb - ra) / math.sqrt(pool * (1 - pool) * 2 / r.n) / math.sqrt(2))
+    else:
+        test, p = "fisher", fisher_exact(r.cb, r.n - r.cb, r.ca, r.n - r.ca)
+    change = round(r.sb - r.sa, 4)
+    row = (r.n, round(ra, 4), round(rb, 4), round((rb - ra) / ra * 100, 2) if ra else 0.0, test, p, p < 1 - level, change, _risk(change))
+    return df.sparkSession.createDataFrame([row], form)
+
+
+def percentile_summary(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(percentile, original, modified) at 25, 50 and 75."""
+    found = {c: exact_quantiles(df, [c], [0.25, 0.5, 0.75])[c] for c in (before, after)}
+    rows = [(p, found[before][i], found[after][i]) for i, p in enumerate((25, 50, 75))]
+    return df.sparkSession.createDataFrame(rows, "percentile int, original double, modified double")
+
+
+def risk_bucket(c: Column) -> Column:
+    """High from 0.8, medium from 0.4, else low."""
+    return F.when(c >= 0.8, "High Risk").when(c >= 0.4, "Medium Risk").otherwise("Low Risk")
+
+
+def risk_shift(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(bucket, original_pct, modified_pct): shares of the three risk buckets, from one aggregate."""
+    names = ["High Risk", "Medium Risk", "Low Risk"]
+    share = lambda c, b: F.avg((risk_bucket(F.col(c)) == b).cast("double"))
+    one = df.agg(*[f for i, b in enumerate(names) for f in (share(before, b).alias(f"o{i}"), share(after, b).alias(f"m{i}"))])
+    rows = F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(f"o{i}").alias("original_pct"), F.col(f"m{i}").alias("modified_pct")) for i, b in enumerate(names)])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def class_share_change(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(label, change): the modified share of a class less its original one, in points of a hundred."""
+    sides = F.array(F.struct(F.col(before).cast("string").alias("label"), F.lit(1).alias("o"), F.lit(0).alias("m")), F.struct(F.col(after).cast("string").alias("label"), F.lit(0).alias("o"), F.lit(1).alias("m")))
+    counts = df.select(F.explode(sides).alias("r")).select("r.*").groupBy("label").agg(F.sum("o").alias("o"), F.sum("m").alias("m"))
+    total = df.agg(F.count("*").alias("_n"))
+    return counts.crossJoin(F.broadcast(total)).select("label", ((F.col("m") - F.col("o")) / F.col("_n") * 100).alias("change"))  # one row
+
+
+def mean_difference_interval(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(low, high) of the mean difference at 1.96 standard errors; 0 and 0 for fewer than two rows or no change."""
     d = F.col(after) - F.col(before)
-    one = df.where(d.isNotNull()).agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"), (F.var_samp(after) - F.var_samp(before)).alias("variance_change"))
-    half = 1.96 * F.col("sd") / F.sqrt("n")
-    return one.select("n", "mean_diff", F.try_divide(F.col("mean_diff"), F.col("sd") / F.sqrt("n")).alias("t"), (F.col("mean_diff") - half).alias("ci_low"), (F.col("mean_diff") + half).alias("ci_high"), F.try_divide("mean_diff", "sd").alias("cohen_d"), "variance_change")
-
-
-def paired_rates(df: DataFrame, before: Column, after: Column) -> DataFrame:
-    """Rates of two flags of each row, their difference, and the z of the pooled test; null where the pooled rate is 0 or 1."""
-    one = df.agg(F.count("*").alias("n"), F.avg(before.cast("double")).alias("rate_before"), F.avg(after.cast("double")).alias("rate_after"))
-    pooled = (F.col("rate_before") + F.col("rate_after")) / 2
-    return one.withColumn("difference", F.col("rate_after") - F.col("rate_before")).withColumn("z", F.try_divide(F.col("difference"), F.sqrt(pooled * (1 - pooled) * 2 / F.col("n"))))
-
-
-def shift_summary(df: DataFrame, before: str, after: str, risky: float = 0.7) -> DataFrame:
-    """(which, p25, p50, p75, high_share) of a score before and after."""
-    part = lambda name, c: F.struct(F.lit(name).alias("which"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg((F.col(c) > risky).cast("double")).alias("high_share"))
-    one = df.agg(part("before", before).alias("b"), part("after", after).alias("a"))
-    r = one.select(F.explode(F.array("b", "a")).alias("r")).select("r.*")
-    return r.select("which", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "high_share")
+    one = df.agg(F.avg(d).alias("m"), (1.96 * F.stddev_samp(d) / F.sqrt(F.count(d))).alias("h"), F.count(d).alias("n"), F.max(F.abs(d)).alias("most"))
+    still = (F.col("n") < 2) | (F.col("most") <= 1e-8)
+    return one.select(F.when(still, 0.0).otherwise(F.col("m") - F.col("h")).alias("low"), F.when(still, 0.0).otherwise(F.col("m") + F.col("h")).alias("high"))
 
 
 def change_correlation(df: DataFrame, changes: dict[str, Column], effect: Column) -> DataFrame:

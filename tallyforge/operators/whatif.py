@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import smallest
+
 
 def change(c: Column, kind: str, amount: float) -> Column:
     """percentage, additive, multiplicative or set; nulls stay null."""
@@ -23,9 +25,36 @@ def replace_category(c: Column, new: str, old: str | None = None) -> Column:
     return F.when(c.isNotNull() if old is None else c == old, new).otherwise(c)
 
 
-def change_summary(df: DataFrame, before: str, after: str, by: str | None = None) -> DataFrame:
-    """Means, mean change, 95 % interval of it, and correlation, from one aggregate."""
-    d = F.col(after) - F.col(before)
-    half = 1.96 * F.stddev_samp(d) / F.sqrt(F.count(d))
-    made = [F.avg(before).alias("mean_before"), F.avg(after).alias("mean_after"), F.avg(d).alias("mean_change"), (F.avg(d) - half).alias("ci_low"), (F.avg(d) + half).alias("ci_high")]
-    return df.groupBy(by).agg(*made) if by else df.agg(*made)
+def boolean_force(c: Column, value: bool) -> Column:
+    """``value`` for every row that has one."""
+    return F.when(c.isNotNull(), F.lit(value))
+
+
+def category_boost(df: DataFrame, column: str, category: str, percent: float, key: list[str], seed: int = 42) -> DataFrame:
+    """``df`` with exactly floor(``percent`` % of the non-null rows) rows of other categories (or all of these, where there are fewer) turned into ``category``.
+
+    Rows are those with the smallest hashes of ``key``, which tells rows apart, so the choice does not
+    depend on partitioning. Nulls stay.
+    """
+    counts = df.agg(F.count(column).alias("n"), F.count_if(F.col(column) != category).alias("others")).first()
+    k = min(int(percent / 100 * counts.n), counts.others)
+    if k <= 0 or not category:
+        return df
+    other = F.coalesce(F.col(column) != category, F.lit(False))
+    hashed = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52))
+    chosen = smallest(df.where(other), hashed, [F.col(c) for c in key], k, "_chosen")
+    turned = chosen.withColumn(column, F.when(F.col("_chosen"), category).otherwise(F.col(column))).drop("_chosen")
+    return df.where(~other).unionByName(turned)
+
+
+def change_summary(df: DataFrame, before: str, after: str) -> DataFrame:
+    """(which, mean, median, std) of a number before and after its change; std is a sample's."""
+    at = lambda c, name: F.struct(F.lit(name).alias("which"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_samp(c).alias("std"))
+    return df.agg(at(before, "before").alias("b"), at(after, "after").alias("a")).select(F.explode(F.array("b", "a")).alias("r")).select("r.*")
+
+
+def category_summary(df: DataFrame, before: str, after: str, most: int = 5) -> DataFrame:
+    """(which, value, n, rank): the ``most`` commonest values before and after a change, by value on a tie; nulls don't count."""
+    sides = F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).cast("string").alias("value")) for w, c in (("before", before), ("after", after))])
+    counts = df.select(F.explode(sides).alias("r")).select("r.*").where("value is not null").groupBy("which", "value").agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("which").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import clean
-from tallyforge.operators import canonical, evaluate, features, kpi, profile, series
+from tallyforge.operators import canonical, evaluate, features, kpi, profile, segments, series, whatif
 
 from .queries import DAILY, SCORED, _scored, query
 
@@ -45,10 +45,11 @@ def a12(t):
     return profile.task_type(t("orders"), ["o_orderstatus", "o_totalprice", "o_custkey"])
 
 
-@query("p9_generic", r"SELECT CAST(event_id AS VARCHAR) AS id, ts AS timestamp, value AS amount, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone, lower(event_type) AS channel, CASE WHEN event_id % 2 = 0 THEN '1' ELSE 'maybe' END AS target FROM events")
+@query("p9_generic", r"SELECT CAST(event_id AS VARCHAR) AS id, ts AS timestamp, value AS amount, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone, lower(event_type) AS channel, CASE event_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '0' ELSE 'maybe' END AS target FROM events")
 def p9(t):
-    raw = t("events").withColumn("money", F.concat(F.lit("$ "), F.col("value").cast("string"))).withColumn("won", F.when(F.col("event_id") % 2 == 0, " Yes ").otherwise("maybe"))
-    return canonical.generic(raw, {"id": "event_id", "timestamp": "ts", "amount": "money", "channel": "event_type", "target": "won"})
+    won = F.when(F.col("event_id") % 3 == 0, " Converted ").when(F.col("event_id") % 3 == 1, "did_not_convert").otherwise("maybe")
+    raw = t("events").select("event_id", "ts", F.concat(F.lit("$ "), F.col("value").cast("string")).alias("Amt"), F.col("event_type").alias("utm_source"), won.alias("outcome"))
+    return canonical.generic(raw, {"id": "event_id"})
 
 
 @query("p12_file_health", """SELECT c AS "column", c <> 'coupon' AS present, CASE c WHEN 'o_orderkey' THEN avg(CASE WHEN o_orderkey IS NULL THEN 1.0 ELSE 0 END) WHEN 'o_totalprice' THEN avg(CASE WHEN o_totalprice IS NULL THEN 1.0 ELSE 0 END) END AS null_rate,
@@ -129,20 +130,93 @@ def e6(t):
     return evaluate.set_metrics(_sets(t), "label")
 
 
-@query("e9_paired_means", f"""SELECT n, m AS mean_diff, m / (sd / sqrt(n)) AS t, m - 1.96 * sd / sqrt(n) AS ci_low, m + 1.96 * sd / sqrt(n) AS ci_high, m / sd AS cohen_d, variance_change
-FROM (SELECT count(*) AS n, avg(b - a) AS m, stddev_samp(b - a) AS sd, var_samp(b) - var_samp(a) AS variance_change FROM ({TWO}))""")
+NEAR = "SELECT event_id, least(value / 100, 1) AS a, least(value / 100, 1) + ((event_id * 7919) % 1000 - 499.5) / 2000 AS b FROM events WHERE value IS NOT NULL"
+
+
+def _near(t) -> DataFrame:
+    """Events with a score before and after a change that hardly moves the mean."""
+    a = F.least(F.col("value") / 100, F.lit(1.0))
+    return t("events").where("value IS NOT NULL").select("event_id", a.alias("a"), (a + (F.col("event_id") * 7919 % 1000 - 499.5) / 2000).alias("b"))
+
+
+# Tails by midpoints: of Student's t over the angle whose tangent is t over the root of v, of the normal over its value.
+@query("e9_paired_means", f"""WITH r AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, avg(b - a) AS md, stddev_samp(b - a) AS sd FROM ({NEAR})), s AS (SELECT *, md / (sd / sqrt(n)) AS t, n - 1.0 AS v, 1.959963984540054 AS z FROM r),
+g AS (SELECT *, atan(abs(t) / sqrt(v)) AS lo, least(pi() / 2, atan(abs(t) / sqrt(v)) + 12 / sqrt(v)) AS hi, z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v * v) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3) AS q FROM s),
+p AS (SELECT 2 * exp(lgamma((min(v) + 1) / 2) - lgamma(min(v) / 2)) / sqrt(pi()) * sum(power(cos(lo + (hi - lo) * (i + 0.5) / 200000), v - 1) * (hi - lo) / 200000) AS p FROM g, range(200000) k(i))
+SELECT n AS rows, round(ma, 4) AS original_mean, round(mb, 4) AS modified_mean, round((mb - ma) / ma * 100, 2) AS percent_change, t AS t_statistic, p AS p_value, p < 0.05 AS is_significant, md - q * sd / sqrt(n) AS ci_low, md + q * sd / sqrt(n) AS ci_high,
+round((mb - ma) / sqrt((sa * sa + sb * sb) / 2), 4) AS effect_size, round(sb - sa, 4) AS variance_change, CASE WHEN round(sb - sa, 4) > 0 THEN 'higher_risk' WHEN round(sb - sa, 4) < 0 THEN 'lower_risk' ELSE 'similar_risk' END AS risk_assessment, round((round(mb, 4) - round(ma, 4)) * n * 20, 2) AS estimated_revenue_impact FROM g, p""")
 def e9(t):
-    return evaluate.paired_means(_two(t), "a", "b")
+    return evaluate.paired_means(_near(t), "a", "b")
 
 
-@query("e9_paired_rates", f"SELECT n, ra AS rate_before, rb AS rate_after, rb - ra AS difference, (rb - ra) / sqrt((ra + rb) / 2 * (1 - (ra + rb) / 2) * 2 / n) AS z FROM (SELECT count(*) AS n, avg(CASE WHEN a > 0.5 THEN 1.0 ELSE 0 END) AS ra, avg(CASE WHEN b > 0.5 THEN 1.0 ELSE 0 END) AS rb FROM ({TWO}))")
+@query("e9_paired_rates", f"""WITH r AS (SELECT count(*) AS n, avg(CASE WHEN a >= 0.5 THEN 1.0 ELSE 0 END) AS ra, avg(CASE WHEN b >= 0.5 THEN 1.0 ELSE 0 END) AS rb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM ({NEAR})), s AS (SELECT *, abs(rb - ra) / sqrt((ra + rb) / 2 * (1 - (ra + rb) / 2) * 2 / n) AS z FROM r),
+p AS (SELECT 2 * sum(exp(-power(z + 12 * (i + 0.5) / 200000, 2) / 2)) * 12 / 200000 / sqrt(2 * pi()) AS p FROM s, range(200000) k(i))
+SELECT n AS rows, round(ra, 4) AS original_rate, round(rb, 4) AS modified_rate, round((rb - ra) / ra * 100, 2) AS percent_change, 'z-test' AS test, p AS p_value, p < 0.05 AS is_significant, round(sb - sa, 4) AS variance_change, CASE WHEN round(sb - sa, 4) > 0 THEN 'higher_risk' WHEN round(sb - sa, 4) < 0 THEN 'lower_risk' ELSE 'similar_risk' END AS risk_assessment FROM s, p""")
 def e9r(t):
-    return evaluate.paired_rates(_two(t), F.col("a") > 0.5, F.col("b") > 0.5)
+    return evaluate.paired_rates(_near(t), "a", "b")
 
 
-@query("e10_shift_summary", " UNION ALL ".join(f"SELECT '{n}' AS which, quantile_cont({c}, .25) AS p25, quantile_cont({c}, .5) AS p50, quantile_cont({c}, .75) AS p75, avg(CASE WHEN {c} > 0.7 THEN 1.0 ELSE 0 END) AS high_share FROM ({TWO})" for n, c in (("before", "a"), ("after", "b"))))
+@query("e10_percentiles", " UNION ALL ".join(f"SELECT {p} AS percentile, quantile_cont(a, .{p:02d}) AS original, quantile_cont(b, .{p:02d}) AS modified FROM ({TWO})" for p in (25, 50, 75)))
 def e10(t):
-    return evaluate.shift_summary(_two(t), "a", "b")
+    return evaluate.percentile_summary(_two(t), "a", "b")
+
+
+@query("e10_risk_shift", " UNION ALL ".join(f"SELECT '{n}' AS bucket, avg(CASE WHEN a >= {lo} AND a < {hi} THEN 1.0 ELSE 0 END) AS original_pct, avg(CASE WHEN b >= {lo} AND b < {hi} THEN 1.0 ELSE 0 END) AS modified_pct FROM ({TWO})" for n, lo, hi in (("High Risk", 0.8, 9), ("Medium Risk", 0.4, 0.8), ("Low Risk", -9, 0.4))))
+def e10r(t):
+    return evaluate.risk_shift(_two(t), "a", "b")
+
+
+@query("e10_class_shares", f"WITH c AS (SELECT CAST(a >= 0.5 AS VARCHAR) AS o, CAST(b >= 0.5 AS VARCHAR) AS m FROM ({TWO})) SELECT l AS label, (count(*) FILTER (WHERE m = l) - count(*) FILTER (WHERE o = l)) / count(*) * 100 AS change FROM c, (SELECT unnest(['true', 'false']) AS l) GROUP BY 1")
+def e10c(t):
+    return evaluate.class_share_change(_two(t).select((F.col("a") >= 0.5).alias("a"), (F.col("b") >= 0.5).alias("b")), "a", "b")
+
+
+@query("e10_interval", f"SELECT avg(b - a) - 1.96 * stddev_samp(b - a) / sqrt(count(*)) AS low, avg(b - a) + 1.96 * stddev_samp(b - a) / sqrt(count(*)) AS high FROM ({TWO})")
+def e10i(t):
+    return evaluate.mean_difference_interval(_two(t), "a", "b")
+
+
+# Scores, sets and reliability bins by a list of groups.
+def _calibration_sql(groups: str) -> str:
+    return f"""s AS ({groups}), r AS (SELECT g, greatest(p, 1 - p) AS q, CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0 END AS hit, (CASE WHEN p >= 0.3 THEN 1 ELSE 0 END + CASE WHEN 1 - p >= 0.3 THEN 1 ELSE 0 END) AS size, CASE WHEN y = 1 THEN p ELSE 1 - p END >= 0.3 AS covered FROM s),
+e AS (SELECT g, quantile_cont(q, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) AS e, count(*) AS n, avg(CASE WHEN covered THEN 1.0 ELSE 0 END) AS coverage, avg(size) AS avg_set_size, avg(CASE WHEN size = 0 THEN 1.0 ELSE 0 END) AS abstention_rate FROM r GROUP BY 1),
+b AS (SELECT r.g, i, count(*) AS m, abs(avg(hit) - avg(q)) AS gap FROM r JOIN e ON r.g IS NOT DISTINCT FROM e.g, range(1, 11) k(i) WHERE q >= e[i] AND CASE WHEN i < 10 THEN q < e[i + 1] + 1e-12 ELSE q <= e[i + 1] + 1e-12 END GROUP BY 1, 2),
+c AS (SELECT e.*, (SELECT sum(m * gap) / sum(m) FROM b WHERE b.g IS NOT DISTINCT FROM e.g) AS ece FROM e)"""
+
+
+def _labelled(t) -> DataFrame:
+    p = F.least(F.col("value") / 100, F.lit(1.0))
+    return t("events").where("value IS NOT NULL").select("event_id", "event_type", (F.col("user_id") % 40).alias("cohort"), "ts", (F.col("event_type") == "purchase").cast("int").alias("y"), F.array(1 - p, p).alias("p"))
+
+
+@query("e8_segments", f"""WITH {_calibration_sql("SELECT g, y, p FROM (SELECT unnest(['event_type=' || event_type, 'cohort=' || CAST(user_id % 40 AS VARCHAR)]) AS g, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, least(value / 100, 1) AS p FROM events WHERE value IS NOT NULL)")},
+f AS (SELECT g AS name, n, ece, coverage, avg_set_size, abstention_rate, (n >= 200 AND ece > 0.08) OR coverage < 0.88 AS alarm, n < 200 AS low_n, row_number() OVER (PARTITION BY split_part(g, '=', 1) ORDER BY n DESC, split_part(g, '=', 2)) AS top FROM c)
+SELECT * EXCLUDE (top), CAST(row_number() OVER (ORDER BY alarm DESC, n DESC, name) AS INTEGER) AS rank FROM f WHERE top <= 30""")
+def e8(t):
+    return segments.segment_table(_labelled(t), "y", "p", [0, 1], 0.7, ["event_type", "cohort"])
+
+
+@query("w4_weekly_trend", f"""WITH {_calibration_sql("SELECT CAST(ts AS DATE) + CAST((8 - isodow(ts)) % 7 AS INTEGER) AS g, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, least(value / 100, 1) AS p FROM events WHERE value IS NOT NULL")}
+SELECT CAST(g AS VARCHAR) AS week, n, ece, coverage FROM c""")
+def w4(t):
+    return segments.weekly_calibration(_labelled(t), "y", "p", [0, 1], 0.7, "ts").withColumn("week", F.col("week").cast("string"))
+
+
+@query("c3_category_boost", "SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'F') + least(CAST(floor(count(o_orderstatus) * 0.075) AS BIGINT), count(*) FILTER (WHERE o_orderstatus <> 'F')) AS in_category FROM orders")
+def c3(t):
+    boosted = whatif.category_boost(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "F", 7.5, ["o_orderkey"])
+    return boosted.agg(F.count("*").alias("rows"), F.count_if(F.col("o_orderstatus") == "F").alias("in_category"))
+
+
+@query("c5_change_summary", " UNION ALL ".join(f"SELECT '{w}' AS which, avg({c}) AS mean, quantile_cont({c}, .5) AS median, stddev_samp({c}) AS std FROM orders" for w, c in (("before", "o_totalprice"), ("after", "o_totalprice * 1.1"))))
+def c5(t):
+    return whatif.change_summary(t("orders").withColumn("after", F.col("o_totalprice") * 1.1), "o_totalprice", "after")
+
+
+@query("c5_category_summary", """WITH s AS (SELECT unnest(['before', 'after']) AS which, unnest([event_type, CASE WHEN event_type = 'click' THEN 'view' ELSE event_type END]) AS value FROM events), c AS (SELECT which, value, count(*) AS n FROM s WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT which, value, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY which ORDER BY n DESC, value) AS rank FROM c) WHERE rank <= 5""")
+def c5c(t):
+    return whatif.category_summary(t("events").withColumn("after", whatif.replace_category(F.col("event_type"), "view", "click")), "event_type", "after")
 
 
 @query("e12_change_correlation", f"SELECT 'third' AS feature, corr(CAST(event_id % 3 AS DOUBLE), b - a) AS correlation FROM ({TWO})")

@@ -321,11 +321,6 @@ def w2(t):
     return series.lag_matrix(series.daily(t("events"), "user_id", "ts", "value"), "user_id", "day", "y").withColumn("day", F.col("day").cast("string"))
 
 
-@query("w4_weekly_trend", "SELECT CAST(CAST(ts AS DATE) + CAST((8 - isodow(ts)) % 7 AS INTEGER) AS VARCHAR) AS week, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1")
-def w4(t):
-    return t("events").groupBy(series.week_ending_monday(F.col("ts")).cast("string").alias("week")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-
-
 @query("w6_rare_values", "SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_custkey) <= greatest(10, ceil(.001 * (SELECT count(*) FROM orders))) THEN '__RARE__' ELSE CAST(o_custkey AS VARCHAR) END AS c FROM orders")
 def w6(t):
     return features.rare_to_token(t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c")), "c")
@@ -407,11 +402,6 @@ def c2(t):
     return whatif.rescale(t("customer").select("c_custkey", "c_acctbal"), "c_acctbal", 0, 10)
 
 
-@query("c5_change_summary", "SELECT o_orderstatus, avg(o_totalprice) AS mean_before, avg(o_totalprice * 1.1) AS mean_after, avg(o_totalprice * 1.1 - o_totalprice) AS mean_change, avg(o_totalprice * 1.1 - o_totalprice) - 1.96 * stddev_samp(o_totalprice * 1.1 - o_totalprice) / sqrt(count(*)) AS ci_low, avg(o_totalprice * 1.1 - o_totalprice) + 1.96 * stddev_samp(o_totalprice * 1.1 - o_totalprice) / sqrt(count(*)) AS ci_high FROM orders GROUP BY 1")
-def c5(t):
-    return whatif.change_summary(t("orders").withColumn("after", F.col("o_totalprice") * 1.1), "o_totalprice", "after", "o_orderstatus")
-
-
 @query("y1_daily_series", f"SELECT user_id, CAST(day AS VARCHAR) AS day, y FROM ({DAILY})")
 def y1(t):
     return series.daily(t("events"), "user_id", "ts", "value").withColumn("day", F.col("day").cast("string"))
