@@ -84,8 +84,8 @@ def emissions(weights: np.ndarray, token: np.ndarray, feature: np.ndarray, n: in
     return np.bincount(token, weights=weights[feature], minlength=n).astype(float)
 
 
-def fit(token: np.ndarray, feature: np.ndarray, labels: np.ndarray, starts: np.ndarray, n_features: int, rounds: int = 60, ridge: float = 1e-3, rate: float = 0.3) -> Model:
-    """Maximum conditional likelihood by Adam over all chains; (token, feature) lists the active features."""
+def fit(token: np.ndarray, feature: np.ndarray, labels: np.ndarray, starts: np.ndarray, n_features: int, offset: np.ndarray | None = None, rounds: int = 60, ridge: float = 1e-3, rate: float = 0.3) -> Model:
+    """Maximum conditional likelihood by Adam over all chains; (token, feature) lists the active features, ``offset`` are log-odds that tokens have besides."""
     c, n, y = Chains(starts), len(labels), labels.astype(float)
     inner = np.ones(n, bool)
     inner[starts[:-1][c.lengths > 0]] = False
@@ -96,7 +96,7 @@ def fit(token: np.ndarray, feature: np.ndarray, labels: np.ndarray, starts: np.n
     scale = max(n, 1)
     for k in range(1, rounds + 1):
         model = Model(theta[:n_features], theta[n_features:].reshape(2, 2))
-        e = emissions(model.weights, token, feature, n)
+        e = emissions(model.weights, token, feature, n) + (0.0 if offset is None else offset)
         f, b = model.forward(e, c), model.backward(e, c)
         p = sigmoid(f + b)
         grad = np.bincount(feature, weights=(p - y)[token], minlength=n_features) / scale + ridge * model.weights / scale
