@@ -70,3 +70,21 @@ def frequency(series: DataFrame, key: str, ts: str) -> DataFrame:
         freq, season = freq.when(F.col("gap_days") <= most, letter), season.when(F.col("gap_days") <= most, length)
     one = one.select(key, "gap_days", "n", freq.otherwise("Y").alias("freq"), season.otherwise(1).alias("season_length"))
     return one.select(key, "gap_days", F.when(F.col("gap_days").isNotNull(), F.col("freq")).alias("freq"), "season_length", ((F.col("season_length") > 0) & (F.col("n") >= 3 * F.col("season_length"))).alias("seasonal"))
+
+
+def spikes_removed(series: DataFrame, key: str, limit: float = 12.0, tail: float = 0.001) -> DataFrame:
+    """``series`` (key, day, y) without spikes: values whose 0.6745 * |y - median| / MAD is above ``limit`` are interpolated, then all are put between the ``tail`` quantiles of their key.
+
+    A key whose MAD is 0 has no spikes. Medians and quantiles are exact, by key.
+    """
+    mid = series.groupBy(F.col(key).alias("_k")).agg(F.percentile("y", 0.5).alias("_m"))
+    off = series.join(mid, F.col(key) == F.col("_k")).drop("_k").withColumn("_d", F.abs(F.col("y") - F.col("_m")))
+    mad = off.groupBy(F.col(key).alias("_k")).agg(F.percentile("_d", 0.5).alias("_mad"))
+    gone = off.join(mad, F.col(key) == F.col("_k")).drop("_k").withColumn("y", F.when(F.coalesce(0.6745 * F.col("_d") / F.nullif(F.col("_mad"), F.lit(0.0)) > limit, F.lit(False)), None).otherwise(F.col("y")))
+    w = Window.partitionBy(key).orderBy("day")
+    at = F.when(F.col("y").isNotNull(), F.struct("day", "y"))
+    filled = gone.withColumn("p", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    weight = F.try_divide(F.datediff("day", F.col("p.day")).cast("double"), F.datediff(F.col("n.day"), F.col("p.day")))
+    filled = filled.select(key, "day", F.coalesce("y", F.col("p.y") + weight * (F.col("n.y") - F.col("p.y")), F.col("p.y"), F.col("n.y")).alias("y"))
+    ends = filled.groupBy(F.col(key).alias("_k")).agg(F.percentile("y", F.array(F.lit(tail), F.lit(1 - tail))).alias("_e"))
+    return filled.join(ends, F.col(key) == F.col("_k")).select(key, "day", F.greatest(F.least("y", F.get("_e", F.lit(1))), F.get("_e", F.lit(0))).alias("y"))

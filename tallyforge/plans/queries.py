@@ -153,11 +153,6 @@ def t12(t):
     return features.date_features(t("orders").select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate")
 
 
-@query("t17_json_cells", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def t17(t):
-    return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("t19_mask_text", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'),
 '\b(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})\b', '[phone]', 'g'), '\b(?:\d[ -]*?){13,19}\b', '[card]', 'g') AS text FROM documents""")
 def t19(t):
