@@ -140,6 +140,7 @@ def rare_item_pairs(crowd: DataFrame, items: Callable[[DataFrame], DataFrame], r
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None, tag: str, ratio: float, small: int = 16, items: Callable[[DataFrame], DataFrame] | None = None, close: Callable[[str, str], Column] | None = None, item_close: Callable[[str, str], Column] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Verified links (a, b) that connect all ids that share a bucket of ``members`` (bucket long, id long, size, ...) and are similar.
 
+    Members are shuffled once; buckets of one and the same list of ids count once.
     Buckets of up to ``small`` ids are compared pair by pair. In a larger one every
     id is compared with its smallest and largest id, so work stays linear in its
     size. Buckets that are then in one class are done. Of the others the ids
@@ -158,8 +159,12 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     def side(rows: DataFrame, s: str) -> DataFrame:
         return rows.select("bucket", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in rows.columns if c not in ("bucket", "id", "n", "lo", "hi")])
 
-    stats = members.groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    shared = materialize(members.join(stats, F.col("bucket") == F.col("k")).drop("k"), f"{tag}-shared")
+    bucket = Window.partitionBy("bucket")
+    met = members.withColumn("n", F.count("*").over(bucket)).withColumn("list", F.bit_xor(F.xxhash64("id")).over(bucket)).where("n > 1")
+    more = [F.max(c).alias(c) for c in members.columns if c not in ("bucket", "id")] or [F.count("*").alias("times")]
+    met = met.groupBy(F.xxhash64("list", "n").alias("bucket"), "id").agg(*more).select(members.columns)
+    met = met.withColumn("n", F.count("*").over(bucket)).withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket))
+    shared = materialize(met.where("lo < hi"), f"{tag}-shared")
     if prepare is not None:
         prepare(shared)
     few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
