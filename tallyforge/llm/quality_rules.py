@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, materialize
+
 #: At most so many labelled documents are learned from, the first by hash of their id.
 TRAIN_DOCS = 6000
 WINDOW = 8
@@ -183,8 +185,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
     """
     pick = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
     pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_docs)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id"), ["doc_id", "quality"])
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id"), "quality-sample")  # else filters on statistics run over all documents below the join
+    rows = with_statistics(sample, ["doc_id", "quality"])
     rows = rows.where(~base_failed()).select("doc_id", "quality", *[tested(n).alias(n) for n in TESTED]).orderBy(F.xxhash64("doc_id"), "doc_id", "n_words").limit(2 * train_docs).toPandas()
+    discard(sample)
     return learn(rows[list(TESTED)].to_numpy(float), (rows["quality"] == 0).to_numpy(), list(TESTED))
 
 
