@@ -155,6 +155,35 @@ def _finite(c: str) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
 
 
+def set_sizes(sets: DataFrame) -> DataFrame:
+    """(size, n, share) of prediction sets."""
+    total = sets.agg(F.count("*").alias("_t"))
+    return sets.groupBy(F.size("labels").alias("size")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("size", "n", (F.col("n") / F.col("_t")).alias("share"))  # one row
+
+
+def best_threshold(curve: DataFrame) -> DataFrame:
+    """The row of a decision curve with the largest expected profit, the lowest threshold on a tie."""
+    row = F.struct(*curve.columns)
+    return curve.agg(F.min_by(row, F.struct((-F.col("expected_profit")).alias("p"), "threshold")).alias("r")).select("r.*")
+
+
+def scenario_summary(df: DataFrame, before: str, after: str, classification: bool, desired: float | None = None) -> DataFrame:
+    """One row of what a scenario changes, from one aggregate.
+
+    The prediction's mean, median and mean absolute change; means before and
+    after with the change and its percent (null for a base of 0); the sum of
+    changes; and with a ``desired`` outcome, for classes the percent of rows
+    that reach it, else of rows that moved towards it.
+    """
+    a, b = F.col(before).cast("double"), F.col(after).cast("double")
+    d = b - a
+    reach = F.lit(None).cast("double") if desired is None else 100 * F.avg((b == desired).cast("double") if classification else (F.signum(F.lit(float(desired)) - a) == F.signum(d)).cast("double"))
+    return df.agg(
+        F.count("*").alias("n_samples"), F.avg(d).alias("pred_delta_mean"), F.percentile(d, 0.5).alias("pred_delta_median"), F.avg(F.abs(d)).alias("pred_delta_abs_mean"), F.avg(a).alias("mean_baseline"), F.avg(b).alias("mean_new"),
+        (F.avg(b) - F.avg(a)).alias("uplift_abs"), (100 * F.try_divide(F.avg(b) - F.avg(a), F.abs(F.avg(a)))).alias("uplift_pct"), F.sum(d).alias("total_delta"), reach.alias("success_rate" if classification else "moved_toward_goal_pct"),
+    )
+
+
 def paired_means(df: DataFrame, before: str, after: str, level: float = 0.95, unit_value: float = 20.0) -> DataFrame:
     """One row that compares two predictions of each row by their means.
 

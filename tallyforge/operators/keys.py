@@ -62,3 +62,67 @@ def nearest(df: DataFrame, time: str, at: list[float]) -> DataFrame:
     picks = [F.min_by(F.struct(*df.columns), F.struct(F.abs(F.col(time) - F.lit(t)), F.col(time))).alias(f"r{i}") for i, t in enumerate(at)]
     rows = F.array(*[F.struct(F.lit(float(t)).alias("at"), F.col(f"r{i}").alias("row")) for i, t in enumerate(at)])
     return df.agg(*picks).select(F.explode(rows).alias("p")).select("p.at", "p.row.*")
+
+
+def canonical_join(customers: DataFrame, orders: DataFrame, marketing: DataFrame | None = None) -> DataFrame:
+    """Customers with their orders and, if given, their marketing sends, by customer_id; customers without any stay.
+
+    Columns of orders and sends that customers have too are prefixed.
+    """
+    out = customers
+    for name, side in (("order", orders), ("marketing", marketing)):
+        if side is not None:
+            named = {c: f"{name}_{c}" for c in side.columns if c in out.columns and c != "customer_id"}
+            side = side.withColumnsRenamed(named).withColumnRenamed("customer_id", "_c")
+            out = out.join(side, F.col("customer_id") == F.col("_c"), "left").drop("_c")
+    return out
+
+
+def distinct_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One of each group of rows that are equal in ``columns``, or in all."""
+    return df.select(*(columns or df.columns)).dropDuplicates()
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``split`` so that each stratum gives its share to the test, rounded: its rows with the smallest draws of ``key``, by key on a tie.
+
+    Only rows whose draw may be among a stratum's smallest are ranked, about
+    ``test_share`` and a margin of them.
+    """
+    w = Window.partitionBy(stratum).orderBy("_draw", key)
+    drawn = df.withColumn("_draw", draw(key, seed))
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.round(F.count("*") * test_share).cast("long").alias("_test"))
+    ranked = drawn.withColumn("_rank", F.row_number().over(w)).join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
+    return ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_test"), "test").otherwise("train")).drop("_draw", "_rank", "_s", "_test")
+
+
+def time_split(df: DataFrame, ts: str, cutoff: str) -> DataFrame:
+    """Adds ``split``: rows from ``cutoff`` on are the test; a missing time is in training."""
+    return df.withColumn("split", F.when(F.col(ts) >= F.lit(cutoff).cast("timestamp"), "test").otherwise("train"))
+
+
+def group_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``split`` so that all rows of a group are on one side."""
+    return hashed_split(df, group, test_share, seed)
+
+
+def sample_by_confidence(df: DataFrame, confidence: str, key: str, n: int, strategy: str = "lowest_confidence", seed: int = 42) -> DataFrame:
+    """``n`` rows with the lowest or highest confidence, or drawn by ``key``'s hash; the smaller key leads on a tie. A feature with a limit."""
+    order = {"lowest_confidence": F.asc_nulls_last(confidence), "highest_confidence": F.desc_nulls_last(confidence), "random": draw(key, seed)}[strategy]
+    return df.orderBy(order, key).limit(n)
+
+
+def union_tables(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both, by column name; what one lacks is null."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def common_columns(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the columns that they share, in the first one's order."""
+    shared = [c for c in a.columns if c in b.columns]
+    return a.select(*shared), b.select(*shared)
+
+
+def with_target(df: DataFrame, target: str, drop: list[str] | None = None) -> DataFrame:
+    """Rows that have a target, without the columns to ``drop``."""
+    return df.na.drop(subset=[target]).drop(*(drop or []))

@@ -174,3 +174,40 @@ def usage_billing(log: DataFrame, user: str, order: list[str], megabytes: Column
     """Cost of each request and each user's running total."""
     w = Window.partitionBy(user).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumn("cost", 74.1 * F.log1p(megabytes) + 0.5 * minutes).withColumn("running", F.sum("cost").over(w))
+
+
+def unit_economics(customers: DataFrame | None, orders: DataFrame | None, margin_pct: float = 0.40, return_pct: float = 0.08) -> tuple[DataFrame, DataFrame]:
+    """(one row of reach, unit economics and expected value; gaps (calculation, table, missing)) of canonical tables.
+
+    emailable_pct and sms_opt_in_pct are shares of customers with an email or a
+    phone, aov the mean amount, profit_per_tp what is left of it after returns
+    at the margin; volume is half of those the better channel reaches, rounded
+    down, and expected_net a tenth of their profit. What can't be computed is 0
+    and a gap; calc_coverage_pct is the share of the seven that could. Two
+    aggregates.
+    """
+    spark = (customers if customers is not None else orders).sparkSession
+    c = o = None
+    if customers is not None:
+        share = lambda n: F.avg(F.col(n).isNotNull().cast("double")).alias(n) if n in customers.columns else F.lit(None).cast("double").alias(n)
+        c = customers.agg(F.count(F.lit(1)).alias("n"), share("email"), share("phone")).first()
+    if orders is not None and "amount" in orders.columns:
+        o = orders.agg(F.avg("amount").alias("aov")).first()
+    gaps: list[tuple[str, str, str]] = []
+
+    def known(value: float | None, calculation: str, table: str, missing: str) -> float:
+        if value is None:
+            gaps.append((calculation, table, missing))
+        return value or 0.0
+
+    total = int(known(c.n if c is not None else None, "eligible_population.total", "customers", "*"))
+    email = known(c.email if total else None, "eligible_population.emailable_pct", "customers", "email" if total or customers is None or "email" not in customers.columns else "customer_id")
+    phone = known(c.phone if total else None, "eligible_population.sms_opt_in_pct", "customers", "phone" if total or customers is None or "phone" not in customers.columns else "customer_id")
+    aov = known(o.aov if o is not None else None, "unit_economics.aov", "orders", "amount")
+    profit = known(aov * margin_pct * (1 - return_pct) if aov > 0 else None, "unit_economics.profit_per_tp", "orders", "amount")
+    reach = max(email, phone)
+    volume = int(known(int(total * reach * 0.5) if total and reach > 0 else None, "threshold_volume.volume", "customers", "email|phone"))
+    net = known(round(volume * profit * 0.1, 2) if profit > 0 and volume > 0 else None, "threshold_volume.expected_net", "orders|customers", "|".join([*["aov"] * (profit <= 0), *["contactable_customers"] * (volume <= 0)]))
+    row = (total, email, phone, aov, margin_pct, return_pct, profit, volume, net, (7 - len(gaps)) / 7)
+    form = "eligible_total long, emailable_pct double, sms_opt_in_pct double, aov double, margin_pct double, return_pct double, profit_per_tp double, volume long, expected_net double, calc_coverage_pct double"
+    return spark.createDataFrame([row], form), spark.createDataFrame(gaps, "calculation string, table string, missing string")

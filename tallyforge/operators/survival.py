@@ -46,6 +46,30 @@ def survival_table(df: DataFrame, time: str, event: str, features: list[str]) ->
     return out.withColumns(fill | {time: span, event: event_flag(F.col(event))}).select(df.columns)
 
 
+def pruned_features(df: DataFrame, time: str, event: str, features: list[str], least_variance: float = 1e-12, most_correlated: float = 0.98) -> list[str]:
+    """The features that a regression can tell apart, in order.
+
+    Gone are those that repeat an earlier column cell by cell (nulls included),
+    those with a variance of at most ``least_variance``, those whose correlation with time is at least
+    ``most_correlated``, and then those so correlated with any feature before
+    them. One aggregate: variances, and a number for each pair.
+    """
+    columns = [time, event, *features]
+    same, corr = [], []
+    for j in range(2, len(columns)):
+        for i in range(j):
+            same.append(F.min(F.col(columns[i]).cast("double").eqNullSafe(F.col(columns[j]).cast("double")).cast("int")).alias(f"s{i}_{j}"))
+            if i != 1:
+                both = F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()
+                x, y = (F.when(both, F.col(columns[k]).cast("double")) for k in (i, j))
+                corr.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{i}_{j}"))
+    one = df.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)], *same, *corr).first()
+    strong = lambda i, j: one[f"c{i}_{j}"] is not None and not math.isnan(one[f"c{i}_{j}"]) and abs(one[f"c{i}_{j}"]) >= most_correlated
+    left = [j for j in range(2, len(columns)) if not any(one[f"s{i}_{j}"] for i in range(j))]
+    left = [j for j in left if (one[f"v{j}"] or 0.0) > least_variance and not strong(0, j)]
+    return [columns[j] for j in left if not any(strong(i, j) for i in left if i < j)]
+
+
 @dataclass
 class Cox:
     """A fitted model. Coefficients are per unit of a feature; ``mean`` centres it."""

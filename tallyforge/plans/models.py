@@ -7,7 +7,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import anomaly, cluster, evaluate, features, models, survival
+from tallyforge.operators import anomaly, cluster, evaluate, features, kpi, models, survival
 
 from .queries import SCORED, _scored, query
 
@@ -207,3 +207,29 @@ def e1r(t):
 @query("e2_class_losses", f"SELECT count(*) AS rows, avg(-ln(least(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-15), 1 - 1e-15))) AS log_loss, avg((power(p - y, 2) + power(1 - p - (1 - y), 2)) / 2) AS brier FROM ({SCORED}) WHERE p IS NOT NULL")
 def e2c(t):
     return evaluate.class_losses(_scored(t).where("p IS NOT NULL").withColumn("both", F.array(1 - F.col("p"), F.col("p"))), "y", "both", [0, 1])
+
+
+@query("e7_best_threshold", f"""WITH c AS (SELECT CAST(i AS DOUBLE) / 10 AS t FROM range(1, 10) r(i)), d AS (SELECT t AS threshold, count(*) FILTER (WHERE p >= t) AS volume, count(*) FILTER (WHERE p >= t AND y = 1) / nullif(count(*) FILTER (WHERE p >= t), 0) AS precision, count(*) FILTER (WHERE p >= t AND y = 1) / nullif(sum(y), 0) AS recall,
+CAST(100 * count(*) FILTER (WHERE p >= t AND y = 1) - 10 * count(*) FILTER (WHERE p >= t AND y = 0) AS DOUBLE) AS expected_profit FROM ({SCORED}), c GROUP BY t) SELECT * FROM d ORDER BY expected_profit DESC, threshold LIMIT 1""")
+def e7b(t):
+    return evaluate.best_threshold(evaluate.decision_curve(_scored(t), "y", "p"))
+
+
+@query("e6_set_sizes", f"SELECT CAST(s AS INTEGER) AS size, count(*) AS n, count(*) / any_value(t) AS share FROM (SELECT CASE WHEN p >= 0.4 AND 1 - p >= 0.4 THEN 2 WHEN p >= 0.4 OR 1 - p >= 0.4 THEN 1 ELSE 0 END AS s, count(*) OVER () AS t FROM ({SCORED}) WHERE p IS NOT NULL) GROUP BY 1")
+def e6s(t):
+    rows = _scored(t).where("p IS NOT NULL")
+    return evaluate.set_sizes(evaluate.prediction_sets(rows, {"1": F.col("p"), "0": 1 - F.col("p")}, 0.6))
+
+
+@query("e11_scenario_summary", """SELECT count(*) AS n_samples, avg(b - a) AS pred_delta_mean, quantile_cont(b - a, .5) AS pred_delta_median, avg(abs(b - a)) AS pred_delta_abs_mean, avg(a) AS mean_baseline, avg(b) AS mean_new, avg(b) - avg(a) AS uplift_abs, 100 * (avg(b) - avg(a)) / abs(avg(a)) AS uplift_pct, sum(b - a) AS total_delta, 100 * avg(CASE WHEN sign(60000 - a) = sign(b - a) THEN 1.0 ELSE 0 END) AS moved_toward_goal_pct
+FROM (SELECT l_extendedprice AS a, l_extendedprice * (1 + l_tax - l_discount) AS b FROM lineitem)""")
+def e11(t):
+    rows = t("lineitem").select(F.col("l_extendedprice").alias("a"), (F.col("l_extendedprice") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("b"))
+    return evaluate.scenario_summary(rows, "a", "b", False, 60000)
+
+
+@query("a17_unit_economics", """WITH c AS (SELECT count(*) AS n, avg(CASE WHEN c_custkey % 3 > 0 THEN 1.0 ELSE 0 END) AS e, avg(CASE WHEN c_custkey % 2 > 0 THEN 1.0 ELSE 0 END) AS s FROM customer), o AS (SELECT avg(o_totalprice) AS aov FROM orders)
+SELECT n AS eligible_total, e AS emailable_pct, s AS sms_opt_in_pct, aov, CAST(0.4 AS DOUBLE) AS margin_pct, CAST(0.08 AS DOUBLE) AS return_pct, aov * 0.4 * 0.92 AS profit_per_tp, CAST(floor(n * greatest(e, s) * 0.5) AS BIGINT) AS volume, round(floor(n * greatest(e, s) * 0.5) * (aov * 0.4 * 0.92) * 0.1, 2) AS expected_net, CAST(1 AS DOUBLE) AS calc_coverage_pct FROM c, o""")
+def a17(t):
+    customers = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, "a@b.org").alias("email"), F.when(F.col("c_custkey") % 2 > 0, "1").alias("phone"))
+    return kpi.unit_economics(customers, t("orders").select(F.col("o_totalprice").alias("amount")))[0]

@@ -70,7 +70,7 @@ def k1(t):
 
 @query("k2_distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")
 def k2(t):
-    return t("lineitem").select("l_returnflag", "l_linestatus", "l_quantity").dropDuplicates()
+    return keys.distinct_rows(t("lineitem"), ["l_returnflag", "l_linestatus", "l_quantity"])
 
 
 @query("k3_duplicate_keys", "SELECT CAST(count(*) - count(DISTINCT l_orderkey) AS BIGINT) AS duplicates FROM lineitem")
@@ -96,9 +96,31 @@ def k8(t):
     return agg.select("customer_id", "referrals", kpi.kpi("referral_score", AS_OF).alias("referral_score"))
 
 
-@query("k9_canonical_join", "SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+@query("k9_canonical_join", """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment, CAST(o_orderkey AS VARCHAR) AS order_id, o_orderdate AS order_date, o_totalprice AS amount, CAST(event_id AS VARCHAR) AS campaign_id, channel, sent_date FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 0) ON c_custkey = o_custkey
+LEFT JOIN (SELECT event_id, user_id, lower(event_type) AS channel, ts AS sent_date FROM events WHERE event_type = 'purchase') ON user_id = c_custkey""")
 def k9(t):
-    return t("customer").select("c_custkey", "c_mktsegment").join(t("orders").select("o_custkey", "o_orderkey", "o_totalprice"), F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
+    sends = canonical.marketing(t("events").where("event_type = 'purchase'"), {"campaign_id": "event_id", "customer_id": "user_id", "channel": "event_type", "sent_date": "ts"}, ["ts"]).select("campaign_id", "customer_id", "channel", "sent_date")
+    return keys.canonical_join(t("customer").select(F.col("c_custkey").cast("string").alias("customer_id"), "c_mktsegment"), _orders(t), sends)
+
+
+@query("k5_union", "SELECT event_id, value, CAST(NULL AS BIGINT) AS user_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, value, user_id FROM events WHERE event_id % 2 = 1")
+def k5(t):
+    return keys.union_tables(t("events").where("event_id % 2 = 0").select("event_id", "value"), t("events").where("event_id % 2 = 1").select("user_id", "event_id", "value"))
+
+
+@query("k6_common_columns", "SELECT event_id, value FROM events")
+def k6(t):
+    return keys.common_columns(t("events").select("event_id", "props", "value"), t("events").select("value", "ts", "event_id"))[0]
+
+
+@query("k13_confidence_sample", "SELECT event_id, value FROM events ORDER BY value NULLS LAST, event_id LIMIT 25")
+def k13(t):
+    return keys.sample_by_confidence(t("events").select("event_id", "value"), "value", "event_id", 25)
+
+
+@query("p15_with_target", "SELECT event_id, ts, user_id, event_type, value FROM events WHERE value IS NOT NULL")
+def p15(t):
+    return keys.with_target(t("events"), "value", ["props"])
 
 
 @query("k10_nearest", "SELECT v.t AS moment, (SELECT event_id FROM events ORDER BY abs(floor(epoch(ts)) - v.t), floor(epoch(ts)), event_id LIMIT 1) AS event_id FROM (VALUES (1704200000.0), (1705000000.0)) v(t)")
@@ -126,6 +148,16 @@ def k15(t):
     return keys.hashed_split(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
 
 
+@query("k15_stratified", f"SELECT o_orderkey, o_orderstatus, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {DRAW}, o_orderkey) <= round(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) THEN 'test' ELSE 'train' END AS split FROM orders")
+def k15s(t):
+    return keys.stratified_split(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey")
+
+
+@query("k15_time_split", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'test' ELSE 'train' END AS split FROM orders")
+def k15t(t):
+    return keys.time_split(t("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "1998-01-01").drop("o_orderdate")
+
+
 @query("k14_stratified_quota", f"SELECT o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {DRAW}, o_orderkey) AS r, round(count(*) OVER (PARTITION BY o_orderstatus) / (SELECT count(*) FROM orders) * 500) AS q FROM orders) WHERE r <= q")
 def k14(t):
     return keys.stratified_quota(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 500)
@@ -187,10 +219,32 @@ def a1(t):
     return profile.health(t("orders"), "o_orderkey", "o_orderdate", "o_totalprice", "1999-01-01")
 
 
-@query("a2_column_report", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS non_nulls, count(*) - count({c}) AS nulls, 1.0 - count({c}) * 1.0 / count(*) AS null_rate, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, avg({c}) AS mean,
-CAST(quantile_cont({c}, .25) AS DOUBLE) AS p25, CAST(quantile_cont({c}, .5) AS DOUBLE) AS p50, CAST(quantile_cont({c}, .75) AS DOUBLE) AS p75 FROM lineitem""" for c in ("l_quantity", "l_extendedprice", "l_discount")))
+def _numeric_report(table: str, c: str) -> str:
+    quantiles = ", ".join(f"CAST(quantile_cont({c}, {q}) AS DOUBLE) AS p{100 * q:02.0f}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
+    return f"""SELECT '{c}' AS "column", 'numeric' AS kind, count({c}) AS non_nulls, count(*) - count({c}) AS nulls, (count(*) - count({c})) / count(*) AS null_rate, count(DISTINCT {c}) AS "distinct", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, avg({c}) AS mean, {quantiles}, CAST(NULL AS INTEGER) AS min_len, CAST(NULL AS INTEGER) AS max_len, CAST(NULL AS DOUBLE) AS avg_len FROM {table}"""
+
+
+def _text_report(table: str, c: str) -> str:
+    nulls = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("min", "max", "mean", "p05", "p25", "p50", "p75", "p95"))
+    return f"""SELECT '{c}' AS "column", 'text' AS kind, count({c}) AS non_nulls, count(*) - count({c}) AS nulls, (count(*) - count({c})) / count(*) AS null_rate, count(DISTINCT {c}) AS "distinct", {nulls}, CAST(min(length({c})) AS INTEGER) AS min_len, CAST(max(length({c})) AS INTEGER) AS max_len, avg(length({c})) AS avg_len FROM {table}"""
+
+
+@query("a2_column_report", " UNION ALL ".join([*[_numeric_report("lineitem", c) for c in ("l_quantity", "l_extendedprice", "l_discount")], _text_report("lineitem", "l_returnflag")]))
 def a2(t):
-    return profile.column_report(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return profile.column_report(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"], exact=True)
+
+
+@query("a1_dataset_health", """SELECT count(*) AS row_count, count(*) FILTER (WHERE value IS NULL OR user_id IS NULL) AS missing_required, sum((event_id IS NULL)::INT + (ts IS NULL)::INT + (user_id IS NULL)::INT + (event_type IS NULL)::INT + (value IS NULL)::INT + (props IS NULL)::INT) / (count(*) * 6) AS null_rate, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date, count(*) - count(DISTINCT user_id) AS duplicate_keys FROM events""")
+def a1d(t):
+    return profile.dataset_health(t("events"), "user_id", ["value", "user_id"], ["when", "ts"])[0]
+
+
+@query("a3_issues", """WITH r AS (SELECT lower(event_type) || CASE WHEN event_id % 3 = 0 THEN '@x.org' ELSE '@x' END AS email, value - 5 AS amount, ts FROM events), i AS (SELECT 'error' AS severity, 'coupon' AS field, 'Missing required values' AS message, count(*) AS count FROM r
+UNION ALL SELECT 'error', 'email', 'Invalid email format', count(*) FILTER (WHERE NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) FROM r UNION ALL SELECT 'error', 'amount', 'Negative amounts found', count(*) FILTER (WHERE amount < 0) FROM r UNION ALL SELECT 'warn', 'ts', 'Dates in the future detected', count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-03') FROM r)
+SELECT *, CAST(row_number() OVER (ORDER BY severity, count DESC, field, message) AS INTEGER) AS rank FROM i WHERE count > 0""")
+def a3(t):
+    raw = t("events").select(F.concat(F.lower("event_type"), F.when(F.col("event_id") % 3 == 0, "@x.org").otherwise("@x")).alias("email"), (F.col("value") - 5).alias("amount"), "ts")
+    return profile.dataset_health(raw, None, ["coupon"], ["ts"], "2024-01-03")[1]
 
 
 @query("a4_iqr_outliers", """WITH q AS (SELECT quantile_cont(l_extendedprice, .25) AS a, quantile_cont(l_extendedprice, .75) AS b FROM lineitem)
@@ -276,26 +330,23 @@ def a22y(t):
 
 @query("a23_crosstab", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS F, count(*) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
 def a23(t):
-    return t("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
+    return profile.crosstab(t("lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
 
 
-@query("a24_segment_stats", "SELECT c_mktsegment AS segment, round(avg(c_acctbal), 2) AS mean, round(quantile_cont(c_acctbal, .5), 2) AS median, round(stddev_samp(c_acctbal), 2) AS std, min(c_acctbal) AS min, max(c_acctbal) AS max FROM customer GROUP BY 1")
+@query("a24_segment_stats", " UNION ALL ".join(f"SELECT c_mktsegment AS segment, '{c}' AS feature, round(avg({c}), 2) AS mean, round(quantile_cont({c}, .5), 2) AS median, round(stddev_samp({c}), 2) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM customer GROUP BY 1" for c in ("c_acctbal", "c_nationkey")))
 def a24(t):
-    return t("customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.round(F.avg("c_acctbal"), 2).alias("mean"), F.round(F.percentile("c_acctbal", 0.5), 2).alias("median"), F.round(F.stddev_samp("c_acctbal"), 2).alias("std"), F.min("c_acctbal").alias("min"), F.max("c_acctbal").alias("max"))
+    return profile.segment_statistics(t("customer"), "c_mktsegment", ["c_acctbal", "c_nationkey"])
 
 
-@query("a28_risk_metrics", "SELECT avg(value / 100) AS mean, quantile_cont(value / 100, .5) AS median, stddev_pop(value / 100) AS std, count(*) FILTER (WHERE value / 100 > .7) AS high FROM events")
+@query("a28_risk_metrics", "SELECT avg(value / 100) AS mean, quantile_cont(value / 100, .5) AS median, min(value / 100) AS min, max(value / 100) AS max, stddev_pop(value / 100) AS std, count(*) FILTER (WHERE value / 100 > .7) AS high_count, 100 * count(*) FILTER (WHERE value / 100 > .7) / count(value) AS high_pct FROM events")
 def a28(t):
-    p = F.col("value") / 100
-    return t("events").agg(F.avg(p).alias("mean"), F.percentile(p, 0.5).alias("median"), F.stddev_pop(p).alias("std"), F.count_if(p > 0.7).alias("high"))
+    return profile.risk_metrics(t("events"), F.col("value") / 100)
 
 
-@query("a29_histogram", "WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders) SELECT least(CAST(floor((o_totalprice - a) / (b - a) * 20) AS BIGINT), 19) AS bin, count(*) AS n FROM orders, e GROUP BY 1")
+@query("a29_histogram", """WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders), n AS (SELECT least(CAST(floor((o_totalprice - a) / (b - a) * 20) AS INTEGER), 19) AS bin, count(*) AS n FROM orders, e GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bin, a + i * ((b - a) / 20) AS low, a + (i + 1) * ((b - a) / 20) AS high, coalesce(n, 0) AS n FROM e, range(20) r(i) LEFT JOIN n ON bin = i""")
 def a29(t):
-    o = t("orders").select("o_totalprice")
-    ends = o.agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
-    place = F.coalesce(F.floor(F.try_divide(F.col("o_totalprice") - F.col("a"), F.col("b") - F.col("a")) * 20), F.lit(0))  # a constant column is one bin
-    return o.crossJoin(F.broadcast(ends)).groupBy(F.least(place, F.lit(19)).alias("bin")).agg(F.count("*").alias("n"))
+    return profile.histogram(t("orders"), "o_totalprice")
 
 
 @query("a32_billing", "SELECT event_id, 74.1 * ln(1 + value / 1000) + 0.5 * value / 60 AS cost, sum(74.1 * ln(1 + value / 1000) + 0.5 * value / 60) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import statistics
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.withColumns({c: formula_safe(F.col(c)) for c, kind in df.dtypes if kind == "string"}).write.option("header", True).csv(path)
 
 
+def write_training(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """The training table as Parquet, replacing what is there."""
+    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+
+
+HEADER_LIKE_DATA = r"^\s*[-+]?[0-9][0-9.,]*\s*$|^\s*\d{4}-\d{1,2}-\d{1,2}|^\s*\d{1,2}[/.]\d{1,2}[/.]\d{2,4}"
+
+
+def read_csv_checked(spark: SparkSession, path: str, sep: str = ",", share: float = 0.7) -> DataFrame:
+    """CSV with a header, or where at least ``share`` of the header's cells are numbers or dates without one: columns are then col_1, col_2 and so on."""
+    df = read_table(spark, path, "csv", sep)
+    cells = [re.sub(r"_c\d+$", "", c) for c in df.columns]
+    if cells and sum(bool(re.match(HEADER_LIKE_DATA, c)) for c in cells) >= share * len(cells):
+        df = read_table(spark, path, "csv", sep, header=False)
+        df = df.toDF(*[f"col_{i + 1}" for i in range(len(df.columns))])
+    return df
+
+
 def select_only(spark: SparkSession, df: DataFrame, name: str, query: str) -> DataFrame:
     """Ad-hoc SQL over one table; anything but a SELECT is refused."""
     if not query.lstrip().lower().startswith("select"):
