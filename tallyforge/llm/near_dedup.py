@@ -2,10 +2,12 @@
 
 For each of ``SKETCHES`` hash orders, the ``PICKS`` smallest occurrence-labelled
 shingles of five words are kept in text order; documents that agree on a sketch
-are candidates. A bit map of each text's words turns down candidates that differ
-in too many; the others are verified by a banded alignment of their words:
-similar if the word edit distance is at most a fifth of the longer text. Equal
-word sequences are folded before, so groups of copies cost one document.
+meet in a bucket. A bit map of each text's words turns down those that differ in
+too many; what is left falls into small classes of candidates. Inside a class,
+texts are verified by a banded alignment of their words: similar if the word
+edit distance is at most a fifth of the longer text. A text that joined a group
+is not aligned with that group again. Equal word sequences are folded before,
+so groups of copies cost one document.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, free_name, link_buckets, materialize
+from .ngram_join import BUCKET_SETS, Bucket, bit_map, folded, in_blocks, id_pairs, runs_of
+from .shared import connected_components, discard, free_name, materialize
 
 SHINGLE, PICKS, SKETCHES = 5, 2, 96
 SIMILARITY = 0.8
-#: Longs in the bit map of a text's words.
-MAP = 16
+#: Words of one class that a task aligns with each other; more are cut into blocks, each compared with each.
+CLASS_WORDS = 200_000
 SEEDS = np.random.default_rng(1729).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -155,107 +158,140 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield flat[lo:hi]
 
 
-def word_map(words: np.ndarray) -> np.ndarray:
-    """A bit for each occurrence-labelled word, by hash: an edit changes two at most."""
+def labelled(words: np.ndarray) -> np.ndarray:
+    """Words as hashes that tell equal ones apart by how many stand before."""
     w = words.view(np.uint64)
-    bits = np.zeros(64 * MAP, np.uint8)
-    bits[mix(w + occurrence(w) * M1) % np.uint64(64 * MAP)] = 1
-    return np.packbits(bits).view(np.int64)
+    return mix(w + occurrence(w) * M1)
+
+
+def most_edits(sizes: np.ndarray) -> np.ndarray:
+    return np.floor((1 - SIMILARITY) * sizes + 1e-9).astype(np.int64)
+
+
+class TextBucket(Bucket):
+    """Texts as bit maps of their occurrence-labelled words: an edit changes two bits at most."""
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        n, sizes = self.sizes[x], self.sizes[others]
+        others = others[np.minimum(sizes, n) >= SIMILARITY * np.maximum(sizes, n) - 1e-9]
+        out = []
+        for longs in set(self.longs[others].tolist()):
+            some = others[self.longs[others] == longs]
+            shared = min(longs, int(self.longs[x]))
+            mine = folded(self.maps[int(self.longs[x])][self.row[x]][None], shared)
+            apart = np.bitwise_count(folded(self.maps[longs][self.row[some]], shared) ^ mine).sum(1, dtype=np.int64)
+            out.append(some[apart <= 2 * most_edits(np.maximum(self.sizes[some], n))])
+        return np.concatenate(out) if out else others[:0]
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n, sketches, b0, b1, ...) of documents with words and an id; h1 and h2 hash the word sequence, b is the bit map."""
+    """(doc_id, h1, h2, n, sketches, map) of documents with words and an id; h1 and h2 hash the word sequence."""
     words = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))
     words = words.select("doc_id", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.size("words").alias("n"), "words")
-    names = ["doc_id", "h1", "h2", "n", "sketches", *MAPS]
+    names = ["doc_id", "h1", "h2", "n", "sketches", "map"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.compute.greater(batch.column("n"), 0))
             if not batch.num_rows:
                 continue
-            made = [(order_sketches(w).view(np.int64), word_map(w)) for w in _lists(batch.column("words"))]
+            made = [(order_sketches(w).view(np.int64), bit_map(labelled(w)).tobytes()) for w in _lists(batch.column("words"))]
             flat = pa.array(np.concatenate([m[0] for m in made]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * SKETCHES, pa.int32()), flat)
-            maps = np.stack([m[1] for m in made])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:4]] + [lists] + [pa.array(maps[:, k].copy()) for k in range(MAP)], names=names)
-
-    return words.mapInArrow(run, "doc_id long, h1 long, h2 long, n int, sketches array<long>, " + ", ".join(f"{b} long" for b in MAPS))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:4]] + [lists, pa.array([m[1] for m in made], pa.binary())], names=names)
 
+    return words.mapInArrow(run, "doc_id long, h1 long, h2 long, n int, sketches array<long>, map binary")
 
-MAPS = [f"b{k}" for k in range(MAP)]
 
+def candidate_links(sketched: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b): texts that agree on a sketch and may be similar, as many as connect all of them; of equal texts only the ``first`` (rep) count.
 
-def close(a: str, b: str) -> Column:
-    """Whether the bit maps allow the similarity: no pair within the edits is turned down."""
-    apart = sum((F.bit_count(F.col(m + a).bitwiseXOR(F.col(m + b))) for m in MAPS[1:]), F.bit_count(F.col(MAPS[0] + a).bitwiseXOR(F.col(MAPS[0] + b))))
-    return apart <= 2 * F.floor(F.lit(1 - SIMILARITY) * F.greatest("size" + a, "size" + b) + 1e-9)
+    Buckets of one and the same list of ids count once. Copies go once lists are
+    known, as rows of two numbers, so that sketches are not shuffled for it.
+    """
+    members = sketched.select(F.col("doc_id").alias("id"), F.explode("sketches").alias("sketch"))
+    sketch, bucket = Window.partitionBy("sketch"), Window.partitionBy("bucket")
+    met = members.withColumn("m", F.count("*").over(sketch)).withColumn("list", F.bit_xor(F.xxhash64("id")).over(sketch)).where("m > 1")
+    met = met.select(F.xxhash64("list", "m").alias("bucket"), "id").distinct().join(first, F.col("id") == F.col("rep"), "left_semi")
+    shared = materialize(met.withColumn("m", F.count("*").over(bucket)).where("m > 1"), "omh-shared")
+    slim = sketched.select(F.col("doc_id").alias("s"), F.col("n").cast("long").alias("n"), "map")
+    rows = in_blocks(shared.join(slim, F.col("id") == F.col("s")).drop("s"), "bucket", F.ceil(F.col("m") / BUCKET_SETS), "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for table in runs_of(batches, ["bucket", "x", "y"]):
+            if table.num_rows > 1:
+                found.update(TextBucket(table.column("id").to_pylist(), table.column("n").to_numpy(), table.column("map").to_pylist()).links())
+            if len(found) > 200_000:
+                yield id_pairs(found)
+                found = set()
+        if found:
+            yield id_pairs(found)
+
+    links = rows.select("bucket", "x", "y", "id", "n", "map").mapInArrow(run, "a long, b long")
+    links = materialize(links.distinct(), "omh-candidates")
+    discard(shared)
+    return links
+
+
+def aligned_links(ids: list[int], texts: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of ids that connect all similar texts, with ``sides`` only those of different sides; each pair is aligned at most once."""
+    bucket = TextBucket(ids, np.array([len(t) for t in texts]), [bit_map(labelled(t)).tobytes() for t in texts])
+    out, left = [], np.array(sorted(range(len(ids)), key=ids.__getitem__))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            others = bucket.alike(x, left if sides is None else left[sides[left] != sides[x]])
+            found = [y for y in others.tolist() if similar(texts[x], texts[y])]
+            out += [(ids[x], ids[y]) for y in found]
+            queue += found
+            if found:
+                left = left[~np.isin(left, found)]
+    return out
 
-def verify_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts align within the similarity; ``words``: id, n, kinds (distinct words), words.
 
-    An edit takes one distinct word of a text away at most, so pairs that share
-    too few are left out before they are aligned.
-    """
-    left = words.select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("kinds").alias("ka"), F.col("words").alias("wa"))
-    right = words.select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("kinds").alias("kb"), F.col("words").alias("wb"))
-    both = pairs.join(left, pairs.a == left.ia).join(right, pairs.b == right.ib)
-    both = both.where(F.least("na", "nb") >= F.lit(SIMILARITY) * F.greatest("na", "nb") - 1e-9)
-    most = F.floor(F.lit(1 - SIMILARITY) * F.greatest("na", "nb") + 1e-9)
-    both = both.where(F.greatest("ka", "kb") - F.size(F.array_intersect("wa", "wb")) <= most).select("a", "b", "wa", "wb")
+def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) that connect all similar documents of candidate ``classes`` (id, class, n)."""
+    words = classes.groupBy(F.col("class").alias("k")).agg(F.sum("n").alias("words"))
+    dealt = classes.select("id", "class").join(words, F.col("class") == F.col("k")).drop("k").withColumn("blocks", F.ceil(F.col("words") / CLASS_WORDS))
+    rows = docs.select(F.col("doc_id").alias("d"), "text").join(dealt, F.col("d") == F.col("id")).select("class", "id", "text", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("side"))
+    rows = in_blocks(rows, "class", F.col("blocks"), "id").select("class", "x", "y", "id", "side", word_hashes(F.col("text")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [similar(x, y) for x, y in zip(_lists(batch.column("wa")), _lists(batch.column("wb")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for table in runs_of(batches, ["class", "x", "y"]):
+            across = table.column("x")[0] != table.column("y")[0]
+            pairs = aligned_links(table.column("id").to_pylist(), list(_lists(table.column("words"))), table.column("side").to_numpy() if across else None)
+            if pairs:
+                yield id_pairs(set(pairs))
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every document, class_id the smallest doc_id of its group.
 
     Documents without words (null, empty or only marks) and those with a null
-    doc_id are in no group: their class is their own id. Rows that repeat a
-    doc_id are one document. An empty table gives no rows; other columns are
-    ignored. Groups are the connected classes of verified pairs.
+    doc_id are in no group: their class is their own id. Rows that share a
+    doc_id are one document with several texts: any of them links it. An empty
+    table gives no rows; other columns are ignored. Groups are the connected
+    classes of verified pairs.
     """
-    slim = materialize(sketch_documents(docs.select("doc_id", "text")), "omh-sketches")
-    reps = slim.groupBy(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn")).agg(F.min("doc_id").alias("rep"))
-    own = materialize(slim.select("doc_id", "h1", "h2", "n").join(reps, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("n") == F.col("rn"))).select("doc_id", "rep"), "omh-own")
-    first = own.where("doc_id = rep").select(F.col("rep").alias("id")).distinct()
-    unique = slim.join(first, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    unique = materialize(unique.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketches", *MAPS), "omh-unique")
-    discard(slim)
-    members = unique.select("id", "size", F.explode("sketches").alias("bucket"))
-    maps = unique.select("id", "size", *MAPS)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sides = [maps.select(F.col("id").alias("i" + s), *[F.col(c).alias(c + s) for c in ("size", *MAPS)]) for s in "ab"]
-        fits = F.least("sizea", "sizeb") >= F.lit(SIMILARITY) * F.greatest("sizea", "sizeb") - 1e-9
-        left = pairs.join(sides[0], F.col("a") == F.col("ia")).join(sides[1], (F.col("b") == F.col("ib")) & fits & close("a", "b")).select("a", "b")
-        left = materialize(left, "omh-left")
-        ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        words = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words"))
-        words = words.dropDuplicates(["id"]).select("id", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("kinds"), "words")
-        words = materialize(words, "omh-words")
-        found = materialize(verify_pairs(left, words), "omh-found")
-        discard(left, words)
-        return found
-
-    def items(ids: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return texts.select("id", F.explode(F.array_distinct(word_hashes(F.col("text")))).alias("item"))
-
-    def with_maps(crowd: DataFrame) -> DataFrame:
-        return crowd.join(maps.drop("size").withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m")
-
-    links = link_buckets(members, verify, with_maps, "omh", SIMILARITY, items=items, item_close=close)
-    classes = connected_components(links, "omh-final")
-    discard(unique)
-    known = classes.select(F.col("id").alias("c"), "class")
-    grouped = own.join(known, F.col("rep") == F.col("c"), "left").select(F.col("doc_id").alias("g"), F.coalesce("class", "rep").alias("class_id")).dropDuplicates(["g"])
+    sketched = materialize(sketch_documents(docs.select("doc_id", "text")), "omh-sketches")
+    known = sketched.select("doc_id", "h1", "h2", "n").distinct()
+    reps = known.groupBy(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn")).agg(F.min("doc_id").alias("rep"))
+    own = materialize(known.join(reps, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("n") == F.col("rn"))).select("doc_id", "rep"), "omh-own")
+    first = own.where("doc_id = rep").select("rep").distinct()
+    candidates = candidate_links(sketched, first)
+    groups = connected_components(candidates, "omh-groups")
+    sizes = sketched.groupBy(F.col("doc_id").alias("s")).agg(F.max("n").cast("long").alias("n"))
+    classes = materialize(groups.join(sizes, F.col("id") == F.col("s")).select("id", "class", "n"), "omh-classes")
+    links = verified_links(docs, classes)
+    twice = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
+    links = materialize(links.unionByName(twice.select("a", F.explode("all").alias("b")).where("a <> b")), "omh-links")
+    found = connected_components(links, "omh-final").select(F.col("id").alias("c"), "class")
+    discard(sketched, candidates, groups, classes, links)
+    grouped = own.join(found, F.col("rep") == F.col("c"), "left").groupBy(F.col("doc_id").alias("g")).agg(F.min(F.coalesce("class", "rep")).alias("class_id"))
     return docs.select("doc_id").join(grouped, F.col("doc_id") == F.col("g"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -242,7 +242,7 @@ class Bucket:
         return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of rows with equal ``keys``, of rows sorted by them; a run may go over several batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -288,14 +288,14 @@ def candidate_links(sketches: DataFrame, first: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for table in _runs(batches, ["bucket", "x", "y"]):
+        for table in runs_of(batches, ["bucket", "x", "y"]):
             if table.num_rows > 1:
                 found.update(Bucket(table.column("id").to_pylist(), table.column("n").to_numpy(), table.column("map").to_pylist()).links())
             if len(found) > 200_000:
-                yield _pairs(found)
+                yield id_pairs(found)
                 found = set()
         if found:
-            yield _pairs(found)
+            yield id_pairs(found)
 
     links = rows.select("bucket", "x", "y", "id", "n", "map").mapInArrow(run, "a long, b long")
     links = materialize(links.distinct(), "ngram-candidates")
@@ -303,7 +303,7 @@ def candidate_links(sketches: DataFrame, first: DataFrame) -> DataFrame:
     return links
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+def id_pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     both = np.array(sorted(found), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -437,12 +437,12 @@ def verified_links(docs: DataFrame, classes: DataFrame, levels: np.ndarray) -> D
                 flat = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int64()), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("class", "x", "y", "id")], flat], names=["class", "x", "y", "id", "keys"])
 
-        for table in _runs(as_sets(), ["class", "x", "y"]):
+        for table in runs_of(as_sets(), ["class", "x", "y"]):
             column = table.column("keys").combine_chunks()
             flat, at = column.values.to_numpy(), column.offsets.to_numpy()
             pairs = trie_links(table.column("id").to_pylist(), [flat[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)])
             if pairs:
-                yield _pairs(set(pairs))
+                yield id_pairs(set(pairs))
 
     return rows.mapInArrow(run, "a long, b long")
 
