@@ -145,5 +145,33 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+""",
+    "op12_chat_repair": """
+WITH RECURSIVE tab AS (SELECT list(list_reduce([CAST(n AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c AS (SELECT r.*, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT)) % 20 AS fault FROM r, tab),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c, (SELECT unnest([1, 2]) AS copy) WHERE fault <> 0 AND (copy = 1 OR fault = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS a FROM d),
+j AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, lag(a) OVER (PARTITION BY conv_id ORDER BY i) || a AS pair FROM o),
+s AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM j),
+f AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, {'c': 0, 's': ''} AS f0, {'c': 6, 's': 'II'} AS f1, {'c': 3, 's': 'I'} AS f2, {'c': 0, 's': ''} AS f3 FROM s
+  UNION ALL
+  SELECT conv_id, i, list_sort([g0, {'c': u.c + 3, 's': 'I' || u.s}])[1], list_sort([g1, {'c': u.c + 3, 's': 'I' || u.s}])[1], u, v FROM (
+    SELECT *, list_sort([g2, {'c': g3.c + 3, 's': 'I' || g3.s}])[1] AS u, list_sort([g3, {'c': g2.c + 3, 's': 'I' || g2.s}])[1] AS v FROM (
+      SELECT s.conv_id, s.i,
+        list_sort([{'c': f0.c + 4, 's': 'D' || f0.s}, {'c': CASE WHEN gone THEN 1000000000 ELSE f2.c + 3 + more END, 's': 'R' || f2.s}, {'c': CASE WHEN gone OR a NOT IN ('s', 'u') THEN 1000000000 WHEN a = 's' THEN f1.c + more ELSE f2.c + more END, 's': 'K' || CASE a WHEN 's' THEN f1.s ELSE f2.s END}])[1] AS g0,
+        list_sort([{'c': f1.c + 4, 's': 'D' || f1.s}, {'c': CASE WHEN gone THEN 1000000000 ELSE f2.c + 3 + more END, 's': 'R' || f2.s}, {'c': CASE WHEN gone OR a <> 'u' THEN 1000000000 ELSE f2.c + more END, 's': 'K' || f2.s}])[1] AS g1,
+        list_sort([{'c': f2.c + 4, 's': 'D' || f2.s}, {'c': CASE WHEN gone THEN 1000000000 ELSE f3.c + 3 + more END, 's': 'R' || f3.s}, {'c': CASE WHEN gone OR a <> 'a' THEN 1000000000 ELSE f3.c + more END, 's': 'K' || f3.s}])[1] AS g2,
+        list_sort([{'c': f3.c + 4, 's': 'D' || f3.s}, {'c': CASE WHEN gone THEN 1000000000 ELSE f2.c + 3 + more END, 's': 'R' || f2.s}, {'c': CASE WHEN gone OR a <> 'u' THEN 1000000000 ELSE f2.c + more END, 's': 'K' || f2.s}])[1] AS g3
+      FROM f JOIN s ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.i = f.i - 1))
+),
+best AS (SELECT conv_id, CAST(f0.c AS BIGINT) AS cost, f0.s AS audit FROM f WHERE i = 1),
+steps AS (SELECT conv_id, p, letter, count(*) FILTER (WHERE letter <> 'I') OVER w AS i FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS p FROM best WHERE audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+made AS (SELECT steps.conv_id, p, letter, s.role, s.text, row_number() OVER w AS e, first_value(letter = 'K' AND s.a = 's') OVER w AS led FROM steps LEFT JOIN s ON steps.letter <> 'I' AND s.conv_id IS NOT DISTINCT FROM steps.conv_id AND s.i = steps.i WHERE letter <> 'D' WINDOW w AS (PARTITION BY steps.conv_id ORDER BY p)),
+fixed AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (e - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS repaired_sha256 FROM made GROUP BY 1),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM s GROUP BY 1)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM k.conv_id
 """,
 }
