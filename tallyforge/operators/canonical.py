@@ -19,6 +19,15 @@ def pick(df: DataFrame, names: list[str] | str | None, kind: str = "string") ->
     return F.coalesce(*have) if have else F.lit(None).cast(kind)
 
 
+def amounts(df: DataFrame, names: list[str] | str | None) -> Column:
+    """The first non-null of several money columns as a number; only text goes through money cleaning."""
+    named = [names] if isinstance(names, str) else names or []
+    kinds = [kind.split("(")[0] for c, kind in df.dtypes if c in named]
+    if kinds and all(k in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal") for k in kinds):
+        return pick(df, named, "double")
+    return clean.money(pick(df, named))
+
+
 def customers(df: DataFrame, m: dict, order: list[str]) -> DataFrame:
     out = df.select(
         clean.missing_to_null(pick(df, m["customer_id"])).alias("customer_id"), clean.clean_email(pick(df, m.get("email"))).alias("email"),
@@ -31,7 +40,7 @@ def orders(df: DataFrame, m: dict, order: list[str]) -> DataFrame:
     """Null ids go, the last row per id stays, amounts of zero or less go."""
     out = df.select(
         clean.missing_to_null(pick(df, m["order_id"])).alias("order_id"), clean.missing_to_null(pick(df, m["customer_id"])).alias("customer_id"),
-        pick(df, m["order_date"], "timestamp").alias("order_date"), clean.money(pick(df, m["amount"])).alias("amount"), *[F.col(o).alias(f"_{o}") for o in order],
+        pick(df, m["order_date"], "timestamp").alias("order_date"), amounts(df, m["amount"]).alias("amount"), *[F.col(o).alias(f"_{o}") for o in order],
     )
     last = keep_last(out, ["order_id"], [f"_{o}" for o in order])
     return last.where(F.coalesce("amount", F.lit(0.0)) > 0).select("order_id", "customer_id", "order_date", "amount")
@@ -41,7 +50,7 @@ def marketing(df: DataFrame, m: dict, order: list[str], keys: tuple[str, ...] =
     flags = [clean.to_bool01(pick(df, m.get(c))).alias(c) for c in ("opened", "clicked", "converted")]
     out = df.select(
         clean.missing_to_null(pick(df, m["campaign_id"])).alias("campaign_id"), pick(df, m["customer_id"]).alias("customer_id"), F.lower(F.trim(pick(df, m["channel"]))).alias("channel"),
-        pick(df, m["sent_date"], "timestamp").alias("sent_date"), *flags, F.coalesce(clean.money(pick(df, m.get("cost"))), F.lit(0.0)).alias("cost"), *[F.col(o).alias(f"_{o}") for o in order],
+        pick(df, m["sent_date"], "timestamp").alias("sent_date"), *flags, F.coalesce(amounts(df, m.get("cost")), F.lit(0.0)).alias("cost"), *[F.col(o).alias(f"_{o}") for o in order],
     )
     return keep_last(out, list(keys), [f"_{o}" for o in order]).drop(*[f"_{o}" for o in order])
 

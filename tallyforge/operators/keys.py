@@ -51,7 +51,7 @@ def stratified_quota(df: DataFrame, stratum: str, key: str, rows: int, seed: int
     total = sizes.agg(F.sum("_n").alias("_total"))
     quota = sizes.crossJoin(total).select(F.col(stratum).alias("_s"), "_n", F.round(F.col("_n") / F.col("_total") * rows).cast("long").alias("_quota"))
     # the draws of the rows that can be among the first are low, so few rows of a stratum meet to be ranked
-    near = df.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_draw", draw(key, seed))
+    near = df.join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_draw", draw(key, seed))
     near = near.where(F.col("_draw") <= F.lit(2.0**32) * (2 * F.col("_quota") + 100) / F.col("_n"))
     w = Window.partitionBy(stratum).orderBy("_draw", key)
     return near.withColumn("_rank", F.row_number().over(w)).where("_rank <= _quota").select(df.columns)

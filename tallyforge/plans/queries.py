@@ -384,7 +384,12 @@ def w5(t):
     return o.withColumn("bin", features.bin_by_edges(F.col("o_totalprice"), features.quantile_edges(o, "o_totalprice")))
 
 
-@query("f3_text_hash")
+# The table of CRC-32, and a token's CRC from it.
+CRC = "tab AS (SELECT list(list_reduce([CAST(n AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n))"
+CRC_OF = "xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(token, ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT))"
+
+
+@query("f3_text_hash", f"""WITH {CRC}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS token FROM documents), h AS (SELECT token, CAST({CRC_OF} % 1024 AS BIGINT) AS bucket FROM (SELECT DISTINCT token FROM w), tab) SELECT doc_id, bucket, count(*) AS n FROM w JOIN h USING (token) GROUP BY 1, 2""")
 def f3(t):
     return features.text_hash_counts(t("documents"), "doc_id", "text")
 
