@@ -7,7 +7,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import anomaly, cluster, evaluate, features, kpi, models, survival
+from tallyforge.operators import anomaly, cluster, evaluate, features, kpi, models, prepare, survival
 
 from .queries import SCORED, _scored, query
 
@@ -233,3 +233,11 @@ SELECT n AS eligible_total, e AS emailable_pct, s AS sms_opt_in_pct, aov, CAST(0
 def a17(t):
     customers = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, "a@b.org").alias("email"), F.when(F.col("c_custkey") % 2 > 0, "1").alias("phone"))
     return kpi.unit_economics(customers, t("orders").select(F.col("o_totalprice").alias("amount")))[0]
+
+
+@query("f6_preprocessed", """WITH r AS (SELECT event_id, CASE WHEN value < 60 THEN user_id END AS late, value, CASE WHEN event_id % 3 = 0 THEN 1 END AS sparse, CASE WHEN event_type <> 'click' THEN event_type END AS kind FROM events), m AS (SELECT quantile_cont(late, .5) AS ml, quantile_cont(value, .5) AS mv FROM r),
+c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(kind, 'MISSING') AS v FROM r))
+SELECT event_id, coalesce(late, ml) AS late, coalesce(value, mv) AS value, CAST(code AS INTEGER) AS kind, CASE WHEN late IS NULL THEN 1 ELSE 0 END AS late_was_missing FROM r JOIN c ON v = coalesce(kind, 'MISSING'), m""")
+def f6(t):
+    raw = t("events").select("event_id", F.when(F.col("value") < 60, F.col("user_id")).alias("late"), "value", F.when(F.col("event_id") % 3 == 0, 1).alias("sparse"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("kind"))
+    return prepare.fit_preprocessor(raw, ["event_id"], low=0.001).transform(raw)

@@ -199,3 +199,16 @@ def test_counterfactuals_equal_brute_force(spark):
             best[r.id] = min(best.get(r.id, (9e9, 0)), (d, r.candidate))
     assert {i: (pytest.approx(r.distance), r.candidate) for i, r in got.items()} == best and len(best) > 20
     assert all(lo[0] <= r.a <= hi[0] and lo[1] <= r.b <= hi[1] and r.a - 2 * r.b >= 1 and r.changed >= 1 for r in got.values())
+
+
+def test_preprocessor(spark):
+    from tallyforge.operators import prepare
+
+    rows = [(i, float(i % 10) if i % 4 else None, float(i), None if i % 3 else "x", ["b", "a", None][i % 3], float("nan") if i >= 85 else 1.0, 5.0 if i < 80 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, v double, w double, rare string, c string, n double, late double")
+    made = prepare.fit_preprocessor(df, ["id"])
+    assert made.dropped == ["rare"] and set(made.flagged) == {"late", "n"} and made.medians["late"] == 5.0
+    new = spark.createDataFrame([(1, None, 2.0, "x", "zzz", None, 7.0), (2, 3.0, None, None, None, 2.0, None)], df.schema)
+    got = {r.id: r for r in made.transform(new).collect()}
+    assert "rare" not in got[1] and (got[1].c, got[1].n_was_missing, got[1].late_was_missing, got[1].n) == (-1, 1, 0, 1.0)
+    assert (got[2].c, got[2].late, got[2].late_was_missing, got[2].w) == (0, 5.0, 1, 49.5)
