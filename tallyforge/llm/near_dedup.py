@@ -12,7 +12,7 @@ so groups of copies cost one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from .shared import connected_components, discard, free_name, materialize
 SHINGLE, PICKS, SKETCHES = 5, 2, 96
 SIMILARITY = 0.8
 #: Words of one class that a task aligns with each other; more are cut into blocks, each compared with each.
-CLASS_WORDS = 200_000
+CLASS_WORDS = 1_000_000
 SEEDS = np.random.default_rng(1729).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -183,6 +183,26 @@ class TextBucket(Bucket):
             out.append(some[apart <= 2 * most_edits(np.maximum(self.sizes[some], n))])
         return np.concatenate(out) if out else others[:0]
 
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs that connect all texts which may be similar, directly or over others: each with the smallest id of its group, so that groups are shallow and buckets repeat pairs."""
+        return connecting(self, lambda _, maybe: maybe.tolist())
+
+
+def connecting(bucket: TextBucket, linked: Callable[[int, np.ndarray], list[int]], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(smallest id, id) for each group that is connected by what ``linked`` keeps of a text's candidates, each pair asked at most once; with ``sides`` only texts of different sides."""
+    out, left = [], np.array(sorted(range(len(bucket.ids)), key=bucket.ids.__getitem__))
+    while len(left) > 1:
+        first, left = int(left[0]), left[1:]
+        queue = [first]
+        while queue and len(left):
+            x = queue.pop()
+            found = linked(x, bucket.alike(x, left if sides is None else left[sides[left] != sides[x]]))
+            if found:
+                out += [(bucket.ids[first], bucket.ids[y]) for y in found]
+                queue += found
+                left = left[~np.isin(left, found)]
+    return out
+
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, n, sketches, map) of documents with words and an id; h1 and h2 hash the word sequence."""
@@ -235,20 +255,9 @@ def candidate_links(sketched: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def aligned_links(ids: list[int], texts: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of ids that connect all similar texts, with ``sides`` only those of different sides; each pair is aligned at most once."""
+    """Pairs of ids that connect all similar texts, with ``sides`` only over texts of different sides."""
     bucket = TextBucket(ids, np.array([len(t) for t in texts]), [bit_map(labelled(t)).tobytes() for t in texts])
-    out, left = [], np.array(sorted(range(len(ids)), key=ids.__getitem__))
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            others = bucket.alike(x, left if sides is None else left[sides[left] != sides[x]])
-            found = [y for y in others.tolist() if similar(texts[x], texts[y])]
-            out += [(ids[x], ids[y]) for y in found]
-            queue += found
-            if found:
-                left = left[~np.isin(left, found)]
-    return out
+    return connecting(bucket, lambda x, maybe: [y for y in maybe.tolist() if similar(texts[x], texts[y])], sides)
 
 
 def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
