@@ -95,6 +95,14 @@ def test_repair_report_equals_search(spark):
     assert got == expected(rows)
 
 
+def test_very_long_texts_and_one_huge_conversation(spark):
+    rows = [(1, 0, "user", "word " * 60_000 + "end."), (1, 1, "assistant", "x" * 200_000), (1, 2, "user", "word " * 60_000 + "end.")]
+    rows += [(2, i, "user" if i % 2 else "assistant", "same." if i % 3 else f"text {i}.") for i in range(1500)]
+    got = {r.conv_id: tuple(r)[1:] for r in chat_repair.repair_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {1, 2} and got[2][2] > 500 and len(got[2][6].replace("I", "")) > 1400
+    assert got[1] == expected(rows[:3])[1]
+
+
 def test_repair_of_empty_and_dropped(spark):
     df = spark.createDataFrame([(1, 2, "user", "a.")], "conv_id long, turn long, role string, text string")
     assert chat_repair.repair_report(df.limit(0)).count() == 0 and chat_repair.repair_conversations(df.limit(0)).count() == 0
