@@ -51,21 +51,21 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> d
     bracket by itself. So no task keeps a column's distinct values.
     """
     values = [F.col(c).cast("double") for c in columns]
-    size = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)]).first()
+    spread = 1 / 1000
+    around = [max(0.0, s - spread) for s in shares] + [min(1.0, s + spread) for s in shares]
+    marks = [f(v).alias(f"{a}{i}") for i, v in enumerate(values) for a, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("at", lambda v: F.percentile_approx(v, around, 10_000)))]
+    known = df.agg(*marks).first()  # one sketch for all ranks of a column
     out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
     wanted = []  # (column, share, rank)
     for i in range(len(columns)):
-        n = size[f"n{i}"]
+        n = known[f"n{i}"]
         wanted += [(i, s, min(int(share * (n - 1)), n - 1), share * (n - 1)) for s, share in enumerate(shares) if n]
     if not wanted:
         return out
-    spread = 1 / 1000
-    at = df.agg(*[F.percentile_approx(values[i], [max(0.0, shares[s] - spread), min(1.0, shares[s] + spread)], 10_000).alias(f"b{j}") for j, (i, s, _, _) in enumerate(wanted)]).first()
-    ends = df.agg(*[F.struct(F.min(v), F.max(v)).alias(f"e{i}") for i, v in enumerate(values)]).first()
     brackets = []
-    for j, (i, s, _, _) in enumerate(wanted):
-        lo, hi = at[f"b{j}"]
-        brackets.append((ends[f"e{i}"][0] if shares[s] - spread <= 0 else lo, ends[f"e{i}"][1] if shares[s] + spread >= 1 else hi))
+    for i, s, _, _ in wanted:
+        lo, hi = known[f"at{i}"][s], known[f"at{i}"][len(shares) + s]
+        brackets.append((known[f"lo{i}"] if shares[s] - spread <= 0 else lo, known[f"hi{i}"] if shares[s] + spread >= 1 else hi))
     counted = df.agg(*[F.count_if(values[w[0]] < F.lit(b[0])).alias(f"u{j}") for j, (w, b) in enumerate(zip(wanted, brackets, strict=True))], *[F.count_if((values[w[0]] >= F.lit(b[0])) & (values[w[0]] <= F.lit(b[1]))).alias(f"i{j}") for j, (w, b) in enumerate(zip(wanted, brackets, strict=True))]).first()
     tagged = F.array(*[F.when((values[w[0]] >= F.lit(b[0])) & (values[w[0]] <= F.lit(b[1])), F.struct(F.lit(j).alias("j"), values[w[0]].alias("v"))) for j, (w, b) in enumerate(zip(wanted, brackets, strict=True))])
     inside = df.select(F.explode(F.array_compact(tagged)).alias("r")).select("r.*").groupBy("j", "v").agg(F.count("*").alias("n"))
@@ -80,3 +80,24 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> d
         a, b = found[j]
         out[columns[i]][s] = a if exact == rank else a + (exact - rank) * (b - a)
     return out
+
+
+def group_medians(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, ``name``): the exact median of each group's values, null for a group without any.
+
+    As ``exact_quantiles``, with a bracket for each group, whose rank the sketch
+    can't miss. Brackets are broadcast, so groups should be few; their rows may be many.
+    """
+    v, n = F.col(value).cast("double"), F.col("_n")
+    marks = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(v).alias("_n"), F.percentile_approx(v, [0.499, 0.501], 10_000).alias("_at"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = df.join(F.broadcast(marks), same)  # a row per group
+    groups = [f"_k{i}" for i in range(len(keys))]
+    counts = rows.where(v.isNull() | (v <= F.col("_at")[1])).groupBy(*groups, "_n", F.when(v >= F.col("_at")[0], v).alias("_v"), v.isNull().alias("_gap")).agg(F.count("*").alias("_c"))
+    upto = F.sum(F.when(~F.col("_gap"), F.col("_c"))).over(Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counts.withColumn("_upto", upto)
+    at = lambda rank: F.min(F.when(F.col("_v").isNotNull() & (F.col("_upto") > rank), F.col("_v")))
+    both = ranked.groupBy(*groups).agg(at(F.floor((n - 1) / 2)).alias("_a"), at(F.floor(n / 2)).alias("_b"))
+    return both.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], (F.col("_a") + 0.5 * (F.col("_b") - F.col("_a"))).alias(name))
