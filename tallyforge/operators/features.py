@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.clean import whole_days
 
+from .select import exact_quantiles
+
 
 def date_features(df: DataFrame, date: str) -> DataFrame:
     """Year, month, weekday (Monday 0), weekend, month start and end, and whole days before the table's last date."""
@@ -43,9 +45,11 @@ def rare_to_token(df: DataFrame, column: str, least: int = 10, share: float = 0.
 
 def capped(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, least: int = 50) -> DataFrame:
     """Adds ``<column>_capped``, between two quantiles when there are ``least`` values."""
-    q = df.agg(F.percentile(column, low).alias("_lo"), F.percentile(column, high).alias("_hi"), F.count(column).alias("_n"))
     c = F.col(column)
-    return df.crossJoin(F.broadcast(q)).withColumn(f"{column}_capped", F.when(F.col("_n") >= least, F.least(F.greatest(c, F.col("_lo")), F.col("_hi"))).otherwise(c)).drop("_lo", "_hi", "_n")
+    if df.agg(F.count(column)).first()[0] < least:
+        return df.withColumn(f"{column}_capped", c)
+    lo, hi = exact_quantiles(df, [column], [low, high])[column]
+    return df.withColumn(f"{column}_capped", F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
 def text_hash_counts(df: DataFrame, key: str, text: str, buckets: int = 1024) -> DataFrame:
