@@ -33,10 +33,10 @@ def column_report(df: DataFrame, columns: list[str], exact: bool = False) -> Dat
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, outliers): values beyond 1.5 interquartile ranges, from two aggregates."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in columns])
-    far = lambda c: (F.col(c) < 2.5 * F.col(f"q_{c}")[0] - 1.5 * F.col(f"q_{c}")[1]) | (F.col(c) > 2.5 * F.col(f"q_{c}")[1] - 1.5 * F.col(f"q_{c}")[0])
-    out = df.crossJoin(F.broadcast(q)).agg(*[F.count_if(far(c)).alias(c) for c in columns])
+    """(column, outliers): values beyond 1.5 interquartile ranges, from exact quartiles by brackets and one aggregate."""
+    q = exact_quantiles(df, columns, [0.25, 0.75])
+    far = lambda c, a, b: F.lit(False) if a is None else (F.col(c) < 2.5 * F.lit(a) - 1.5 * F.lit(b)) | (F.col(c) > 2.5 * F.lit(b) - 1.5 * F.lit(a))
+    out = df.agg(*[F.count_if(far(c, *q[c])).alias(c) for c in columns])
     return out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("outliers")) for c in columns])).alias("r")).select("r.*")
 
 
