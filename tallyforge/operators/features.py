@@ -23,8 +23,8 @@ def date_features(df: DataFrame, date: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> list[float]:
     """Distinct exact quantile edges, at most ``bins`` + 1 numbers."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0]
-    return sorted(set(edges or []))
+    edges = exact_quantiles(df, [column], [i / bins for i in range(bins + 1)])[column]
+    return sorted({e for e in edges if e is not None})
 
 
 def bin_by_edges(c: Column, edges: list[float]) -> Column:
