@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .select import smallest
+from .select import group_medians, smallest
 
 
 def change(c: Column, kind: str, amount: float) -> Column:
@@ -47,10 +47,23 @@ def category_boost(df: DataFrame, column: str, category: str, percent: float, ke
     return df.where(~other).unionByName(turned)
 
 
-def change_summary(df: DataFrame, before: str, after: str) -> DataFrame:
-    """(which, mean, median, std) of a number before and after its change; std is a sample's."""
-    at = lambda c, name: F.struct(F.lit(name).alias("which"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_samp(c).alias("std"))
-    return df.agg(at(before, "before").alias("b"), at(after, "after").alias("a")).select(F.explode(F.array("b", "a")).alias("r")).select("r.*")
+def change_summary(df: DataFrame, before: str, after: str, by: str) -> DataFrame:
+    """(scope, ``by``, which, mean, median, std, mean_change, ci_low, ci_high) of a number before and after its change.
+
+    For the whole table (scope "all", a null ``by``) and for each value of ``by``
+    (scope "group"); std is a sample's, the interval of the mean change the
+    normal one of 95 %. One aggregate, and the exact medians by brackets.
+    """
+    d = F.col(after) - F.col(before)
+    scopes = F.array(F.struct(F.lit("all").alias("scope"), F.lit(None).cast(df.schema[by].dataType).alias("by")), F.struct(F.lit("group").alias("scope"), F.col(by).alias("by")))
+    sides = F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).cast("double").alias("v")) for w, c in (("before", before), ("after", after))])
+    rows = df.select(F.explode(scopes).alias("s"), sides.alias("sides"), d.alias("d")).select("s.*", F.explode("sides").alias("r"), "d").select("scope", "by", "r.*", "d")
+    keys = ["scope", "by", "which"]
+    half = 1.96 * F.stddev_samp("d") / F.sqrt(F.count("d"))
+    made = rows.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.avg("d").alias("mean_change"), (F.avg("d") - half).alias("ci_low"), (F.avg("d") + half).alias("ci_high"))
+    middle = group_medians(rows.select(*keys, "v"), keys, "v").select(F.col("scope").alias("_s"), F.col("by").alias("_b"), F.col("which").alias("_w"), "median")
+    both = made.join(middle, (F.col("scope") == F.col("_s")) & F.col("by").eqNullSafe(F.col("_b")) & (F.col("which") == F.col("_w")))
+    return both.select("scope", F.col("by").alias(by), "which", "mean", "median", "std", "mean_change", "ci_low", "ci_high")
 
 
 def category_summary(df: DataFrame, before: str, after: str, most: int = 5) -> DataFrame:

@@ -208,9 +208,15 @@ def c3(t):
     return boosted.agg(F.count("*").alias("rows"), F.count_if(F.col("o_orderstatus") == "F").alias("in_category"))
 
 
-@query("c5_change_summary", " UNION ALL ".join(f"SELECT '{w}' AS which, avg({c}) AS mean, quantile_cont({c}, .5) AS median, stddev_samp({c}) AS std FROM orders" for w, c in (("before", "o_totalprice"), ("after", "o_totalprice * 1.1"))))
+CHANGE = "o_totalprice * 1.1 - o_totalprice"
+
+
+@query("c5_change_summary", " UNION ALL ".join(
+    f"SELECT '{scope}' AS scope, {by} AS o_orderstatus, '{w}' AS which, avg({c}) AS mean, quantile_cont({c}, .5) AS median, stddev_samp({c}) AS std, avg({CHANGE}) AS mean_change, avg({CHANGE}) - 1.96 * stddev_samp({CHANGE}) / sqrt(count(*)) AS ci_low, avg({CHANGE}) + 1.96 * stddev_samp({CHANGE}) / sqrt(count(*)) AS ci_high FROM orders{end}"
+    for scope, by, end in (("all", "CAST(NULL AS VARCHAR)", ""), ("group", "o_orderstatus", " GROUP BY o_orderstatus")) for w, c in (("before", "o_totalprice"), ("after", "o_totalprice * 1.1"))
+))
 def c5(t):
-    return whatif.change_summary(t("orders").withColumn("after", F.col("o_totalprice") * 1.1), "o_totalprice", "after")
+    return whatif.change_summary(t("orders").withColumn("after", F.col("o_totalprice") * 1.1), "o_totalprice", "after", "o_orderstatus")
 
 
 @query("c5_category_summary", """WITH s AS (SELECT unnest(['before', 'after']) AS which, unnest([event_type, CASE WHEN event_type = 'click' THEN 'view' ELSE event_type END]) AS value FROM events), c AS (SELECT which, value, count(*) AS n FROM s WHERE value IS NOT NULL GROUP BY 1, 2)
