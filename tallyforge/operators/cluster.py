@@ -8,10 +8,16 @@ centres and statistics: a few numbers per cluster, never rows (``MOST_CLUSTERS``
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources.scratch import discard, materialize
+
 #: Clusters of one labelling whose statistics may come to the driver.
 MOST_CLUSTERS = 1000
 #: Rows that starting centres are drawn from: those with the smallest hashes of the whole table.
@@ -76,6 +82,9 @@ def start_centres(df: DataFrame, columns: list[str], ks: list[int], tries: int =
 def lloyd(df: DataFrame, columns: list[str], starts: dict[int, Centres], steps: int = 300, tolerance: float = 1e-4) -> dict[int, Centres]:
     """Centres after Lloyd's steps for all k of ``starts`` at once, one aggregate a step.
 
+    Rows of equal features are folded into one point with their count, which is
+    written once; a step sums points next to each centre in Arrow batches.
+
     A k is done once its centres move by at most ``tolerance`` times the mean
     variance of the features (squared, summed over centres). A centre without
     rows stays where it is. Rows with a missing feature are left out.
@@ -84,22 +93,55 @@ def lloyd(df: DataFrame, columns: list[str], starts: dict[int, Centres], steps:
     spread = rows.agg(*[F.var_pop(c) for c in columns]).first()
     enough = tolerance * float(np.mean([v or 0.0 for v in spread]))
     centres, running = dict(starts), {k for k, c in starts.items() if c}
+    if not running or not steps:
+        return centres
+    names = [f"_x{i}" for i in range(len(columns))]
+    points = materialize(rows.groupBy(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]).agg(F.count("*").alias("_n")), "kmeans-points")
     for _ in range(steps):
         if not running:
             break
-        each = F.array(*[F.struct(F.lit(k).alias("k"), nearest(columns, centres[k]).alias("j")) for k in sorted(running)])
-        sums = rows.withColumn("_at", F.explode(each)).groupBy("_at").agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in columns])
+        parts = points.mapInArrow(_cluster_sums(names, {k: centres[k] for k in sorted(running)}), "k int, j int, n long, " + ", ".join(f"{c} double" for c in names))
         moved = {k: [list(c) for c in centres[k]] for k in running}
-        for r in sums.collect():  # k rows for each k
-            moved[r._at.k][r._at.j] = [r[c] for c in columns]
+        for r in parts.groupBy("k", "j").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).collect():  # k rows for each k
+            moved[r.k][r.j] = [r[c] / r.n for c in names]
         for k in sorted(running):
             shift = sum((a - b) ** 2 for old, new in zip(centres[k], moved[k], strict=True) for a, b in zip(old, new, strict=True))
             centres[k] = moved[k]
             if shift <= enough:
                 running.discard(k)
+    discard(points)
     return centres
 
 
+def _cluster_sums(names: list[str], centres: dict[int, Centres]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task the counts and sums (k, j, n, ...) of the points next to each centre; of equally near ones the first."""
+    at = {k: np.array(c, float) for k, c in centres.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = {k: np.zeros(len(c), np.int64) for k, c in at.items()}
+        total = {k: np.zeros(c.shape) for k, c in at.items()}
+        for batch in batches:
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            n = batch.column("_n").to_numpy(zero_copy_only=False)
+            for k, c in at.items():
+                least, own = np.full(len(n), np.inf), np.zeros(len(n), np.int64)
+                for j in range(len(c)):
+                    d = np.zeros(len(n))
+                    for i, v in enumerate(x):
+                        d += (v - c[j, i]) ** 2
+                    nearer = d < least
+                    least[nearer], own[nearer] = d[nearer], j
+                count[k] += np.bincount(own, n, len(c)).astype(np.int64)
+                for i, v in enumerate(x):
+                    total[k][:, i] += np.bincount(own, n * v, len(c))
+        kj = [(k, j) for k in at for j in np.flatnonzero(count[k]).tolist()]
+        arrays = [pa.array([k for k, _ in kj], pa.int32()), pa.array([j for _, j in kj], pa.int32()), pa.array([count[k][j] for k, j in kj], pa.int64())]
+        arrays += [pa.array([total[k][j, i] for k, j in kj], pa.float64()) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["k", "j", "n", *names])
+
+    return run
+
+
 def metrics_of(df: DataFrame, columns: list[str], labels: dict[int, Column]) -> DataFrame:
     """(k, clusters, rows, inertia, silhouette, calinski_harabasz, davies_bouldin) of several labellings, by two aggregates in all.
 
@@ -122,22 +164,12 @@ def metrics_of(df: DataFrame, columns: list[str], labels: dict[int, Column]) ->
     mean = {k: [[r[f"m_{c}"] for c in columns] for r in rs] for k, rs in known.items()}
     within = {k: [sum(r[f"v_{c}"] for c in columns) for r in rs] for k, rs in known.items()}  # mean squared spread
 
-    def row(k: int) -> Column:
-        """(k, label, distance to the own mean, silhouette) of a row."""
-        n, m, s = size[k], mean[k], within[k]
-        far = F.array(*[F.struct((_distance(columns, m[j]) + F.lit(float(s[j]))).alias("d"), F.lit(j).alias("j")) for j in range(len(m))])
-        own = F.array_position(F.array(*[F.lit(r._at.label) for r in known[k]]), F.col(f"_l{k}")) - 1
-        a = F.get(far, own)["d"] * F.get(F.array(*[F.lit(v / (v - 1) if v > 1 else 0.0) for v in n]), own)
-        b = F.array_min(F.filter(far, lambda x: x["j"] != own))["d"]
-        alone = F.get(F.array(*[F.lit(v == 1) for v in n]), own)
-        silhouette = F.when(alone, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
-        return F.struct(F.lit(k).alias("k"), own.cast("int").alias("j"), F.sqrt(F.greatest(F.get(far, own)["d"] - F.get(F.array(*[F.lit(float(v)) for v in s]), own), F.lit(0.0))).alias("d"), silhouette.alias("s"))
-
     many = [k for k in labels if len(known[k]) > 1]
     second: dict[int, dict] = {k: {} for k in labels}
     if many:
-        both = rows.select(F.explode(F.array(*[row(k) for k in many])).alias("r")).select("r.*").where("j is not null")
-        for r in both.groupBy("k", "j").agg(F.avg("d").alias("d"), F.sum("s").alias("s")).collect():
+        shapes = {k: ([r._at.label for r in known[k]], np.array(size[k], float), np.array(mean[k], float), np.array(within[k], float)) for k in many}
+        parts = rows.mapInArrow(_spread_sums(columns, shapes), "k int, j int, n long, d double, s double")
+        for r in parts.groupBy("k", "j").agg((F.sum("d") / F.sum("n")).alias("d"), F.sum("s").alias("s")).collect():
             second[r.k][r.j] = (r.d, r.s)
     out = []
     for k in labels:
@@ -157,6 +189,37 @@ def metrics_of(df: DataFrame, columns: list[str], labels: dict[int, Column]) ->
     return spark.createDataFrame(out, form)
 
 
+def _spread_sums(columns: list[str], shapes: dict[int, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task (k, j, n, d, s): rows of each cluster, and their summed distances to its mean and silhouettes; ``shapes`` has labels, sizes, means and mean squared spreads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros((3, len(shape[0]))) for k, shape in shapes.items()}
+        for batch in batches:
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            for k, (names, size, mean, within) in shapes.items():
+                found = pa.compute.index_in(batch.column(f"_l{k}"), value_set=pa.array(names, pa.string()))
+                known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                own = found.drop_null().to_numpy(zero_copy_only=False)
+                mine = np.arange(len(own))
+                far = np.zeros((len(own), len(names)))
+                for i, v in enumerate(x):
+                    far += (v[known, None] - mean[None, :, i]) ** 2
+                apart = np.sqrt(np.maximum(far[mine, own], 0.0))
+                far += within
+                a = far[mine, own] * np.where(size > 1, size / np.maximum(size - 1, 1), 0.0)[own]
+                far[mine, own] = np.inf
+                b = far.min(1)
+                most = np.maximum(a, b)
+                score = np.where((size[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1.0), 0.0)
+                for place, weight in enumerate((None, apart, score)):
+                    sums[k][place] += np.bincount(own, weight, len(names))
+        kj = [(k, j) for k in sums for j in np.flatnonzero(sums[k][0]).tolist()]
+        arrays = [pa.array([k for k, _ in kj], pa.int32()), pa.array([j for _, j in kj], pa.int32()), pa.array([int(sums[k][0, j]) for k, j in kj], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays + [pa.array([sums[k][place, j] for k, j in kj], pa.float64()) for place in (1, 2)], names=["k", "j", "n", "d", "s"])
+
+    return run
+
+
 def cluster_metrics(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """``metrics_of`` one labelling that is a column, without k."""
     return metrics_of(df, columns, {0: F.col(label)}).drop("k")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluate, features, profile, select, whatif
+from tallyforge.operators import anomaly, cluster, evaluate, features, profile, select, whatif
 
 
 @pytest.fixture
@@ -74,3 +74,37 @@ def test_medians_of_small_and_missing_groups(spark, no_percentile):
     rows = [("one", 4.0), ("two", 1.0), ("two", 2.0), ("gap", None), ("many", 3.0), ("many", None)] + [("many", float(i % 2)) for i in range(5)]
     got = {r.k: r["median"] for r in select.group_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
     assert got == {"one": 4.0, "two": 1.5, "gap": None, "many": 0.5}
+
+
+def counted(spark, df):
+    """``df``, and an accumulator of how many of its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), made
+
+
+def test_lloyd_reads_the_table_once_for_all_steps(spark, numbers):
+    rows, df = numbers
+    df, made = counted(spark, df.select("a", "b").unionByName(df.select("a", "b")))
+    starts = {2: [[0.0, 0.0], [1.0, 1.0]], 3: [[0.0, 0.0], [1.0, 1.0], [-5.0, 2.0]]}
+    got = cluster.lloyd(df, ["a", "b"], starts, steps=4, tolerance=0.0)
+    assert made.value <= 2 * 2 * len(rows)
+    for k, centres in starts.items():
+        for _ in range(4):
+            own = [min(range(k), key=lambda j: ((a - centres[j][0]) ** 2 + (b - centres[j][1]) ** 2, j)) for a, b, _ in rows]
+            centres = [[sum(r[i] for r, o in zip(rows, own, strict=True) if o == j) / own.count(j) for i in (0, 1)] for j in range(k)]
+        assert [v for c in got[k] for v in c] == pytest.approx([v for c in centres for v in c])
+
+
+def test_scores_are_made_once(spark, numbers, no_percentile):
+    rows, df = numbers
+    forest = anomaly.grow_forest(df, ["a", "b"], trees=5, size=64)
+    df, made = counted(spark, df.select("a", "b"))
+    got = anomaly.anomaly_scores(df, forest).collect()
+    limit = quantile([r.anomaly_score for r in got], 0.9)
+    assert made.value == len(rows) and all(r.anomaly == (r.anomaly_score > limit) for r in got)
