@@ -16,7 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tallyforge.sources.scratch import materialize
+
+from .select import exact_quantiles
+
 TREES, SAMPLE = 100, 256
+#: Rows that go down a tree together: few enough to stay in the processor's cache.
+CHUNK = 8192
 
 
 def expected_depth(n: np.ndarray | int) -> np.ndarray:
@@ -40,14 +46,44 @@ class Forest:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """2 to the power of minus the mean depth over the expected one: near 1 for outliers. A missing feature goes right."""
-        total = np.zeros(len(x))
+        inner = self.feature >= 0
+        feature, cut = np.where(inner, self.feature, 0).astype(np.intp), np.where(inner, self.cut, np.nan)
+        here = np.arange(len(inner))
+        # both ways of a node side by side, 0 to the left; a leaf's lead back to it
+        ways = np.stack([np.where(inner, self.left, here), np.where(inner, self.left + 1, here)], axis=1).ravel()
+        steps = self.steps()
+        out = np.empty(len(x))
+        for lo in range(0, len(x), CHUNK):
+            part = np.ascontiguousarray(x[lo : lo + CHUNK].T)
+            flat, n = part.ravel(), part.shape[1]
+            rows, total = np.arange(n), np.zeros(n)
+            node, at, value, edge, left = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n), np.empty(n), np.empty(n, bool)
+            for root, deep in zip(self.roots.tolist(), steps, strict=True):
+                node.fill(root)
+                for _ in range(deep):
+                    feature.take(node, out=at, mode="clip")
+                    at *= n
+                    at += rows
+                    flat.take(at, out=value, mode="clip")
+                    cut.take(node, out=edge, mode="clip")
+                    np.less(value, edge, out=left)
+                    node *= 2
+                    node += ~left
+                    ways.take(node, out=at, mode="clip")
+                    node, at = at, node
+                total += self.depth.take(node)
+            out[lo : lo + CHUNK] = total
+        return 2.0 ** (-out / len(self.roots) / max(float(expected_depth(self.sample)), 1e-9))
+
+    def steps(self) -> list[int]:
+        """Steps from each root to its deepest leaf."""
+        out = []
         for root in self.roots:
-            node = np.full(len(x), root)
-            while (inner := self.feature[node] >= 0).any():
-                rows, at = np.flatnonzero(inner), node[inner]
-                node[rows] = self.left[at] + ~(x[rows, self.feature[at]] < self.cut[at])
-            total += self.depth[node]
-        return 2.0 ** (-total / len(self.roots) / max(float(expected_depth(self.sample)), 1e-9))
+            level, deep = np.array([root]), 0
+            while len(level := level[self.feature[level] >= 0]):
+                level, deep = np.concatenate([self.left[level], self.left[level] + 1]), deep + 1
+            out.append(deep)
+        return out
 
 
 def samples(df: DataFrame, features: list[str], trees: int, size: int, seed: int) -> DataFrame:
@@ -104,16 +140,19 @@ def grow_forest(df: DataFrame, features: list[str], trees: int = TREES, size: in
 
 
 def anomaly_scores(df: DataFrame, forest: Forest, share: float = 0.1) -> DataFrame:
-    """Adds ``anomaly_score`` and ``anomaly``, 1 for scores above the 1 - ``share`` quantile of all."""
+    """Adds ``anomaly_score`` and ``anomaly``, 1 for scores above the 1 - ``share`` quantile of all.
+
+    Scores are written once, and the exact quantile read from them by brackets.
+    """
 
     @pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series(forest.scores(np.stack([c.to_numpy(float) for c in columns], axis=1)))
 
-    out = df.withColumn("anomaly_score", scored(*[F.col(c).cast("double") for c in forest.features]))
-    limit = out.agg(F.percentile("anomaly_score", 1 - share).alias("_limit"))
-    return out.crossJoin(F.broadcast(limit)).withColumn("anomaly", (F.col("anomaly_score") > F.col("_limit")).cast("int")).drop("_limit")  # one row
+    out = materialize(df.withColumn("anomaly_score", scored(*[F.col(c).cast("double") for c in forest.features])), "anomaly-scores")
+    limit = exact_quantiles(out, ["anomaly_score"], [1 - share])["anomaly_score"][0]
+    return out.withColumn("anomaly", (F.col("anomaly_score") > F.lit(limit)).cast("int"))
 
 
 def detection_report(df: DataFrame, y: str, predicted: str, fold: str) -> DataFrame:
