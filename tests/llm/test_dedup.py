@@ -264,3 +264,21 @@ def test_lines_meet_by_edit_similarity_alone(spark):
             seen.add(group[line])
     frame = spark.createDataFrame([(i, line, "x") for i, line in enumerate(lines)], DOCS)
     assert links and {r.doc_id for r in line_dedup.dedup_lines(frame).collect()} == want
+
+
+@pytest.mark.parametrize("size", [3, 25])
+def test_links_do_not_depend_on_how_crowded_a_bucket_is(spark, size):
+    """Ten similar pairs, one letter changed in each short word, in one bucket alone and among unlike lines; short lines, and lines compared by words."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    head = " ".join(word(13) for _ in range(4 if size == 3 else 24))
+    lines = []
+    for _ in range(10):
+        short = [word(3) for _ in range(8)]
+        lines += [" ".join([head, *short]), " ".join([head, *[w[:2] + "0" for w in short]])] if size == 3 else [" ".join([head, *short]), " ".join([head, *[word(3) for _ in short[:6]], *short[6:]])]
+    fill = [" ".join([head, *[word(9) for _ in range(8 if size == 3 else 40)]]) for _ in range(30)]
+    frame = lambda ls: spark.createDataFrame([(i, line, "x") for i, line in enumerate(ls)], DOCS)
+    pairs = [{r.doc_id for r in line_dedup.dedup_lines(frame(lines[i : i + 2])).collect()} for i in (0, 2)]
+    assert pairs == [{0}, {0}]
+    kept = {r.doc_id for r in line_dedup.dedup_lines(frame(lines + fill)).collect()}
+    assert not kept & set(range(1, 20, 2)) and kept >= set(range(20, 50))
