@@ -12,6 +12,8 @@ All draws are functions of the seed, so reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,23 +68,30 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return w.select("source", "source_size", F.when(F.col("top").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("top") * F.col("weight"))).cast("double").alias("target"))
 
 
-def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed, targets, slots) of a mix.
+def sized_rows(docs: DataFrame, seed: int, *more: str) -> DataFrame:
+    """(doc_id, source, size in words, h a row hash) and more columns per document."""
+    size = F.size(ascii_words(F.col("text"))).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), *more)
+
+
+def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame, DataFrame]:
+    """(rows, place, targets, slots) of a mix.
 
-    ``placed``: a row per document, with source, size, its start in the
-    source's stream, and a row hash; ``targets``: source, source_size, target;
-    ``slots``: shard, slot, source, block, pass.
+    ``rows``: those of ``sized_rows``, written; ``place`` adds each one's start
+    in its source's stream and lets other columns pass; ``targets``: source,
+    source_size, target; ``slots``: shard, slot, source, block, pass.
     """
-    size = F.size(ascii_words(F.col("text"))).cast("long")
-    rows = materialize(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")), "mix-rows")
+    rows = materialize(sized_rows(docs, seed), "mix-rows")
     groups = max(1, rows.count() // GROUP_DOCS)
-    rows = rows.withColumn("g", F.pmod("h", F.lit(groups)))
-    sums = rows.groupBy("source", "g").agg(F.sum("size").alias("n"))
+    sums = rows.groupBy("source", F.pmod("h", F.lit(groups)).alias("g")).agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialize(sums.select(F.col("source").alias("s"), F.col("g").alias("sg"), "n", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("base")), "mix-groups")
-    inside = Window.partitionBy("source", "g").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    placed = placed.join(sums, placed.source.eqNullSafe(sums.s) & (placed.g == sums.sg)).select("doc_id", "source", "size", "h", (F.col("base") + F.col("within")).alias("start"))
+
+    def place(rows: DataFrame) -> DataFrame:
+        inside = Window.partitionBy("source", "g").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        placed = rows.withColumn("g", F.pmod("h", F.lit(groups))).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
+        placed = placed.join(F.broadcast(sums), placed.source.eqNullSafe(sums.s) & (placed.g == sums.sg))  # a row per group
+        return placed.withColumn("start", F.col("base") + F.col("within")).drop("g", "within", "s", "sg", "n", "base")
 
     targets = materialize(source_targets(sums.groupBy(F.col("s").alias("source")).agg(F.sum("n").alias("source_size")), weights, share, most), "mix-targets")
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
@@ -98,7 +107,7 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = W
     turn = F.floor(rank / F.col("blocks")).cast("long")
     slots = slots.select(F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), "slot", "source", "blocks", (rank % F.col("blocks")).alias("r"), turn.alias("pass"))
     slots = slots.withColumn("block", permuted(F.col("r"), F.col("blocks"), F.lit(seed + 1), F.col("source"), F.col("pass")))
-    return placed, targets, slots.select("shard", "slot", "source", "block", "pass")
+    return rows, place, targets, slots.select("shard", "slot", "source", "block", "pass")
 
 
 def doc_blocks(placed: DataFrame, block_words: int) -> DataFrame:
@@ -109,6 +118,18 @@ def doc_blocks(placed: DataFrame, block_words: int) -> DataFrame:
     return spread.withColumn("lo", F.greatest(at - F.col("start"), F.lit(0))).withColumn("hi", F.least(at + block_words - F.col("start"), F.col("size")))
 
 
+def block_texts(block_words: int) -> Column:
+    """Array of (block, text): what of ``words``, from ``start``, lies in each block it touches."""
+    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+
+    def cut(b: Column) -> Column:
+        lo = F.greatest(b * block_words - F.col("start"), F.lit(0))
+        hi = F.least((b + 1) * block_words - F.col("start"), F.col("size"))
+        return F.struct(b.alias("block"), F.array_join(F.slice("words", (lo + 1).cast("int"), (hi - lo).cast("int")), " ").alias("text"))
+
+    return F.transform(F.sequence(first.cast("long"), last.cast("long")), cut)
+
+
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix: (shard, slot, source, block, pass, doc_ids, text), a row per drawn block.
 
@@ -117,16 +138,15 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple
     source; documents without words are in no block; rows that repeat a doc_id
     count each for themselves; an empty table gives no rows.
     """
-    placed, _, slots = mix_plan(docs, block_words, weights, share, most, seed)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"), ascii_words(F.col("text")).alias("words"))
-    texts = texts.dropDuplicates(["_id", "_s", "_h"])
-    same = placed.doc_id.eqNullSafe(texts._id) & (placed.h == texts._h) & placed.source.eqNullSafe(texts._s)
-    cut = doc_blocks(placed.join(texts, same), block_words)
-    cut = cut.select("source", "block", F.struct("start", "doc_id", F.array_join(F.slice("words", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("text")).alias("part"))
-    whole = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    whole = whole.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "parts")
+    _, place, _, slots = mix_plan(docs, block_words, weights, share, most, seed)
+    # the texts are placed where they are sorted, as a join with their places would move them again
+    placed = place(sized_rows(docs, seed, "text")).where("size > 0").withColumn("words", ascii_words(F.col("text")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # never null, so that grouping and join deal rows alike
+    cut = placed.select(key.alias("k"), "doc_id", "start", F.explode(block_texts(block_words)).alias("at")).select("k", "at.block", F.struct("start", "doc_id", "at.text").alias("part"))
+    whole = cut.groupBy("k", "block").agg(F.array_sort(F.collect_list("part")).alias("parts")).select(F.col("k").alias("_k"), F.col("block").alias("_b"), "parts")
+    slots = slots.withColumn("k", key)
     # merge: Spark takes the slots for small, as they are spread from a row per source
-    drawn = slots.hint("merge").join(whole, slots.source.eqNullSafe(whole._s) & (slots.block == whole._b))
+    drawn = slots.hint("merge").join(whole, (slots.k == whole._k) & (slots.block == whole._b))
     return drawn.select("shard", "slot", "source", "block", "pass", F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
 
 
@@ -135,7 +155,8 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple =
 
     ``taken`` counts the words of the document's parts over all drawn blocks.
     """
-    placed, targets, slots = mix_plan(docs, block_words, weights, share, most, seed)
+    rows, place, targets, slots = mix_plan(docs, block_words, weights, share, most, seed)
+    placed = place(rows)
     times = slots.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("times"))
     parts = doc_blocks(placed, block_words)
     # merge: Spark takes the counts for small, as they are spread from a row per source
