@@ -25,6 +25,12 @@ class Chains:
         self.longest = int(ranked[0]) if len(ranked) else 0
         self.active = np.searchsorted(-ranked, -np.arange(self.longest), side="left")
         self.first = self.starts[:-1][self.order]
+        # all positions by step, so that the active ones of a step are neighbours
+        self.ends = np.cumsum(self.active)
+        self.steps = np.arange(self.ends[-1] if self.longest else 0)
+        begin = self.ends - self.active
+        self.steps = self.first[self.steps - np.repeat(begin, self.active)] + np.repeat(np.arange(self.longest), self.active)
+        self.cuts = list(zip(begin.tolist(), self.ends.tolist(), strict=True))
 
     def at(self, t: int) -> np.ndarray:
         return self.first[: self.active[t]] + t
@@ -39,20 +45,22 @@ class Model:
 
     def forward(self, e: np.ndarray, c: Chains) -> np.ndarray:
         (oo, ot), (to, tt) = self.moves
+        g = e[c.steps]
+        for (before, _), (lo, hi) in zip(c.cuts, c.cuts[1:], strict=False):
+            x = g[before : before + hi - lo]
+            g[lo:hi] += np.logaddexp(x + tt, ot) - np.logaddexp(x + to, oo)
         f = e.copy()
-        for t in range(1, c.longest):
-            at = c.at(t)
-            x = f[at - 1]
-            f[at] += np.logaddexp(x + tt, ot) - np.logaddexp(x + to, oo)
+        f[c.steps] = g
         return f
 
     def backward(self, e: np.ndarray, c: Chains) -> np.ndarray:
         (oo, ot), (to, tt) = self.moves
+        g, h = e[c.steps], np.zeros(len(c.steps), e.dtype)
+        for (before, _), (lo, hi) in zip(c.cuts[-2::-1], c.cuts[:0:-1], strict=False):
+            x = g[lo:hi] + h[lo:hi]
+            h[before : before + hi - lo] = np.logaddexp(x + tt, to) - np.logaddexp(x + ot, oo)
         b = np.zeros_like(e)
-        for t in range(c.longest - 1, 0, -1):
-            at = c.at(t)
-            x = e[at] + b[at]
-            b[at - 1] = np.logaddexp(x + tt, to) - np.logaddexp(x + ot, oo)
+        b[c.steps] = h
         return b
 
     def marginals(self, e: np.ndarray, c: Chains) -> np.ndarray:

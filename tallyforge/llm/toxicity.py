@@ -32,7 +32,7 @@ SPAN_AT = 0.5
 #: One in so many of the chains without a toxic token is learned from.
 CLEAN_CHAINS = 4
 #: Texts are tagged together up to about so many characters, so that memory does not grow with a batch.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 21
 
 
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
@@ -49,11 +49,27 @@ def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
         yield run
 
 
+#: Checksums of the kinds of features, which those of words go on from.
+OWN, PREFIX, SUFFIX, BEFORE, AFTER = (crc32(kind) for kind in (b"w:", b"p:", b"s:", b"<:", b">:"))
+
+
 def token_features(word: str) -> tuple[list[int], int, int]:
     """Buckets of a word's own features, and of it as the word before and after another."""
-    b = lambda kind: crc32(f"{kind}{word}".encode()) % BUCKETS
-    affix = lambda kind, s: crc32(f"{kind}{s}".encode()) % BUCKETS
-    return [b("w:"), affix("p:", word[:3]), affix("s:", word[-3:])], b("<:"), b(">:")
+    b = lambda kind, s: crc32(s.encode(), kind) % BUCKETS
+    return [b(OWN, word), b(PREFIX, word[:3]), b(SUFFIX, word[-3:])], b(BEFORE, word), b(AFTER, word)
+
+
+class Known(dict):
+    """Numbers of words as they are written, given out in the order they are first met; ``fresh`` has those without scores."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
 
 
 @dataclass
@@ -62,8 +78,8 @@ class Tagger:
     scale: np.ndarray
 
     def __post_init__(self) -> None:
-        self._known: dict[str, int] = {}
-        self._rows: list[tuple[float, float, float]] = []
+        self._known = Known()
+        self._table = np.zeros((0, 3))
 
     def __getstate__(self) -> dict:
         return {"model": self.model, "scale": self.scale}
@@ -72,28 +88,27 @@ class Tagger:
         self.__dict__ |= state
         self.__post_init__()
 
-    def _new(self, word: str) -> int:
-        own, before, after = token_features(word)
-        w = self.model.weights
-        self._rows.append((w[own].sum() + w[BUCKETS], w[before], w[after]))
-        self._known[word] = len(self._rows) - 1
-        return len(self._rows) - 1
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: log-odds of its own, and what it adds to the next and to the previous word."""
+        at = np.array([(*own, before, after) for own, before, after in map(token_features, map(str.lower, words))], np.int64)
+        w = self.model.weights[at]
+        return np.column_stack([w[:, 0] + w[:, 1] + w[:, 2] + self.model.weights[BUCKETS], w[:, 3], w[:, 4]])
 
     def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(marginals of all tokens, starts of the texts); whole texts, one chain each."""
         if len(self._known) > 500_000:
             self.__post_init__()
-        known, new, ids, starts = self._known, self._new, [], [0]
+        known, ids, starts = self._known, [], [0]
         for text in texts:
-            for w in WORD.findall(text):
-                w = w.lower()
-                k = known.get(w)
-                ids.append(new(w) if k is None else k)
+            ids += map(known.__getitem__, WORD.findall(text))
             starts.append(len(ids))
         at, starts = np.array(ids, np.int64), np.array(starts)
         if not len(at):
             return np.zeros(0), starts
-        table = np.array(self._rows)
+        if known.fresh:  # only new words are added, lest each slice pay for all words met before
+            self._table = np.concatenate([self._table, self._scores(known.fresh)])
+            known.fresh.clear()
+        table = self._table
         e = table[at, 0]
         inner = np.ones(len(at), bool)
         inner[starts[:-1][np.diff(starts) > 0]] = False
