@@ -204,6 +204,18 @@ def connecting(bucket: TextBucket, linked: Callable[[int, np.ndarray], list[int]
     return out
 
 
+def class_links(bucket: TextBucket, classes: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``classes`` that connect those with texts which may be similar, fewer than there are classes: each two texts of classes that are not yet connected are compared."""
+    _, side = np.unique(classes, return_inverse=True)
+    out = []
+    for x in np.flatnonzero(side != np.bincount(side).argmax()).tolist():
+        for y in bucket.alike(x, np.flatnonzero(side != side[x])).tolist():
+            if side[y] != side[x]:
+                out.append((int(min(classes[x], classes[y])), int(max(classes[x], classes[y]))))
+                side[side == side[y]] = side[x]
+    return out
+
+
 def sketch_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, n, sketches, map) of documents with words and an id; h1 and h2 hash the word sequence."""
     words = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))
@@ -224,10 +236,15 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
 
 def candidate_links(sketched: DataFrame, first: DataFrame) -> DataFrame:
-    """(a, b): texts that agree on a sketch and may be similar, as many as connect all of them; of equal texts only the ``first`` (rep) count.
+    """(a, b): texts, or smallest texts of groups, as many as connect all that agree on a sketch and may be similar; of equal texts only the ``first`` (rep) count.
 
     Buckets of one and the same list of ids count once. Copies go once lists are
     known, as rows of two numbers, so that sketches are not shuffled for it.
+    First each text is compared in its largest bucket alone, which gives at most
+    one pair a text; then every bucket whose texts are not all in one class is
+    compared between its classes. So a large group gives its pairs once and not
+    once for each sketch. Texts and maps are joined by merge whatever the size,
+    lest the plan of a small table hide what a large one moves.
     """
     members = sketched.select(F.col("doc_id").alias("id"), F.explode("sketches").alias("sketch"))
     sketch, bucket = Window.partitionBy("sketch"), Window.partitionBy("bucket")
@@ -235,22 +252,33 @@ def candidate_links(sketched: DataFrame, first: DataFrame) -> DataFrame:
     met = met.select(F.xxhash64("list", "m").alias("bucket"), "id").distinct().join(first, F.col("id") == F.col("rep"), "left_semi")
     shared = materialize(met.withColumn("m", F.count("*").over(bucket)).where("m > 1"), "omh-shared")
     slim = sketched.select(F.col("doc_id").alias("s"), F.col("n").cast("long").alias("n"), "map")
-    rows = in_blocks(shared.join(slim, F.col("id") == F.col("s")).drop("s"), "bucket", F.ceil(F.col("m") / BUCKET_SETS), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for table in runs_of(batches, ["bucket", "x", "y"]):
-            if table.num_rows > 1:
-                found.update(TextBucket(table.column("id").to_pylist(), table.column("n").to_numpy(), table.column("map").to_pylist()).links())
-            if len(found) > 200_000:
+    def compared(rows: DataFrame, tag: str) -> DataFrame:
+        rows = rows.join(slim.hint("merge"), F.col("id") == F.col("s")).drop("s")
+        rows = in_blocks(rows, "bucket", F.ceil(F.col("m") / BUCKET_SETS), "id").select("bucket", "x", "y", "id", "n", "map", "class")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: set[tuple[int, int]] = set()
+            for table in runs_of(batches, ["bucket", "x", "y"]):
+                if table.num_rows > 1:
+                    texts = TextBucket(table.column("id").to_pylist(), table.column("n").to_numpy(), table.column("map").to_pylist())
+                    found.update(texts.links() if table.column("class").null_count else class_links(texts, table.column("class").to_numpy()))
+                if len(found) > 200_000:
+                    yield id_pairs(found)
+                    found = set()
+            if found:
                 yield id_pairs(found)
-                found = set()
-        if found:
-            yield id_pairs(found)
 
-    links = rows.select("bucket", "x", "y", "id", "n", "map").mapInArrow(run, "a long, b long")
-    links = materialize(links.distinct(), "omh-candidates")
-    discard(shared)
+        return materialize(rows.mapInArrow(run, "a long, b long").distinct(), tag)
+
+    largest = shared.groupBy(F.col("id").alias("i")).agg(F.max(F.struct("m", "bucket")).alias("top"))
+    begun = compared(largest.select(F.col("top.bucket").alias("bucket"), F.col("i").alias("id"), F.col("top.m").alias("m"), F.lit(None).cast("long").alias("class")), "omh-begun")
+    groups = connected_components(begun, "omh-begun-groups")
+    known = groups.select(F.col("id").alias("k"), F.col("class").alias("c"))
+    dealt = shared.join(known, F.col("id") == F.col("k"), "left").select("bucket", "id", "m", F.coalesce("c", "id").alias("class"))
+    mixed = dealt.withColumn("lo", F.min("class").over(bucket)).withColumn("hi", F.max("class").over(bucket)).where("lo < hi").drop("lo", "hi")
+    links = materialize(begun.unionByName(compared(mixed, "omh-joined")), "omh-candidates")
+    discard(shared, begun, groups)
     return links
 
 
@@ -264,7 +292,7 @@ def verified_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) that connect all similar documents of candidate ``classes`` (id, class, n)."""
     words = classes.groupBy(F.col("class").alias("k")).agg(F.sum("n").alias("words"))
     dealt = classes.select("id", "class").join(words, F.col("class") == F.col("k")).drop("k").withColumn("blocks", F.ceil(F.col("words") / CLASS_WORDS))
-    rows = docs.select(F.col("doc_id").alias("d"), "text").join(dealt, F.col("d") == F.col("id")).select("class", "id", "text", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("side"))
+    rows = docs.select(F.col("doc_id").alias("d"), "text").join(dealt.hint("merge"), F.col("d") == F.col("id")).select("class", "id", "text", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("side"))
     rows = in_blocks(rows, "class", F.col("blocks"), "id").select("class", "x", "y", "id", "side", word_hashes(F.col("text")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
