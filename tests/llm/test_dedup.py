@@ -282,3 +282,30 @@ def test_links_do_not_depend_on_how_crowded_a_bucket_is(spark, size):
     assert pairs == [{0}, {0}]
     kept = {r.doc_id for r in line_dedup.dedup_lines(frame(lines + fill)).collect()}
     assert not kept & set(range(1, 20, 2)) and kept >= set(range(20, 50))
+
+
+@pytest.mark.parametrize("size", [3, 100000])
+def test_lines_with_typos_in_every_word_are_linked(spark, monkeypatch, size):
+    """Exact line dedup against brute force: letters replaced all over, short lines, and lines compared by words; in one block and in many."""
+    rng = random.Random(21)
+    monkeypatch.setattr(line_dedup, "BLOCK", size)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9)))
+    lines = []
+    for n, share in ((3, 0.15), (6, 0.1), (6, 0.18), (12, 0.1), (12, 0.18), (20, 0.18)) * 2:
+        line = " ".join(word() for _ in range(n))
+        lines += [line, "".join(rng.choice("abcdefghij") if c != " " and rng.random() < share else c for c in line)]
+    for n in (60, 80):
+        line = sorted((word() for _ in range(n)), key=len, reverse=True)
+        lines += [" ".join(line), " ".join(["0" + w[1:] if i < n // 6 else w for i, w in enumerate(line)])]
+    rng.shuffle(lines)
+    mark = lambda a, b: (list(a), list(b)) if max(len(a), len(b)) <= line_dedup.CHARS else (a.split(), b.split())
+    near = lambda a, b: word_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    links = [(a, b) for a in lines for b in lines if a < b and near(*mark(a, b))]
+    group, seen, want = classes(lines, links), set(), set()
+    for i, line in enumerate(lines):
+        if group[line] not in seen:
+            want.add(i)
+            seen.add(group[line])
+    frame = spark.createDataFrame([(i, line, "x") for i, line in enumerate(lines)], DOCS)
+    assert len(links) >= 10 and {r.doc_id for r in line_dedup.dedup_lines(frame, exact=True).collect()} == want
+    assert {r.doc_id for r in line_dedup.line_report(frame).where("kept_chars > 0").collect()} == want
