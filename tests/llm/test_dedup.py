@@ -309,3 +309,16 @@ def test_lines_with_typos_in_every_word_are_linked(spark, monkeypatch, size):
     frame = spark.createDataFrame([(i, line, "x") for i, line in enumerate(lines)], DOCS)
     assert len(links) >= 10 and {r.doc_id for r in line_dedup.dedup_lines(frame, exact=True).collect()} == want
     assert {r.doc_id for r in line_dedup.line_report(frame).where("kept_chars > 0").collect()} == want
+
+
+def test_components_of_a_long_chain_take_few_rows(spark, monkeypatch):
+    from tallyforge.llm import shared
+
+    written = []
+    real = shared.materialize
+    monkeypatch.setattr(shared, "materialize", lambda df, tag: written.append(real(df, tag)) or written[-1])
+    monkeypatch.setattr(shared, "discard", lambda *tables: None)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(1, 50)], "a long, b long")
+    got = {r.id: r["class"] for r in shared.connected_components(edges, "t").collect()}
+    assert got == {i: 0 for i in range(401)} | {1000 + i: 1000 for i in range(50)}
+    assert sum(t.count() for t in written) < 6 * 450
