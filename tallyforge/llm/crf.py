@@ -7,6 +7,7 @@ chains together, longest first, so the active ones are always a prefix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,8 +89,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+#: Active features that are summed at once, so that sums need no second copy of them all.
+PIECE = 1 << 18
+
+
 def emissions(weights: np.ndarray, token: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(token, weights=weights[feature], minlength=n).astype(float)
+    return summed(token, n, lambda at: weights[feature[at]])
+
+
+def summed(keys: np.ndarray, n: int, values: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """Sums of ``values`` by key, added in their order, a piece at a time."""
+    out = np.zeros(n)
+    for lo in range(0, len(keys), PIECE):
+        at = slice(lo, lo + PIECE)
+        np.add.at(out, keys[at].astype(np.intp), values(at))
+    return out
 
 
 def fit(token: np.ndarray, feature: np.ndarray, labels: np.ndarray, starts: np.ndarray, n_features: int, offset: np.ndarray | None = None, rounds: int = 60, ridge: float = 1e-3, rate: float = 0.3) -> Model:
@@ -107,11 +121,16 @@ def fit(token: np.ndarray, feature: np.ndarray, labels: np.ndarray, starts: np.n
         e = emissions(model.weights, token, feature, n) + (0.0 if offset is None else offset)
         f, b = model.forward(e, c), model.backward(e, c)
         p = sigmoid(f + b)
-        grad = np.bincount(feature, weights=(p - y)[token], minlength=n_features) / scale + ridge * model.weights / scale
+        miss = p - y
+        grad = summed(feature, n_features, lambda at, miss=miss: miss[token[at]]) / scale + ridge * model.weights / scale
         before, after = f[later - 1], e[later] + b[later]
         score = np.stack([np.full(len(later), model.moves[0, 0]), model.moves[0, 1] + after, before + model.moves[1, 0], before + model.moves[1, 1] + after])
-        score = np.exp(score - score.max(0)) if len(later) else score
-        pairs = (score / score.sum(0)).sum(1).reshape(2, 2) if len(later) else np.zeros((2, 2))
+        pairs = np.zeros((2, 2))
+        if len(later):  # in place, as these are the largest arrays
+            score -= score.max(0)
+            np.exp(score, out=score)
+            score /= score.sum(0)
+            pairs = score.sum(1).reshape(2, 2)
         grad = np.concatenate([grad, ((pairs - seen) / scale + ridge * model.moves / scale).ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-10)

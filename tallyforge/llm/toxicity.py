@@ -9,7 +9,9 @@ of its marginals' sum and maximum, fitted on the same sample.
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ SPAN_AT = 0.5
 CLEAN_CHAINS = 4
 #: Texts are tagged together up to about so many characters, so that memory does not grow with a batch.
 SLICE_CHARS = 1 << 21
+#: The same for the sample, beside which its features are held.
+TRAIN_SLICE = 1 << 20
 
 
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
@@ -136,17 +141,17 @@ def lexicon(texts: list[str], toxic: np.ndarray) -> set[str]:
     """Words that keep to toxic documents: six standard deviations over chance, and three in five of their documents."""
     n, bad = Counter(), Counter()
     for text, t in zip(texts, toxic, strict=True):
-        found = {w.lower() for w in WORD.findall(text)}
-        n.update(found)
         if t:
-            bad.update(found)
+            bad.update({w.lower() for w in WORD.findall(text)})
+    for text in texts:
+        n.update(bad.keys() & {w.lower() for w in WORD.findall(text)})
     rate = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6) if len(toxic) else 0.5
     return {w for w, a in bad.items() if a >= 0.6 * n[w] and a - n[w] * rate >= 6 * np.sqrt(n[w] * rate * (1 - rate))}
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Tagger:
     words = lexicon(texts, toxic)
-    token, feature, labels, starts = [], [], [], [0]
+    token, feature, labels, starts = array("i"), array("i"), array("b"), array("q", [0])  # a list of numbers takes ten times as much
     memo: dict[str, tuple[list[int], int, int]] = {}
     for text, t in zip(texts, toxic, strict=True):
         tokens = [w.lower() for w in WORD.findall(text)]
@@ -158,14 +163,20 @@ def train(texts: list[str], toxic: np.ndarray) -> Tagger:
             known = [memo[w] if w in memo else memo.setdefault(w, token_features(w)) for w in part]
             for i, (own, _, _) in enumerate(known):
                 here = [*own, BUCKETS] + ([known[i - 1][1]] if i else []) + ([known[i + 1][2]] if i + 1 < len(known) else [])
-                feature += here
-                token += [len(labels)] * len(here)
+                feature.extend(here)
+                token.extend([len(labels)] * len(here))
                 labels.append(bool(t) and part[i] in words)
             starts.append(len(labels))
-    model = crf.fit(np.array(token, np.int64), np.array(feature, np.int64), np.array(labels, np.int64), np.array(starts), BUCKETS + 1)
+    del memo
+    model = crf.fit(np.frombuffer(token, np.int32), np.frombuffer(feature, np.int32), np.frombuffer(labels, np.int8), np.array(starts, np.int64), BUCKETS + 1)
+    del token, feature
     tagger = Tagger(model, np.array([0.0, 0.0, -1.0]))  # without evidence, below a half
     if len(texts):
-        x = np.column_stack([tagger.document_features(*tagger.marginals(texts)), np.ones(len(texts))])
+        rows = []
+        for part in slices(texts, TRAIN_SLICE):
+            rows.append(tagger.document_features(*tagger.marginals(part)))
+            tagger.__post_init__()  # words met are not kept
+        x = np.column_stack([np.concatenate(rows), np.ones(len(texts))])
         w = np.zeros(3)
         for _ in range(25):  # Newton steps of a ridge logistic fit
             p = crf.sigmoid(x @ w)
@@ -181,15 +192,26 @@ def held_out(doc_id) -> F.Column:
 def fit_tagger(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger:
     """Learns from at most ``train_docs`` labelled documents that are not held out.
 
-    Only labels pick the sample; their texts, a bounded number, are gathered.
+    Only labels pick the sample; one task gathers their texts, a bounded number, and learns.
     Null labels, ids and texts are left out; an empty sample gives a tagger
     whose scores are all the same, below 0.5. Ties in the order of the sample
     are settled by id and label; rows that repeat a document count each.
     """
     pick = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").where("text is not null").orderBy("doc_id", "text").limit(2 * train_docs).toPandas()
-    return train(list(rows["text"]), rows["toxic"].to_numpy(dtype=float))
+    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").where("text is not null").orderBy("doc_id", "text", "toxic").limit(2 * train_docs)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            toxic += batch.column("toxic").to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(toxic, float)))], pa.binary())], names=["tagger"])
+
+    # The ordered limit leaves one partition; only the weights come back.
+    made = rows.select("text", "toxic").mapInArrow(learn, "tagger binary").collect()
+    return pickle.loads(made[0].tagger) if made else train([], np.zeros(0))
 
 
 def score_documents(docs: DataFrame, tagger: Tagger, name: str = "toxicity") -> DataFrame:
