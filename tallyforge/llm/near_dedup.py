@@ -126,11 +126,14 @@ def banded(rows: list[int], n: int, band: int) -> int:
     full, top = (1 << width) - 1, 1 << (width - 1)
     up, down = full ^ ((1 << (width - band - 1)) - 1), 0
     cost, start = band, band + 1 - width
+    most = band + max(len(rows) - max(n - band, 0), 0)  # the steps from row n - band on may each take one away
     for at in rows[: n - band]:
         x = (at >> start if start > 0 else at << -start) & full
         d = ((((x & up) + up) ^ up) | x | down) & full
         right, left = down | (full ^ (d | up)), d & up
         cost += not d & top
+        if cost > most:
+            return band + 1
         up, down = left | (full ^ ((d >> 1) | right)), (d >> 1) & right
         start += 1
     level = top >> 1
@@ -282,9 +285,40 @@ def candidate_links(sketched: DataFrame, first: DataFrame) -> DataFrame:
     return links
 
 
+class WordBucket(TextBucket):
+    """Texts with their words: what their bit maps leave is turned down where too few words are shared, counted for many texts at once."""
+
+    #: Texts counted at once.
+    AT_ONCE = 256
+
+    def __init__(self, ids: list[int], texts: list[np.ndarray]):
+        marked = [labelled(t) for t in texts]
+        super().__init__(ids, np.array([len(t) for t in texts]), [bit_map(w).tobytes() for w in marked])
+        self.ends = np.cumsum(self.sizes)
+        values, numbers = np.unique(np.concatenate(marked), return_inverse=True)
+        self.words, self.mine = numbers.astype(np.int32), np.zeros(len(values), bool)
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        others, n = super().alike(x, others), int(self.sizes[x])
+        if not n or not len(others):
+            return others
+        words = self.words[self.ends[x] - n : self.ends[x]]
+        self.mine[words] = True
+        keep = []
+        for some in np.split(others, range(self.AT_ONCE, len(others), self.AT_ONCE)):
+            sizes = self.sizes[some]
+            first = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) + np.repeat(self.ends[some] - sizes - first, sizes)
+            shared = np.add.reduceat(self.mine[self.words[at]], first, dtype=np.int64)
+            longest = np.maximum(sizes, n)
+            keep.append(some[longest - shared <= most_edits(longest)])
+        self.mine[words] = False
+        return np.concatenate(keep)
+
+
 def aligned_links(ids: list[int], texts: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of ids that connect all similar texts, with ``sides`` only over texts of different sides."""
-    bucket = TextBucket(ids, np.array([len(t) for t in texts]), [bit_map(labelled(t)).tobytes() for t in texts])
+    bucket = WordBucket(ids, texts)
     return connecting(bucket, lambda x, maybe: [y for y in maybe.tolist() if similar(texts[x], texts[y])], sides)
 
 
