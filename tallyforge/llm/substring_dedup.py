@@ -12,7 +12,8 @@
    prefix, groups are worked off in descending order along previous-smaller
    pointers, and each group's order is then emitted, without renaming. Runs of
    suffixes that agree on a window give its first document. As each window of
-   an anchor has the anchor's bytes, those are sorted as one symbol.
+   an anchor has the anchor's bytes, those are sorted as one symbol. Before,
+   contexts are cut to the bytes that another one has too, and fold again.
    Anchors with more than ``CONTEXTS`` contexts are split by window instead.
 4. A document's covered bytes are the union over its contexts.
 """
@@ -20,6 +21,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -330,43 +332,82 @@ def repeated_starts(parts: list[tuple[int, int, bytes, int]]) -> list[int]:
     return out
 
 
-def sharing(parts: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
-    """The contexts of one anchor that have a cell's bytes in common with another; the rest can share no window."""
-    found: dict[tuple[int, bytes], int] = {}
-    keep = [False] * len(parts)
-    for k, (_, at, data, _) in enumerate(parts):
-        for e in range(0, REACH + 1, CELL):
-            if at >= e and at - e + COMMON <= len(data):
-                first = found.setdefault((e, data[at - e : at - e + COMMON]), k)
-                if first != k:
-                    keep[k] = keep[first] = True
-    return [x for x, y in zip(parts, keep, strict=True) if y]
+def common(ordered: list[bytes]) -> list[int]:
+    """How many first bytes each of the sorted strings has in common with another one: with a neighbour, as no other has more."""
+    out = [0] * len(ordered)
+    for k in range(len(ordered) - 1):
+        a, b = ordered[k], ordered[k + 1]
+        n = min(len(a), len(b))
+        x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+        same = n - (x.bit_length() + 7 >> 3)
+        out[k], out[k + 1] = max(out[k], same), same
+    return out
+
+
+def sharing(parts: list[tuple[int, int, bytes, int]]) -> tuple[list[tuple[int, int, bytes, int]], list[tuple[int, int, tuple]]]:
+    """The contexts of one anchor, cut to the bytes around it that another one has too; and of each that is left (number of its cut context, bytes cut off in front, whole context).
+
+    A window that two contexts share lies within what each has in common with
+    another before its anchor, and from it on; those left with less than a window
+    have none. Equal cut contexts fold to one with their smallest document.
+    """
+    before = [data[:at][::-1] for _, at, data, _ in parts]
+    after = [data[at:] for _, at, data, _ in parts]
+    size = [[0] * len(parts) for _ in range(2)]
+    for side, strings in zip(size, (before, after), strict=True):
+        order = sorted(range(len(parts)), key=strings.__getitem__)
+        for k, n in zip(order, common([strings[k] for k in order]), strict=True):
+            side[k] = n
+    cut: dict[tuple[int, bytes], list] = {}
+    whole = []
+    for row, left, right in zip(parts, *size, strict=True):
+        if left + right >= LENGTH:
+            h, at, data, first = row
+            known = cut.setdefault((left, data[at - left : at + right]), [len(cut), first])
+            known[1] = min(known[1], first)
+            whole.append((known[0], at - left, row))
+    return [(parts[0][0], left, data, first) for (left, data), (_, first) in cut.items()], whole
 
 
 def sort_contexts(distinct: DataFrame) -> DataFrame:
-    """Adds ``starts`` (bits of repeated window starts) to (hash, at, context, first); anchors' contexts meet by hash."""
+    """(hash, at, context, starts) of those contexts that repeat windows, ``starts`` the bits of where these start; anchors' contexts meet by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, int, bytes, int]] = []
+        group: list[tuple[int, int, bytes, int]] = []  # cut contexts, and the whole ones by their numbers
+        members: list[tuple[int, int, tuple]] = []
+        same: list[tuple[int, int, bytes, int]] = []  # contexts of one anchor
         held = 0
 
+        def add() -> int:
+            parts, whole = sharing(same) if len(same) > 1 else ([], [])
+            members.extend((len(group) + k, cut, row) for k, cut, row in whole)
+            group.extend(parts)
+            same.clear()
+            return sum(len(x[2]) for x in parts)
+
         def work() -> pa.RecordBatch:
-            h, at, c, _ = zip(*group, strict=True) if group else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int8()), pa.array(c, pa.binary()), pa.array(repeated_starts(group) if group else [], pa.int64())], names=["hash", "at", "context", "starts"])
+            times = Counter(x[0] for x in group)
+            several = [x for x in group if times[x[0]] > 1]  # a context that is alone repeats nothing
+            found = dict(zip(several, repeated_starts(several), strict=True)) if several else {}
+            rows = []
+            for k, cut, (*row, first) in members:  # a later document repeats all windows of an equal cut context
+                starts = found.get(group[k], 0) if first == group[k][3] else (1 << (len(group[k][2]) - LENGTH + 1)) - 1
+                if starts:
+                    rows.append((*row, starts << cut))
+            group.clear()
+            members.clear()
+            h, at, c, starts = zip(*rows, strict=True) if rows else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int8()), pa.array(c, pa.binary()), pa.array(starts, pa.int64())], names=["hash", "at", "context", "starts"])
 
-        same: list[tuple[int, int, bytes, int]] = []  # contexts of one anchor
         for batch in batches:
             for row in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if same and same[-1][0] != row[0]:
-                    kept = sharing(same)
-                    group += kept
-                    held += sum(len(x[2]) for x in kept)
-                    same = []
+                    held += add()
                     if held > SORT_BYTES:
                         yield work()
-                        group, held = [], 0
+                        held = 0
                 same.append(row)
-        group += sharing(same)
+        add()
         yield work()
 
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -322,3 +322,19 @@ def test_components_of_a_long_chain_take_few_rows(spark, monkeypatch):
     got = {r.id: r["class"] for r in shared.connected_components(edges, "t").collect()}
     assert got == {i: 0 for i in range(401)} | {1000 + i: 1000 for i in range(50)}
     assert sum(t.count() for t in written) < 8 * 450
+
+
+def test_contexts_are_cut_to_what_others_have():
+    """Only bytes around the anchor that another context has are sorted, and contexts that are then equal fold."""
+    anchor = bytes(range(100, 100 + substring_dedup.GRAM))
+    inner = b"abcdefghijklm" + anchor + b"nopqrstuvwxyzABC"
+    parts = [(7, 14, b"1" + inner + b"55", 4), (7, 15, b"22" + inner + b"6", 9), (7, 3, b"klm" + anchor + b"z" * 23, 2)]
+    cut, whole = substring_dedup.sharing(parts)
+    assert cut == [(7, 13, inner, 4)]
+    assert whole == [(0, 1, parts[0]), (0, 2, parts[1])]
+    rng = random.Random(8)
+    for _ in range(200):
+        strings = sorted(bytes(rng.choices(b"ab", k=rng.randint(0, 12))) for _ in range(rng.randint(1, 8)))
+        same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        want = [max([same(a, b) for j, b in enumerate(strings) if j != i], default=0) for i, a in enumerate(strings)]
+        assert substring_dedup.common(strings) == want
