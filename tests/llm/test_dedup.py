@@ -338,3 +338,25 @@ def test_contexts_are_cut_to_what_others_have():
         same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         want = [max([same(a, b) for j, b in enumerate(strings) if j != i], default=0) for i, a in enumerate(strings)]
         assert substring_dedup.common(strings) == want
+
+
+def test_exact_lines_are_not_shuffled_once_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 30)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=100)) for _ in range(299)]
+    texts.append("#" * 10 + texts[7][10:])
+    maps = [f"m{q}" for q in range(line_dedup.MAP_LONGS)]
+    rows = spark.createDataFrame([(i, i, 100, 100, t, *[0] * len(maps)) for i, t in enumerate(texts)], "id long, class long, size int, n int, text string, " + ", ".join(m + " long" for m in maps))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    found = line_dedup.cell_pairs(rows, 4, F.lit(True)).collect()
+    assert [(r.a, r.b) for r in found] == [(7, 299)]
+    assert written() - before < 200_000
+
+
+def test_rounds_hold_every_block_once():
+    counts = {3: 10, 4: 9000, 5: 4000, 9: 1}
+    blocks = {band: -(-n // line_dedup.BLOCK) for band, n in counts.items()}
+    dealt = line_dedup.rounds(counts, blocks)
+    assert sorted(b for some in dealt for b in some) == [(band, at) for band in sorted(blocks) for at in range(blocks[band])]
+    assert all(len(some) == 1 or sum(counts[b] / blocks[b] for b, _ in some) <= line_dedup.BLOCK for some in dealt)
