@@ -2,8 +2,9 @@
 
 For each of ``SKETCHES`` hash orders, the ``PICKS`` smallest occurrence-labelled
 shingles of five words are kept in text order; documents that agree on a sketch
-meet in a bucket. A bit map of each text's words turns down those that differ in
-too many; what is left falls into small classes of candidates. Inside a class,
+meet in a bucket. A bit map of each text's words, sparse enough that unlike texts
+seldom pass by chance, turns down those that differ in too many; what is left
+falls into small classes of candidates. Inside a class,
 texts are verified by a banded alignment of their words: similar if the word
 edit distance is at most a fifth of the longer text. A text that joined a group
 is not aligned with that group again. Equal word sequences are folded before,
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ngram_join import BUCKET_SETS, Bucket, bit_map, folded, in_blocks, id_pairs, runs_of
+from .ngram_join import BUCKET_SETS, Bucket, folded, in_blocks, id_pairs, runs_of
 from .shared import connected_components, discard, free_name, materialize
 
 SHINGLE, PICKS, SKETCHES = 5, 2, 96
 SIMILARITY = 0.8
+#: Bits of a text's map for each word, and of any map at least.
+WORD_BITS, LEAST_BITS = 8, 2048
 #: Words of one class that a task aligns with each other; more are cut into blocks, each compared with each.
 CLASS_WORDS = 1_000_000
 SEEDS = np.random.default_rng(1729).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -167,6 +170,15 @@ def labelled(words: np.ndarray) -> np.ndarray:
     return mix(w + occurrence(w) * M1)
 
 
+def text_map(items: np.ndarray) -> bytes:
+    """Bits of a text's labelled words. Chance links between unlike texts that share a passage grow with the table
+    and connect them into one class where bits are few, so there are several for each word."""
+    size = 1 << (max(LEAST_BITS, WORD_BITS * len(items)) - 1).bit_length()
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(items) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def most_edits(sizes: np.ndarray) -> np.ndarray:
     return np.floor((1 - SIMILARITY) * sizes + 1e-9).astype(np.int64)
 
@@ -230,7 +242,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
             batch = batch.filter(pa.compute.greater(batch.column("n"), 0))
             if not batch.num_rows:
                 continue
-            made = [(order_sketches(w).view(np.int64), bit_map(labelled(w)).tobytes()) for w in _lists(batch.column("words"))]
+            made = [(order_sketches(w).view(np.int64), text_map(labelled(w))) for w in _lists(batch.column("words"))]
             flat = pa.array(np.concatenate([m[0] for m in made]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * SKETCHES, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:4]] + [lists, pa.array([m[1] for m in made], pa.binary())], names=names)
@@ -293,7 +305,7 @@ class WordBucket(TextBucket):
 
     def __init__(self, ids: list[int], texts: list[np.ndarray]):
         marked = [labelled(t) for t in texts]
-        super().__init__(ids, np.array([len(t) for t in texts]), [bit_map(w).tobytes() for w in marked])
+        super().__init__(ids, np.array([len(t) for t in texts]), [text_map(w) for w in marked])
         self.ends = np.cumsum(self.sizes)
         values, numbers = np.unique(np.concatenate(marked), return_inverse=True)
         self.words, self.mine = numbers.astype(np.int32), np.zeros(len(values), bool)

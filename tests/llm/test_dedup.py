@@ -360,3 +360,17 @@ def test_rounds_hold_every_block_once():
     dealt = line_dedup.rounds(counts, blocks)
     assert sorted(b for some in dealt for b in some) == [(band, at) for band in sorted(blocks) for at in range(blocks[band])]
     assert all(len(some) == 1 or sum(counts[b] / blocks[b] for b, _ in some) <= line_dedup.BLOCK for some in dealt)
+
+
+def test_texts_that_share_a_passage_alone_are_no_candidates(spark):
+    """Unlike texts of one bucket must not pass by chance: such links grow with the square of the bucket and connect all of it."""
+    rng = random.Random(31)
+    passage = ["p%d" % i for i in range(12)]
+    rows = []
+    for i in range(300):
+        own = ["v%d" % rng.randrange(3000) for _ in range(rng.choice([30, 60, 120, 250]))]
+        rows.append((i, " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :]), "x"))
+    rows.append((1000, rows[7][1] + " other", "x"))
+    made = near_dedup.sketch_documents(spark.createDataFrame(rows, DOCS)).select("doc_id", "n", "map").collect()
+    bucket = near_dedup.TextBucket([r.doc_id for r in made], np.array([r.n for r in made]), [bytes(r.map) for r in made])
+    assert bucket.links() == [(7, 1000)]
