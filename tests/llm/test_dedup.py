@@ -374,3 +374,30 @@ def test_texts_that_share_a_passage_alone_are_no_candidates(spark):
     made = near_dedup.sketch_documents(spark.createDataFrame(rows, DOCS)).select("doc_id", "n", "map").collect()
     bucket = near_dedup.TextBucket([r.doc_id for r in made], np.array([r.n for r in made]), [bytes(r.map) for r in made])
     assert bucket.links() == [(7, 1000)]
+
+
+def test_letter_rings_turn_down_unlike_lines_and_no_similar_one(spark):
+    """Rings differ by no more than letters do, whatever the counts; lines of other words are mostly told apart by them."""
+    rng = random.Random(41)
+    letters = "etaoinshrdlu" * 6 + "cmfwypvbgk" * 2 + "jqxz019äé東" + " " * 12
+    line = lambda n: "".join(rng.choices(letters, k=n))
+    pairs = []
+    for n in (1, 2, 5, 30, 90, 255):
+        for _ in range(12):
+            a = line(n)
+            b = list(a)
+            for _ in range(rng.randrange(1, n // 5 + 2)):
+                at, kind = rng.randrange(len(b) + 1), rng.random()
+                b[at : at + (kind < 0.7)] = [rng.choice(letters)] if kind < 0.4 or kind >= 0.7 else []
+            pairs.append((a, "".join(b) or "x", 0))
+    pairs += [("e" * n, "e" * m, 0) for n, m in ((0, 16), (15, 17), (16, 40), (31, 64), (3, 250))]
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=range(26, 0, -1), k=rng.randrange(2, 10)))
+    pairs += [(" ".join(word() for _ in range(8))[:40], " ".join(word() for _ in range(8))[:40], 1) for _ in range(100)]
+    frame = spark.createDataFrame(pairs, "a string, b string, kind int")
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(line_dedup.letter_rings(F.col("a")), line_dedup.letter_rings(F.col("b")), strict=True)), F.lit(0))
+    down = 0
+    for r in frame.select("a", "b", "kind", apart.alias("apart")).collect():
+        bound = r.apart + abs(len(r.a) - len(r.b))
+        assert bound <= 2 * word_distance(list(r.a), list(r.b))
+        down += r.kind and bound > 2 * (max(len(r.a), len(r.b)) // 5)
+    assert down >= 60
