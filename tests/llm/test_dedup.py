@@ -401,3 +401,14 @@ def test_letter_rings_turn_down_unlike_lines_and_no_similar_one(spark):
         assert bound <= 2 * word_distance(list(r.a), list(r.b))
         down += r.kind and bound > 2 * (max(len(r.a), len(r.b)) // 5)
     assert down >= 60
+
+
+def test_pipeline_removes_lines_that_share_no_key(spark):
+    """Similar lines with a typo in every longer word have no key in common, and the pipeline's stage must still drop the later one."""
+    import corpus_pipeline
+
+    lines = ["harvest wagons rolled slowly toward the distant valley", "harvezt wagonz rolxed slowxy towarz the distanz valleq"]
+    assert word_distance(list(lines[0]), list(lines[1])) <= 0.2 * len(lines[0])
+    frame = spark.createDataFrame([(i, line, "x") for i, line in enumerate(lines)], DOCS)
+    assert [r.doc_id for r in corpus_pipeline.drop_lines(spark, frame, "").collect()] == [0]
+    assert line_dedup.dedup_lines(frame, exact=False).count() == 2
